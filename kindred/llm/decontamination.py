@@ -156,7 +156,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep:
     """
     docs = docs.drop("hits").withColumn("_text", text_or_empty(text_col))
     kept = docs.select(*(keep if keep is not None else [c for c in docs.columns if c != "_text"]))
-    kind = ArrayType(StructType().add("item_id", "long").add("distance", "int").add("start", "long").add("end", "long"))
+    kind = ArrayType(StructType().add("item_id", "long").add("distance", "integer").add("start", "long").add("end", "long"))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
     out = docs.select(*kept.columns, F.lit([]).cast(kind).alias("hits"), "_text")
     n = len(kept.columns)

@@ -15,6 +15,8 @@ import re
 from array import array
 
 import numpy as np
+import public_tokenizers
+import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from kindred.llm.common import by_bytes
@@ -24,6 +26,23 @@ KEPT_PIECES = 1 << 20
 #: Characters of one call of the library, and length from which a text is cut at safe places.
 BATCH_CHARS, LONG_CHARS = 1 << 20, 1 << 16
 
+#: Pieces whose splits the public pattern gives as the library does: no controls, no scripts whose classes change.
+_PLAIN = re.compile(r"[ \n!-~\u00a1-\u024f]+")
+_SPLITS = regex.compile(public_tokenizers.PATTERN)
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level BPE's printable character for each byte, as a table from Latin-1 characters."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in plain}
+    for b in range(256):
+        if b not in table:
+            table[b] = chr(256 + len(table) - len(plain))
+    return table
+
+
+_BYTES = _byte_characters()
+
 #: A space between a letter or digit and something that is no white space.
 _SAFE = re.compile(r"(?<=[^\W_]) (?=\S)")
 
@@ -63,8 +82,8 @@ class PieceEncoder:
             and isinstance(self.model, models.BPE)
             and not self.model.dropout
         )
-        self.heads: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes | bool] = {}
+        self.tails: dict[str, bytes | bool] = {}
         self.words: dict[str, bytes] = {}
 
     def _word(self, mapped: str) -> bytes:
@@ -74,12 +93,17 @@ class PieceEncoder:
         return got
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(self._word(w) for w, _ in self.pre.pre_tokenize_str(piece))
-
-    def _tail(self, word: str) -> bytes | None:
-        """Ids of a space and `word`; None where white space could join with more of it."""
+        if not _PLAIN.fullmatch(piece):
+            return b"".join([self._word(w) for w, _ in self.pre.pre_tokenize_str(piece)])
+        mapped = piece.encode().decode("latin-1").translate(_BYTES)
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._word(mapped)
+        return b"".join([self._word(w.encode().decode("latin-1").translate(_BYTES)) for w in _SPLITS.findall(piece)])
+
+    def _tail(self, word: str) -> bytes | bool:
+        """Ids of a space and `word`; False where white space could join with more of it."""
         odd = not word or word[0].isspace() or word[-1].isspace()
-        return None if odd else self._piece(" " + word)
+        return not odd and self._piece(" " + word)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         """By the library, in calls of balanced size."""
@@ -99,6 +123,7 @@ class PieceEncoder:
         tails, heads = self.tails, self.heads
         if max(len(tails), len(self.words)) > KEPT_PIECES:
             tails.clear(), heads.clear(), self.words.clear()
+        find = tails.get
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
@@ -107,15 +132,16 @@ class PieceEncoder:
                 rest.append(i)
                 continue
             first, *words = t.split(" ")
-            try:
-                got = list(map(tails.__getitem__, words))
-            except KeyError:
-                for w in set(words):
-                    if w not in tails:
-                        tails[w] = self._tail(w)
-                got = list(map(tails.__getitem__, words))
+            got = list(map(find, words))
+            if None in got:
+                for j, x in enumerate(got):
+                    if x is None:
+                        w = words[j]
+                        got[j] = x = find(w)
+                        if x is None:
+                            got[j] = tails[w] = self._tail(w)
             if first not in heads:
-                heads[first] = None if first and first[-1].isspace() else self._piece(first)
+                heads[first] = b"" if not first else not first[-1].isspace() and self._piece(first)
             head = heads[first]
             try:
                 out[i] = head + b"".join(got)

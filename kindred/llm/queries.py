@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontamination, html_text, mixing, sharding, token_counts, topk, toxicity
+from kindred.llm import decontamination, html_text, mixing, near_duplicates, sharding, token_counts, token_files, topk, toxicity
 from kindred.llm.common import table, text_or_empty
 
 
@@ -13,6 +13,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.default_vocabulary())
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.default_vocabulary())
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     grammar = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -31,6 +36,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mix_plan(docs)
@@ -57,7 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_toxicity, op5_sharding, op7_mixing, op8_decontamination, op9_html_text, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k)}
 
 _OP7 = rf"""
 with d as (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontamination, html_text, mixing, near_duplicates, sharding, token_counts, token_files, topk, toxicity
+from kindred.llm import decontamination, html_text, mixing, near_duplicates, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
 from kindred.llm.common import table, text_or_empty
 
 
@@ -13,6 +13,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.default_vocabulary())
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_strings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.default_vocabulary())
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -66,7 +70,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_array, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k)}
 
 _OP7 = rf"""
 with d as (

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Row ranges of `batch` with about SLICE_CHARS bytes of text each."""
     texts = batch.column(1)
     start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         held += n or 0
         if held >= SLICE_CHARS:
             yield batch.slice(start, i + 1 - start)
@@ -52,7 +53,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         for batch in batches:
             for part in _slices(batch):
                 texts = part.column(1)
-                n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
+                n_bytes = pc.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n_bytes, pa.array(e.count(texts.to_pylist()))], schema=schema)
 
     return own.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

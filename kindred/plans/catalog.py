@@ -1,4 +1,421 @@
-"""The registered queries of the linkage engine and their DuckDB equivalents."""
+"""The registered queries of the linkage engine over the driver's tables, and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.functions import codec, normalize, sketch, tokens
+from kindred.operators import blocking, curve, evaluate, patterns, synth
+from kindred.operators.assign import one_to_one
+from kindred.operators.encode import encoded, records, updated
+from kindred.operators.match import candidates, compared, exact_link, fuzzy_link
+from kindred.plans import oracles as O
+from kindred.plans import workflows
+from kindred.plans.profiles import HARNESS, SERVER, VALIDATE, WORKFLOW, Profile, Thresholds
+from kindred.sources import sinks, tables
+from kindred.streaming import limits
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+FIELDS = ["name", "nation", "segment", "balance"]
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def party(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Customers with their nation as one party (a), and a corrupted part of them as the other (b)."""
+    joined = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    where, columns = O.PARTIES[side]
+    return joined.where(where).selectExpr(*columns)
+
+
+def encoded_party(spark: SparkSession, sf_dir: str, side: str, profile: Profile = VALIDATE) -> DataFrame:
+    return records(party(spark, sf_dir, side), FIELDS, profile)
+
+
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(encoded_party(spark, sf_dir, side).select("id", "bits", "signature").persist() for side in "ab")
+
+
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").where("c_custkey % 10 < 8")
+    return own.selectExpr("concat('a', cast(c_custkey as string)) as id1", "concat('b', cast(c_custkey as string)) as id2")
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumn("distance", F.col("distance").cast("long")) if "distance" in df.columns else df
+
+
+# --- normalization
+
+
+@query(O.NORMALIZE_NAME)
+def normalize_name(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{O.RAW_NAME} as raw").select("c_custkey", normalize.name(F.col("raw")).alias("name"))
+
+
+@query(O.NORMALIZE_DATE)
+def normalize_date(spark, sf_dir):
+    raw = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{O.RAW_DATE} as raw")
+    return raw.select("o_orderkey", normalize.date(F.col("raw")).alias("date"))
+
+
+@query(O.NORMALIZE_GENDER)
+def normalize_gender(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{O.RAW_GENDER} as raw")
+    return raw.select("c_custkey", normalize.gender(F.col("raw")).alias("gender"))
+
+
+@query(O.NORMALIZE_ZIP)
+def normalize_zip(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{O.RAW_ZIP} as raw")
+    return raw.select("c_custkey", normalize.zip_code(F.col("raw")).alias("zip"))
+
+
+@query(O.NORMALIZE_BASIC)
+def normalize_basic(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.select("o_orderkey", normalize.basic(F.col("o_orderdate"), kinds["o_orderdate"]).alias("date"), normalize.basic(F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).alias("priority"))
+
+
+@query(O.NORMALIZE_STRING)
+def normalize_string(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    return df.select("p_partkey", normalize.bloom_text(F.concat_ws("--", "p_name", "p_brand", "p_type")).alias("bloom_text"), normalize.packed(F.col("p_type")).alias("packed"))
+
+
+@query(O.HMAC_TOKEN)
+def hmac_token(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("zip"))
+    return df.select("c_custkey", tokens.token(df, ["c_name", "zip", "missing"], "pepper").alias("token"))
+
+
+# --- q-grams, Bloom filters, MinHash
+
+
+@query(O.QGRAM_EXTRACT)
+def qgram_extract(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", F.explode(sketch.qgram_counts(normalize.bloom_text(F.col("p_name")), 2, "$")).alias("gram", "n"))
+    return df.select("p_partkey", "gram", F.col("n").cast("long").alias("n"))
+
+
+@query(O.QGRAM_COMPARE)
+def qgram_compare(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select("p_partkey", "p_size", sketch.qgram_counts(normalize.bloom_text(F.col("p_name")), 2, "$").alias("g"))
+    other = own.select(F.col("p_partkey").alias("other"), F.col("g").alias("h"))
+    pairs = own.withColumn("other", F.col("p_partkey") + F.col("p_size")).join(other, "other")
+    return pairs.select("p_partkey", "other", F.round(sketch.qgram_similarity(F.col("g"), F.col("h")), 9).alias("similarity"), sketch.qgram_distance(F.col("g"), F.col("h")).cast("long").alias("distance"))
+
+
+@query(O.GRAM_SETS)
+def gram_sets(spark, sf_dir):
+    v = F.lower(F.col("p_brand"))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.size(sketch.gram_set(v, 2)).cast("long").alias("n_set"), F.size(sketch.ngram_bag(v)).cast("long").alias("n_bag"))
+    return df
+
+
+@query()
+def qgram_codec(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", sketch.qgram_counts(normalize.bloom_text(F.col("p_name")), 2, "$").alias("g"))
+    coded = df.withColumn("code", codec.qgram_encode(F.col("g"), 2, "$"))
+    back = codec.qgram_decode(F.col("code"))
+    return coded.select("p_partkey", "code", (F.size(F.map_entries(back["grams"])) == F.size(F.map_entries("g"))).alias("same"))
+
+
+@query(O.BLOOM_ENCODE)
+def bloom_encode(spark, sf_dir):
+    return encoded_party(spark, sf_dir, "a").select("id", F.array_join("bits", ",").alias("bits"))
+
+
+@query(O.BLOOM_TEST)
+def bloom_test(spark, sf_dir):
+    df = records(party(spark, sf_dir, "a"), FIELDS, VALIDATE).join(party(spark, sf_dir, "a").select("id", "name"), "id")
+    return df.select("id", sketch.bloom_test(F.col("bits"), normalize.bloom_text(F.col("name"))).alias("has_name"), sketch.bloom_test(F.col("bits"), F.lit("absent value")).alias("has_absent"))
+
+
+@query(O.BLOOM_HAMMING)
+def bloom_hamming(spark, sf_dir):
+    a, b = (encoded_party(spark, sf_dir, side).select(F.substring("id", 2, 20).alias("k"), F.col("bits").alias(side)) for side in "ab")
+    return a.join(b, "k").select("k", sketch.hamming(F.col("a"), F.col("b")).cast("long").alias("distance"))
+
+
+@query(O.BLOOM_CODEC)
+def bloom_codec(spark, sf_dir):
+    df = encoded_party(spark, sf_dir, "a").select("id", "bits", codec.bloom_encode(F.col("bits"), 1000, 5).alias("code"))
+    back = codec.bloom_decode(F.col("code"))
+    return df.select("id", "code", (back["bits"] == F.col("bits")).alias("same"))
+
+
+@query()
+def bloom_noise(spark, sf_dir):
+    noisy = Profile(methods=False, noise=0.01, random_bits=0.02, noise_seed="7")
+    return encoded_party(spark, sf_dir, "a", noisy).select("id", F.array_join("bits", ",").alias("bits"))
+
+
+@query(O.MINHASH_SIGNATURE)
+def minhash_signature(spark, sf_dir):
+    return encoded_party(spark, sf_dir, "a").select("id", F.array_join("signature", ",").alias("signature"))
+
+
+@query(O.MINHASH_JACCARD)
+def minhash_jaccard(spark, sf_dir):
+    a, b = (encoded_party(spark, sf_dir, side).select(F.substring("id", 2, 20).alias("k"), F.col("signature").alias(side)) for side in "ab")
+    return a.join(b, "k").select("k", F.round(sketch.signature_jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
+
+
+@query()
+def minhash_codec(spark, sf_dir):
+    pairs = list(sketch.coefficients(100, "kindred"))
+    df = encoded_party(spark, sf_dir, "a").select("id", "signature", codec.minhash_encode(F.col("signature"), pairs).alias("code"), codec.signature_encode(F.col("signature")).alias("bare"))
+    same = (codec.signature_decode(F.col("code")) == F.col("signature")) & (codec.signature_decode(F.col("bare")) == F.col("signature"))
+    return df.select("id", F.md5("code").alias("code_md5"), "bare", same.alias("same"))
+
+
+# --- records
+
+
+@query()
+def records_workflow(spark, sf_dir):
+    own = party(spark, sf_dir, "b").withColumn("zipped", F.lit("12345-678")).drop("id").withColumn("k", F.monotonically_increasing_id())
+    out = records(own, ["name:name", "zip:zipped", "segment"], WORKFLOW, order=["name", "segment", "balance"])
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("bits").cast("long")).alias("bits"), F.countDistinct("id").alias("ids"))
+
+
+@query()
+def records_server(spark, sf_dir):
+    out = records(party(spark, sf_dir, "a"), ["name", "segment"], SERVER)
+    return out.select("id", F.array_join("bits", ",").alias("bits"), F.size("signature").alias("places"))
+
+
+@query(O.RECORD_UPDATE)
+def record_update(spark, sf_dir):
+    own = party(spark, sf_dir, "a")
+    have = records(own, ["name", "nation"], VALIDATE)
+    more = own.select("id", F.array(F.col("segment"), F.col("balance")).alias("values"))
+    out = updated(have, more, VALIDATE)
+    return out.select("id", F.array_join("bits", ",").alias("bits"), F.array_join("signature", ",").alias("signature"))
+
+
+# --- linkage
+
+
+@query(O.EXACT_LINK)
+def exact_linkage(spark, sf_dir):
+    a, b = (encoded_party(spark, sf_dir, side) for side in "ab")
+    return exact_link(a, b)
+
+
+@query(O.FUZZY_LINK)
+def fuzzy_linkage(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    out = fuzzy_link(a, b)
+    return out.select("id1", "id2", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(O.CANDIDATES)
+def link_candidates(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    return candidates(a, b, 10).select("id1", "id2", F.col("distance").cast("long").alias("distance"))
+
+
+@query(O.PAIR_MATCH)
+def pair_match(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    out = compared(expected(spark, sf_dir), a, b)
+    return out.select("id1", "id2", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
+
+
+@query()
+def one_to_one_link(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    return one_to_one(fuzzy_link(a, b))
+
+
+@query(O.PRIORITY_FIRST)
+def assignment_first_round(spark, sf_dir):
+    """Pairs that are the best of both their ids: the first round of the assignment."""
+    from kindred.operators.assign import priority
+
+    a, b = both(spark, sf_dir)
+    pairs = fuzzy_link(a, b, Thresholds(10, 0.32)).withColumn("p", priority(F.col("id1"), F.col("id2")))
+    pairs = pairs.persist()
+    best1, best2 = (pairs.groupBy(c).agg(F.max("p").alias(f"p_{c}")) for c in ("id1", "id2"))
+    return pairs.join(best1, "id1").join(best2, "id2").where("p = p_id1 and p = p_id2").select("id1", "id2")
+
+
+# --- blocking
+
+
+@query(O.LSH_BUCKETS)
+def lsh_buckets(spark, sf_dir):
+    return blocking.buckets(encoded_party(spark, sf_dir, "a")).select("id", F.col("band").cast("long").alias("band"), "bucket_id")
+
+
+@query(O.LSH_CANDIDATES)
+def lsh_candidates(spark, sf_dir):
+    return blocking.candidate_pairs(blocking.buckets(encoded_party(spark, sf_dir, "a")))
+
+
+@query(O.BLOCKING_STATS)
+def blocking_stats(spark, sf_dir):
+    out = blocking.statistics(blocking.buckets(encoded_party(spark, sf_dir, "a")))
+    return out.withColumn("avg_bucket_size", F.round("avg_bucket_size", 9))
+
+
+@query(O.TWO_PARTY)
+def two_party_lsh(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    return workflows.two_party_blocks(a, b).select("id1", "id2", "n_shared", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(O.MATCHING_BUCKETS)
+def matching_buckets(spark, sf_dir):
+    a, b = (blocking.buckets(encoded_party(spark, sf_dir, side)) for side in "ab")
+    return blocking.matching_buckets(a, b, multiplicity=True)
+
+
+@query()
+def encrypted_bucket_join(spark, sf_dir):
+    """Buckets of both parties met under two keys: the join on plain buckets must find the same rows."""
+    one, two = b"\x11" * 32, b"\x22" * 32
+    a, b = (blocking.buckets(encoded_party(spark, sf_dir, side).where(f"cast(substring(id, 2) as int) <= 40")) for side in "ab")
+    a2 = curve.doubly_encrypted(curve.encrypted_buckets(a, one), two)
+    b2 = curve.doubly_encrypted(curve.encrypted_buckets(b, two), one)
+    return a2.select("double", F.col("id").alias("id1")).join(b2.select("double", F.col("id").alias("id2")), "double").select("id1", "id2").distinct()
+
+
+@query()
+def within_duplicates(spark, sf_dir):
+    own = encoded_party(spark, sf_dir, "a").persist()
+    return workflows.within(own, Thresholds(), 5000)
+
+
+@query()
+def pattern_hashes(spark, sf_dir):
+    return patterns.pattern_hashes(encoded_party(spark, sf_dir, "a"), 1000, 100)
+
+
+# --- evaluation
+
+
+def _matches(spark, sf_dir):
+    """Matches of parties, those with few differing fields, not assigned."""
+    a, b = both(spark, sf_dir)
+    return fuzzy_link(a, b, Thresholds(10, 0.32)).select("id1", "id2")
+
+
+@query(O.LINK_EVALUATE)
+def link_evaluate(spark, sf_dir):
+    return _rounded(evaluate.evaluate(_matches(spark, sf_dir), expected(spark, sf_dir)))
+
+
+@query(O.LINK_EVALUATE_BOTH)
+def harness_evaluate(spark, sf_dir):
+    return _rounded(evaluate.evaluate_bidirectional(_matches(spark, sf_dir), expected(spark, sf_dir)))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("true_positives", "false_positives", "false_negatives", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(O.LABELLED)
+def labelled_pairs(spark, sf_dir):
+    return evaluate.labelled(_matches(spark, sf_dir), expected(spark, sf_dir))
+
+
+@query(O.DIFFERENCE)
+def intersection_diff(spark, sf_dir):
+    other = expected(spark, sf_dir).selectExpr("id2 as id1", "id1 as id2")
+    return evaluate.difference(_matches(spark, sf_dir), other)
+
+
+@query(O.DIFFERENCE_SUMMARY)
+def diff_summary(spark, sf_dir):
+    other = expected(spark, sf_dir).selectExpr("id2 as id1", "id1 as id2")
+    return evaluate.difference_summary(_matches(spark, sf_dir), other)
+
+
+@query(O.ALL_NAMED)
+def match_stats(spark, sf_dir):
+    return evaluate.all_named(expected(spark, sf_dir))
+
+
+@query()
+def validation_report(spark, sf_dir):
+    a, b = (party(spark, sf_dir, side) for side in "ab")
+    return workflows.validate(a, b, expected(spark, sf_dir), FIELDS, Thresholds(10, 0.32))[0]
+
+
+# --- sources, sinks, streams
+
+
+@query(O.LAST_OF_KEY)
+def last_of_key(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias(tables.POSITION))
+    return tables.last_of_key(own, "key").select("key", "status", F.col(tables.POSITION).alias("position"))
+
+
+@query(O.PAGE)
+def page(spark, sf_dir):
+    return tables.page(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 20, 15, "c_custkey")
+
+
+@query(O.GROUND_TRUTH)
+def ground_truth(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").selectExpr("concat(' ', cast(o_custkey as string)) as id1", "case when o_orderkey % 9 = 0 then ' ' else concat(cast(o_orderkey as string), ' ') end as id2", f"o_orderkey as {tables.POSITION}")
+    return evaluate.truth(own)
+
+
+@query()
+def token_round_trip(spark, sf_dir):
+    own = encoded_party(spark, sf_dir, "a")
+    rows = sinks.token_rows(own, VALIDATE, "2024-01-01T00:00:00Z")
+    back = tables.token_records(rows, recompute=True)
+    return back.select("id", F.array_join("bits", ",").alias("bits"), F.array_join("signature", ",").alias("signature"))
+
+
+ORACLES["token_round_trip"] = O.RECORDS
+
+
+@query()
+def encrypted_round_trip(spark, sf_dir):
+    key = "00112233445566778899aabbccddeeff" * 2
+    own = table(spark, sf_dir, "nation").select("n_name", tokens.encrypted(F.encode("n_name", "UTF-8"), key).alias("c"))
+    return own.select("n_name", F.decode(tokens.decrypted(F.col("c"), key), "UTF-8").alias("back"), tokens.decrypted(F.col("c"), "0" * 64).isNull().alias("wrong_key_fails"))
+
+
+ORACLES["encrypted_round_trip"] = "select n_name, n_name as back, true as wrong_key_fails from nation"
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return limits.rate_limited(own, "user_id", "ts", "event_id", limit=2, seconds=86400).select("event_id", "user_id", "allowed")
+
+
+@query(O.CONNECTIONS)
+def connection_count(spark, sf_dir):
+    own = table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "case when event_id % 3 = 0 then 1 else -1 end as delta")
+    return limits.connections(own, "user_id", "ts", "event_id", "delta").select("event_id", F.col("open").cast("long").alias("open"))
+
+
+@query()
+def synthetic_link(spark, sf_dir):
+    first, second, true = synth.patients(spark, 300, 360, 0.3, 0.1)
+    fields = ["first_name", "last_name", "dob", "ssn", "address", "phone"]
+    a, b = (encoded(df.select("id", F.array(*fields).alias("values")), HARNESS).persist() for df in (first, second))
+    return evaluate.evaluate_bidirectional(workflows.two_party_blocks(a, b, Thresholds(100, 0.32)).select("id1", "id2"), true)

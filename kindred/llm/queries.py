@@ -24,7 +24,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    grammar = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    grammar = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels")))
     out = toxicity.scored(docs, grammar, keep=["doc_id"])
     return out.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 

@@ -34,7 +34,7 @@ TARGETS = frozenset("you your yours yourself u du dich dir dein deine ihr euch t
 NEGATIONS = frozenset("not no never neither nor without isn't aren't wasn't don't doesn't nicht kein keine keinen nie niemals ohne ne pas jamais sans aucun ni nunca jamás sin".split())
 REPORTS = frozenset("said says say called calls quoted quote wrote alleged reported claims sagte sagt nannte schrieb behauptete dit disait appelé écrit dijo dice llamó escribió".split())
 
-#: Labelled rows that the model is fitted on at most, those of smallest hash: the bound of the sample.
+#: Labelled documents that the model is fitted on at most, those of smallest hash: the bound of the sample.
 SAMPLE_ROWS = 16_000
 #: Lengths of word beginnings that may be lexicon entries.
 BEGINNINGS = (4, 5, 6, 7)
@@ -202,15 +202,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray
     return w
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Grammar:
-    """labelled: (doc_id, text, label 0/1). Learns from at most `sample_rows` distinct texts, those of smallest hash.
+def fit(labelled: DataFrame) -> Grammar:
+    """labelled: the bounded sample (doc_id, text, label 0/1) that `sample` gives. Exact copies count once.
 
     Without toxic rows the lexicon is empty and only the closed classes speak.
     """
     own = labelled.where(F.col("label").isNotNull()).select(text_or_empty().alias("text"), (F.col("label") > 0).cast("int").alias("label"), F.xxhash64(text_or_empty(), F.lit(3)).alias("_h"))
-    # Exact copies count once: one row a text hash, most toxic label first; the order by hash picks the sample.
-    picked = own.groupBy("_h").agg(F.max("label").alias("label")).orderBy("_h").limit(sample_rows)
-    rows = own.select("_h", "text").join(F.broadcast(picked), "_h").dropDuplicates(["_h"]).persist()
+    rows = own.groupBy("_h").agg(F.max("label").alias("label"), F.first("text").alias("text")).persist()
     n_pos, n_neg = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
     counts: list[tuple[str, int, int]] = []
     lexicon: dict[str, float] = {}
@@ -248,10 +246,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows that may be learned from; an id with several labels has its highest."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled ids that may be learned from, those of smallest hash.
+
+    An id with several labels has its highest. The ids are a bounded number, so they are broadcast and
+    the texts of all other documents stay where they are.
+    """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id")
+    picked = marks.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
+    return docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
 def scored(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kindred.functions import normalize as N
 from kindred.functions import sketch as S
+from kindred.functions.lineage import cut
+from kindred.functions.vectors import sketched
 from kindred.plans.profiles import Profile
 
 
@@ -38,26 +40,38 @@ def records(df: DataFrame, fields: list[str], profile: Profile, id_col: str | No
         key = F.col(id_col).cast("string")
     else:
         prefix = "anonymous_" if anonymous else "record_"
-        by = Window.orderBy(*(order or [F.monotonically_increasing_id()]))
-        numbered = numbered.withColumn("_n", F.row_number().over(by))
+        numbered = _numbered(numbered, order)
         key = F.concat(F.lit(prefix), F.col("_n").cast("string"))
     return encoded(numbered.select(key.alias("id"), F.col("_values").alias("values")), profile)
 
 
+def _numbered(df: DataFrame, order: list[str] | None) -> DataFrame:
+    """df with _n from 1 in the given order, by counts of sorted partitions: no task sees all rows."""
+    order = order or [F.monotonically_increasing_id()]
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    # The id counts rows within a partition in its low 33 bits.
+    return placed.join(F.broadcast(offsets), "_p").withColumn("_n", F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+
+
 def encoded(df: DataFrame, profile: Profile) -> DataFrame:
     """(id, values array<string>) to (id, bits, signature, qgrams); qgrams are those of the last value."""
-    parts = F.flatten(F.transform("values", lambda v: _bloom_values(v, profile)))
-    bits = S.bloom(parts, profile.m, profile.k)
-    if profile.random_bits:
-        bits = S.bloom_union(bits, S.random_bits(F.concat_ws("|", F.lit(profile.noise_seed), "id"), profile.random_bits, profile.m))
-    if profile.noise:
-        # One round of flips for every value added.
-        for j in range(_most_values(df)):
-            key = F.concat_ws("|", F.lit(profile.noise_seed), F.col("id"), F.lit(str(j)))
-            bits = F.when(F.size("values") > j, S.flipped(bits, key, profile.noise, profile.m)).otherwise(bits)
     last = N.bloom_text(F.element_at("values", -1))
-    out = df.withColumn("bits", bits)
-    return out.select("id", "bits", S.minhash(F.col("bits"), profile.s, profile.seed).alias("signature"), S.qgram_counts(last, profile.q, profile.pad).alias("qgrams"))
+    parts = F.flatten(F.transform("values", lambda v: _bloom_values(v, profile)))
+    own = df.select("id", F.size("values").alias("_n"), S.qgram_counts(last, profile.q, profile.pad).alias("qgrams"), parts.alias("_parts"))
+    out = sketched(own, "_parts", profile.m, profile.k, profile.s, profile.seed)
+    if profile.random_bits or profile.noise:
+        bits = F.col("bits")
+        if profile.random_bits:
+            bits = S.bloom_union(bits, S.random_bits(F.concat_ws("|", F.lit(profile.noise_seed), "id"), profile.random_bits, profile.m))
+        if profile.noise:
+            # One round of flips for every value added.
+            for j in range(_most_values(df)):
+                key = F.concat_ws("|", F.lit(profile.noise_seed), F.col("id"), F.lit(str(j)))
+                bits = F.when(F.col("_n") > j, S.flipped(bits, key, profile.noise, profile.m)).otherwise(bits)
+        out = out.withColumn("bits", bits).withColumn("signature", S.minhash(F.col("bits"), profile.s, profile.seed))
+    return out.select("id", "bits", "signature", "qgrams")
 
 
 def _most_values(df: DataFrame) -> int:

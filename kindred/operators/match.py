@@ -15,6 +15,10 @@ from kindred.functions.sketch import hamming, signature_jaccard
 from kindred.plans.profiles import Thresholds
 
 
+#: Longest prefix whose pairs of bits are keys; beyond it single bits are.
+PAIRED = 16
+
+
 def _ranked(first: DataFrame, second: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with `ranks`: their bits by rarity over both sides, rarest first."""
     both = first.select(F.explode("bits").alias("bit")).unionByName(second.select(F.explode("bits").alias("bit")))
@@ -43,15 +47,21 @@ def candidates(first: DataFrame, second: DataFrame, t: int, m: int = 1000) -> Da
         other = F.explode(F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: F.abs(x - n) <= t))
         sized = df.select("id", "ranks", n.alias("n"), other.alias("other"))
         overlap = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("other") - t) / 2).cast("int"))
-        prefix = F.slice("ranks", F.lit(1), F.greatest(F.lit(0), F.col("n") - overlap + 1).cast("int"))
+        two = F.when(F.greatest("n", "other") - overlap + 2 <= PAIRED, F.least(F.lit(2), overlap)).otherwise(F.lit(1))
+        prefix = F.slice("ranks", F.lit(1), F.greatest(F.lit(0), F.col("n") - overlap + two).cast("int"))
         own, its = ("other", "n") if flip else ("n", "other")
-        return sized.withColumn("prefix", prefix).select("id", "ranks", "prefix", F.col(own).alias("na"), F.col(its).alias("nb"), F.explode("prefix").alias("bit"))
+        held = sized.withColumn("single", two == 1).withColumn("prefix", prefix)
+        rest = lambda i: F.slice("prefix", i + 2, F.size("prefix"))
+        pairs = F.flatten(F.transform("prefix", lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        singles = F.transform("prefix", lambda x: F.struct(x.alias("x"), F.lit(-1).alias("y")))
+        keys = F.when(F.col("single"), singles).otherwise(pairs)
+        return held.select("id", "ranks", "prefix", "single", F.col(own).alias("na"), F.col(its).alias("nb"), F.explode(keys).alias("key"))
 
     left = keyed(a, lengths_b, False).withColumnsRenamed({"id": "id1", "ranks": "ra", "prefix": "pa"})
-    right = keyed(b, lengths_a, True).withColumnsRenamed({"id": "id2", "ranks": "rb", "prefix": "pb"})
-    joined = left.join(right, ["bit", "na", "nb"])
-    # A pair may meet on several bits: only the rarest counts, so no distinct is needed.
-    once = joined.where(F.array_min(F.array_intersect("pa", "pb")) == F.col("bit"))
+    right = keyed(b, lengths_a, True).drop("single").withColumnsRenamed({"id": "id2", "ranks": "rb", "prefix": "pb"})
+    joined = left.join(right, ["key", "na", "nb"]).withColumn("common", F.array_sort(F.array_intersect("pa", "pb")))
+    # A pair may meet on several keys: only its rarest common bits count, so no distinct is needed.
+    once = joined.where((F.get("common", F.lit(0)) == F.col("key.x")) & (F.col("single") | (F.get("common", F.lit(1)) == F.col("key.y"))))
     return once.select("id1", "id2", hamming(F.col("ra"), F.col("rb")).alias("distance")).where(F.col("distance") <= t)
 
 

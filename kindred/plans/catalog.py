@@ -37,7 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def party(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Customers with their nation as one party (a), and a corrupted part of them as the other (b)."""
-    joined = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, sf_dir, "customer")
+    # Encoding is costly for a row's size: a small file is dealt out to all cores first.
+    cores = spark.sparkContext.defaultParallelism
+    if customers.rdd.getNumPartitions() < cores:
+        customers = customers.repartition(cores)
+    joined = customers.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     where, columns = O.PARTIES[side]
     return joined.where(where).selectExpr(*columns)
 

@@ -31,16 +31,21 @@ def rate_limited(events: DataFrame, key: str, time: str, tie: str, limit: int =
     """events with `allowed`: at most `limit` events a window of a key; denied events don't count.
 
     A window opens at a key's first event and ends `seconds` later; the first event strictly after that
-    opens the next. Windows of a key follow from one another, so each key is walked in order; batch only.
+    opens the next. An event more than `seconds` after the one before opens a window whatever went before,
+    so a key's events fall into runs there, which are walked apart: a busy key is many groups. Batch only.
     """
+    columns = events.columns
+    by = Window.partitionBy(key).orderBy(time, tie)
+    gap = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(by).cast("timestamp")) > seconds * 1_000_000, F.lit(True))
+    runs = events.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema.fields)}, allowed boolean"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([time, tie], kind="stable")
         micros = (pdf[time].astype("datetime64[us]").astype("int64")).tolist()
-        return pdf.assign(allowed=_decide(micros, limit, seconds, 0, -1)[0])
+        return pdf[columns].assign(allowed=_decide(micros, limit, seconds, 0, -1)[0])
 
-    return events.groupBy(key).applyInPandas(walk, schema)
+    return runs.groupBy(key, "_run").applyInPandas(walk, schema)
 
 
 def rate_limited_stream(events: DataFrame, key: str, time: str, tie: str, limit: int = 5, seconds: int = WINDOW_SECONDS) -> DataFrame:

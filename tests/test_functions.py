@@ -58,6 +58,19 @@ def test_fnv_and_bloom(spark):
     assert one(spark, "person 0", lambda c: sketch.bloom(F.array(c))) == [165, 358, 391, 652, 809]
 
 
+def test_vectors_equal_expressions(spark):
+    from kindred.functions.vectors import sketched
+
+    random.seed(6)
+    word = lambda: "".join(random.choice("ab 01é") for _ in range(random.randint(0, 30)))
+    rows = [(i, [word() for _ in range(random.randint(0, 5))]) for i in range(60)] + [(60, []), (61, [""])]
+    df = spark.createDataFrame(rows, "id long, v array<string>")
+    for m, k, s in ((1000, 5, 20), (97, 3, 5)):
+        got = {r["id"]: (r["bits"], r["signature"]) for r in sketched(df, "v", m, k, s, "x").collect()}
+        native = df.select("id", sketch.bloom(F.col("v"), m, k).alias("bits")).select("id", "bits", sketch.minhash(F.col("bits"), s, "x").alias("signature"))
+        assert got == {r["id"]: (r["bits"], r["signature"]) for r in native.collect()}
+
+
 def test_membership_and_hamming(spark):
     df = spark.createDataFrame([("ab", "cd")], "a string, b string").select("*", sketch.bloom(F.array("a", "b")).alias("both"), sketch.bloom(F.array("a")).alias("one"))
     r = df.select(sketch.bloom_test(F.col("both"), F.col("b")), sketch.bloom_test(F.col("one"), F.col("b")), sketch.hamming(F.col("both"), F.col("one")), F.size("both") - F.size("one")).first()

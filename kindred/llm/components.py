@@ -14,17 +14,25 @@ def components(edges: DataFrame) -> DataFrame:
     Every step pre-aggregates by node, keeps the edge list no longer than it was, and cuts its
     lineage in the shared folder, so a lost executor costs one step.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    e = _small_star(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        e = cut(small.where("a <> b").distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == mark or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
+        e = _small_star(_large_star(e))
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every node's greater neighbours are tied to the least of its neighbourhood."""
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every node and its lesser neighbours are tied to the least of them. e: (a, b) with b < a."""
+    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    lesser = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return cut(lesser.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

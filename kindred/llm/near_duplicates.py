@@ -4,9 +4,9 @@
 2. Every representative stands in each tree of the forest under a path of least hashes. From the
    deepest prefix on, prefixes are shortened until pairs at the threshold meet in some tree with the
    target recall; the tries are sorted rows, and representatives under one prefix are a run.
-3. In a run, a few leaders stand for all: a member joins every leader it resembles in signature, with
-   margins so wide that two texts at the threshold share a leader. That costs rows in proportion to
-   the run, not to its square. Components of these links bring together what has to be verified.
+3. A run gives a spanning forest of those members that resemble one another in signature, with margins
+   so wide that two texts at the threshold are connected: rows in proportion to the run, not to its
+   square. Components of these links bring together what has to be verified.
 4. Within a component all pairs are verified exactly on the shingle sets, in tiles of bounded size;
    tiles return sums and spanning forests, no pairs.
 5. Components of the verified links are the classes.
@@ -27,8 +27,10 @@ from kindred.llm.shingles import mix, set_keys, shingle_sets, signatures
 
 #: Trees of the forest, deepest prefix, and recall for pairs just at the threshold.
 TREES, DEEPEST, RECALL = 24, 8, 0.99999
-#: Estimated similarity from which a leader covers a member, and from which a member joins a leader.
-COVERS, JOINS = 0.65, 0.35
+#: Estimated similarity from which two members are connected (six deviations below the threshold of 0.8 at 96
+#: places), and from which a leader's own comparisons stand for the member's: what is at the threshold to
+#: such a member is still well above the first figure to its leader.
+JOINS, COVERS = 0.55, 0.9
 #: Documents and bytes of shingles of one block; a tile holds two.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 24 << 20
 _LEAST = -(2**63)
@@ -100,26 +102,32 @@ def _signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, key long, key2 long, n int, prefixes array<long>, signature binary")
 
 
-def _leaders(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) from each leader of a run to the members that resemble it."""
-    nodes = table.column("node").to_numpy()
-    if len(nodes) < 2:
-        return
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(nodes), -1)
-    free = np.ones(len(nodes), bool)
-    a, b = [], []
-    while free.any():
-        i = int(np.argmax(free))
-        alike = np.empty(len(nodes))
-        for s in range(0, len(nodes), 8192):
-            alike[s : s + 8192] = (sig[s : s + 8192] == sig[i]).mean(1)
-        free[i] = False
-        free &= alike < COVERS
-        joined = np.flatnonzero(alike >= JOINS)
-        joined = joined[joined != i]
-        a.append(np.full(len(joined), nodes[i]))
-        b.append(nodes[joined])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def _connected(joins: float, covers: float) -> Callable:
+    """Of a run: a spanning forest (a, b) of the members that resemble one another."""
+
+    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        nodes = table.column("node").to_numpy()
+        if len(nodes) < 2:
+            return
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(nodes), -1)
+        free, group = np.ones(len(nodes), bool), np.arange(len(nodes))
+        a, b = [], []
+        while free.any():
+            i = int(np.argmax(free))
+            alike = np.empty(len(nodes))
+            for s in range(0, len(nodes), 8192):
+                alike[s : s + 8192] = (sig[s : s + 8192] == sig[i]).mean(1)
+            free[i] = False
+            free &= alike < covers
+            joined = np.flatnonzero((alike >= joins) & (group != group[i]))
+            if len(joined):
+                others, first = np.unique(group[joined], return_index=True)
+                a += [nodes[i]] * len(others)
+                b += nodes[joined[first]].tolist()
+                group[np.isin(group, others)] = group[i]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return of
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -210,6 +218,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     left aside; an empty table gives an empty result.
     """
     depth = prefix_length(threshold, trees, DEEPEST, recall)
+    joins, covers = threshold - 0.8 + JOINS, threshold - 0.8 + COVERS
     signed = cut(_signed(docs, size, trees, depth))
     reps = cut(
         signed.groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("signature").alias("signature"))
@@ -219,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     common = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("tree", "prefix")
     members = rows.join(common, ["tree", "prefix"]).join(reps.select(F.col("key").alias("node"), "signature"), "node")
     sorted_runs = members.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "node")
-    alike = sorted_runs.select("tree", "prefix", "node", "signature").mapInArrow(_runs(_leaders, ["tree", "prefix"]), "a long, b long")
+    alike = sorted_runs.select("tree", "prefix", "node", "signature").mapInArrow(_runs(_connected(joins, covers), ["tree", "prefix"]), "a long, b long")
     groups = components(alike)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     # Shingles of the representatives that have to be verified, once each.

@@ -188,6 +188,28 @@ def region(es: list[Event], w: dict[str, float]) -> tuple[int, int]:
     return best_at
 
 
+def _grown(es: list[Event], end: int) -> int:
+    """Where the region that ends before es[end] ends after growing: to its block's end, then by blocks with more plain than linked words."""
+    while end < len(es) and not es[end].block:
+        end += 1
+    at = end
+    while at < len(es):
+        e = es[at]
+        if e.block and (e.out or e.kind.lstrip("/") in CONTAINERS) or e.kind == "raw":
+            break
+        stop = at + 1
+        while stop < len(es) and not es[stop].block and es[stop].kind != "raw":
+            stop += 1
+        block = es[at:stop]
+        plain, linked = (sum(x.words for x in block if x.kind == k and not x.out) for k in ("word", "linked"))
+        if linked > plain:
+            break
+        at = stop
+        if plain:
+            end = at
+    return end
+
+
 def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
     """The page's main text: blocks in page order joined by two line feeds; '' if there is none."""
     if not page:
@@ -196,13 +218,15 @@ def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
     start, end = region(es, w or weights())
     if start == end:
         return ""
-    # The best region may shave short blocks off the article's ends: it grows while nothing outside the article comes.
+    # The best region may shave short blocks off the article's ends. Where an article or main element holds
+    # it, all of that element is the article; else it grows by blocks up to the next container or link list.
     holder = Counter(e.holder for e in es[start:end] if e.words and not e.out).most_common(1)[0][0]
-    inside = (lambda e: e.holder == holder) if holder else (lambda e: e.kind != "linked" and e.kind.lstrip("/") not in CONTAINERS)
-    while start and inside(es[start - 1]) and not es[start - 1].out:
-        start -= 1
-    while end < len(es) and inside(es[end]) and not es[end].out:
-        end += 1
+    if holder:
+        own = [i for i, e in enumerate(es) if e.holder == holder]
+        start, end = own[0], own[-1] + 1
+    else:
+        end = _grown(es, end)
+        start = len(es) - _grown(es[::-1], len(es) - start)
     blocks: list[str] = []
     held: list[str] = []
 

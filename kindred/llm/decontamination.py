@@ -63,7 +63,7 @@ class Pattern:
         m, eq = self.m, self.eq
         mask, high = (1 << m) - 1, 1 << (m - 1)
         pv, mv, score = mask, 0, m
-        best, end = most + 1, -1
+        best, end = (m, 0) if m <= most else (most + 1, -1)
         for j, c in enumerate(text):
             x = eq.get(c, 0) | mv
             d = ((((x & pv) + pv) ^ pv) | x) & mask

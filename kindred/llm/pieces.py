@@ -1,7 +1,7 @@
 """Encoding of whole texts by distinct pieces.
 
 A byte-level BPE splits a text before it merges. Between a character that is no white space
-and a space no split can be bridged, so a text falls into pieces at such places, whose encodings
+and a space there is always a split, so a text falls into pieces at such places, whose encodings
 together are the text's encoding. Most pieces recur; each distinct one is encoded once and kept
 in a table of bounded size. The library's own pre-tokenizer and merge model encode them.
 

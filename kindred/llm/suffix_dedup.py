@@ -20,6 +20,7 @@ are merged by binary search.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from kindred.llm.shingles import mix
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text that a task looks at together, and bytes of the corpus per shard.
-SLICE_BYTES, SHARD_BYTES = 4 << 20, 24 << 20
+SLICE_BYTES, SHARD_BYTES = 1 << 20, 6 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
@@ -52,11 +53,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     out = np.full(len(data), _MAX)
     if n <= 0:
         return out
-    h, held = data.astype(_U) + _U(1), {}
+    h = data.astype(_U) + _U(1)
     for step in (1, 2, 4, 8):
         h = h[:-step] * _power(step) + h[step:]
-        held[2 * step] = h
-    out[:n] = np.minimum(mix(held[16][:n] * _power(4) + held[4][16 : 16 + n]), _MAX - _U(1))
+        if step == 2:
+            four = h
+    out[:n] = np.minimum(mix(h[:n] * _power(4) + four[16 : 16 + n]), _MAX - _U(1))
     return out
 
 
@@ -312,42 +314,46 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _power_table("down", _U(pow(int(_BASE), -1, 1 << 64)), n)
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, rank of each place), by their first `depth` bytes at least, by Larsson-Sadakane refinement.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """The suffixes of contexts that each end in a 0 byte, in order, by Larsson-Sadakane refinement.
 
-    Suffixes that agree so far share a rank: the place of their group's first member. Each round looks
-    only at groups that are still tied, by the ranks as many bytes further on as are sorted already.
+    A suffix ends with its context; equal ones stand in order of their contexts, so the order is total
+    and Kasai's inequality holds. Suffixes that agree so far share a rank: the place of their group's
+    first member. Each round looks only at groups that are still tied, by the ranks as many bytes
+    further on as are sorted already.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, _U)
+    key, going = np.zeros(n, _U), np.ones(n, bool)
     for j in range(8):
-        key = (key << _U(8)) | padded[j : j + n].astype(_U)
-    sa = np.argsort(key, kind="stable")
+        byte = padded[j : j + n]
+        key = (key << _U(8)) | np.where(going, byte, 0).astype(_U)
+        going &= byte != 0
+    sa = np.argsort(key)
     k = key[sa]
     head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(head, n))
     rank = np.empty(n, np.int64)
     rank[sa] = np.repeat(head, sizes)
     tied = np.repeat(sizes > 1, sizes)
-    h = 8
-    while h < depth:
+    h = 0
+    while True:
         slot = np.flatnonzero(tied)
         if not len(slot):
-            break
+            return sa
         at = sa[slot]
-        further = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1)
-        order = np.lexsort((further, rank[at]))
-        at, further = at[order], further[order]
+        # First, those that ended within eight bytes are told apart by place; all later ties go on beyond h.
+        further = rank[np.minimum(at + h, n - 1)] if h else np.where(going[at], 0, at)
+        both = (rank[at] << 32) | further  # a shard is far below 2**31 bytes
+        order = np.argsort(both)
+        at, both = at[order], both[order]
         sa[slot] = at
-        group = rank[at]
-        head = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (further[1:] != further[:-1])]))
+        head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
         sizes = np.diff(np.append(head, len(at)))
         rank[at] = np.repeat(slot[head], sizes)
         tied = np.zeros(n, bool)
         tied[slot] = np.repeat(sizes > 1, sizes)
-        h *= 2
-    return sa, rank
+        h = 2 * h or 8
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -381,16 +387,15 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts
 
 
 def least_documents(contexts: list[bytes], documents: np.ndarray, length: int) -> np.ndarray:
-    """(len(contexts), 31): for each distinct context and window the least document that holds the window's string.
+    """(contexts, windows): for each distinct context and window the least document that holds the window's string.
 
-    Bytes are raised by one in 16 steps of their own, so 0 ends a context and never occurs in it.
+    A context ends in a 0 byte, so it must not hold one; `_least_by_zeros` sees to those that do.
     """
     sizes = np.array([len(c) for c in contexts])
-    # A context ends in a 0; documents with 0 bytes are told apart by the caller.
     data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     counts = sizes - length + 1
-    sa, _ = suffix_array(data, length)
+    sa = suffix_array(data)
     common = common_prefixes(data, sa, starts, counts, length)
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)[sa]
     offset = sa - starts[owner]
@@ -432,9 +437,9 @@ def _settle(length: int):
 
 
 def _merge(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The sorted distinct contexts of all tasks, and each context's place among them, by binary search."""
     distinct = sorted(set(texts))
-    place = {t: i for i, t in enumerate(distinct)}
-    return distinct, np.fromiter(map(place.__getitem__, texts), np.int64, len(texts))
+    return distinct, np.fromiter((bisect_left(distinct, t) for t in texts), np.int64, len(texts))
 
 
 def _least_by_zeros(contexts: list[bytes], documents: np.ndarray, length: int) -> np.ndarray:

@@ -297,9 +297,10 @@ def matching_buckets(spark, sf_dir):
 def encrypted_bucket_join(spark, sf_dir):
     """Buckets of both parties met under two keys: the join on plain buckets must find the same rows."""
     one, two = b"\x11" * 32, b"\x22" * 32
-    a, b = (blocking.buckets(encoded_party(spark, sf_dir, side).where(f"cast(substring(id, 2) as int) <= 40")) for side in "ab")
-    a2 = curve.doubly_encrypted(curve.encrypted_buckets(a, one), two)
-    b2 = curve.doubly_encrypted(curve.encrypted_buckets(b, two), one)
+    a, b = (blocking.buckets(encoded_party(spark, sf_dir, side)) for side in "ab")
+    # Points are read twice below, for their distinct values and for the join: kept, they are encrypted once.
+    a2 = curve.doubly_encrypted(curve.encrypted_buckets(a, one).persist(), two)
+    b2 = curve.doubly_encrypted(curve.encrypted_buckets(b, two).persist(), one)
     return a2.select("double", F.col("id").alias("id1")).join(b2.select("double", F.col("id").alias("id2")), "double").select("id1", "id2").distinct()
 
 

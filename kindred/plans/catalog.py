@@ -307,7 +307,7 @@ def encrypted_bucket_join(spark, sf_dir):
 @query()
 def within_duplicates(spark, sf_dir):
     own = encoded_party(spark, sf_dir, "a").persist()
-    return workflows.within(own, Thresholds(), 5000)
+    return workflows.within(own, Thresholds())
 
 
 @query()

@@ -10,3 +10,20 @@ def test_encrypted_bucket_join_is_the_plain_join_of_whole_parties(spark, sf_dir,
     rows = [tuple(r) for r in catalog.encrypted_bucket_join(spark, str(tmp_path)).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert any(int(x[1:]) > 40 for x, _ in rows)
+
+
+def test_within_duplicates_compares_all_candidates(spark, sf_dir, monkeypatch):
+    limits, plain = [], blocking.candidate_pairs
+    monkeypatch.setattr(blocking, "candidate_pairs", lambda blocks, limit=None: limits.append(limit) or plain(blocks, limit))
+    got = {(r["id1"], r["id2"]) for r in catalog.within_duplicates(spark, sf_dir).collect()}
+    assert limits == [None]
+    own = {r["id"]: (set(r["bits"]), r["signature"]) for r in catalog.encoded_party(spark, sf_dir, "a").collect()}
+    shared = lambda x, y: any(own[x][1][i : i + 4] == own[y][1][i : i + 4] for i in range(0, 100, 4))
+    alike = lambda x, y: len(own[x][0] ^ own[y][0]) <= 20 and sum(p == q for p, q in zip(own[x][1], own[y][1])) >= 32
+    assert got == {(x, y) for x in own for y in own if x < y and shared(x, y) and alike(x, y)}
+
+
+def test_cap_of_candidates_is_an_option(spark, sf_dir):
+    blocks = blocking.buckets(catalog.encoded_party(spark, sf_dir, "a")).persist()
+    pairs = [(r["id1"], r["id2"]) for r in blocking.candidate_pairs(blocks).collect()]
+    assert [(r["id1"], r["id2"]) for r in blocking.candidate_pairs(blocks, 3).collect()] == sorted(pairs)[:3]

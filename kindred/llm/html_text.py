@@ -2,8 +2,9 @@
 
 A page is a sequence of events: words, and tags that open or close. Words score positive and tags
 negative, each with a weight for its kind and surroundings, fitted as log odds on labelled pages
-(`LABELLED`). One linear scan finds the contiguous region of highest sum. Its blocks are the text,
-without what menus, notices, forms and the like hold inside it.
+(`LABELLED`). One linear scan finds the contiguous region of highest sum. It grows to the ends of the
+article and main elements that it touches. Its blocks are the text, without what menus, notices, forms
+and the like hold inside it.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ OUTSIDE = frozenset("nav footer aside form header menu button dialog head label"
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: Elements that hold the article if they hold the region.
+#: Elements that the region grows to the ends of if it touches them.
 HOLDERS = frozenset(["article", "main"])
 #: Where the region stops growing on pages without a holder.
 CONTAINERS = frozenset("div section body html table ul ol raw".split())
@@ -66,7 +67,7 @@ class Event:
 
 
 def events(page: str) -> list[Event]:
-    """The page's events. out: inside an element that is not the article's. holder: the ordinal of the innermost article or main."""
+    """The page's events. out: inside an element that is not the article's. holder: the ordinal of the outermost article or main."""
     found: list[Event] = []
     stack: list[tuple[str, bool, int]] = []  # name, out, holder
     outs, holder, holders = 0, 0, 0
@@ -109,7 +110,7 @@ def events(page: str) -> list[Event]:
             o = _outside(name, attributes)
             stack.append((name, o, holder))
             outs += o
-            if name in HOLDERS:
+            if name in HOLDERS and not holder:
                 holders += 1
                 holder = holders
             found.append(Event(name, "", 0, outs > 0, holder, block))
@@ -210,6 +211,13 @@ def _grown(es: list[Event], end: int) -> int:
     return end
 
 
+def _held(es: list[Event], start: int, end: int) -> tuple[int, int]:
+    """The region grown to the ends of the outermost article and main elements whose words it holds."""
+    touched = {e.holder for e in es[start:end] if e.holder and e.words and not e.out}
+    own = [i for i, e in enumerate(es) if e.holder in touched]
+    return (min(start, own[0]), max(end, own[-1] + 1)) if own else (start, end)
+
+
 def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
     """The page's main text: blocks in page order joined by two line feeds; '' if there is none."""
     if not page:
@@ -218,15 +226,15 @@ def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
     start, end = region(es, w or weights())
     if start == end:
         return ""
-    # The best region may shave short blocks off the article's ends. Where an article or main element holds
-    # it, all of that element is the article; else it grows by blocks up to the next container or link list.
-    holder = Counter(e.holder for e in es[start:end] if e.words and not e.out).most_common(1)[0][0]
-    if holder:
-        own = [i for i, e in enumerate(es) if e.holder == holder]
-        start, end = own[0], own[-1] + 1
-    else:
+    # The best region may shave short blocks off the article's ends. An end inside an article or main element
+    # goes to that element's; any other grows by blocks up to the next container or link list.
+    head, tail = es[start].holder, es[end - 1].holder
+    start, end = _held(es, start, end)
+    if not tail:
         end = _grown(es, end)
+    if not head:
         start = len(es) - _grown(es[::-1], len(es) - start)
+    start, end = _held(es, start, end)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -238,7 +246,7 @@ def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
     for e in es[start:end]:
         if e.block:
             close()
-        if not e.out and e.text and (not holder or e.holder == holder):
+        if not e.out and e.text:
             held.append(e.text)
     close()
     return "\n\n".join(blocks)

@@ -13,8 +13,9 @@ prefixes; it walks all contexts in step, so it is numpy throughout. Neighbours w
 of `length` bytes or more are one string, whose least document stays.
 
 Contexts that recur within a task are merged before they are sent, so a passage that a third of all
-documents hold sends one context a task. In a shard, sorted runs of contexts from different tasks
-are merged by binary search.
+documents hold sends one context a task. In a shard, the contexts of all tasks are sorted and made
+distinct, and each finds its place by binary search. Suffix arrays of different shards are not merged:
+all contexts of an anchor are in one shard.
 """
 
 from __future__ import annotations

@@ -407,6 +407,16 @@ def encrypted_round_trip(spark, sf_dir):
 ORACLES["encrypted_round_trip"] = "select n_name, n_name as back, true as wrong_key_fails from nation"
 
 
+@query("select concat('a', c_custkey) as id, true as same, true as wrong_key_fails from customer")
+def encrypted_token_round_trip(spark, sf_dir):
+    """The round trip over the token rows of a whole party."""
+    key = "00112233445566778899aabbccddeeff" * 2
+    rows = sinks.token_rows(encoded_party(spark, sf_dir, "a"), VALIDATE, "2024-01-01T00:00:00Z")
+    own = rows.select("id", F.concat_ws(",", *rows.columns).alias("line")).withColumn("c", tokens.encrypted(F.encode("line", "UTF-8"), key))
+    back = F.decode(tokens.decrypted(F.col("c"), key), "UTF-8")
+    return own.select("id", back.eqNullSafe(F.col("line")).alias("same"), tokens.decrypted(F.col("c"), "0" * 64).isNull().alias("wrong_key_fails"))
+
+
 @query()
 def rate_limit(spark, sf_dir):
     own = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")

@@ -27,3 +27,9 @@ def test_cap_of_candidates_is_an_option(spark, sf_dir):
     blocks = blocking.buckets(catalog.encoded_party(spark, sf_dir, "a")).persist()
     pairs = [(r["id1"], r["id2"]) for r in blocking.candidate_pairs(blocks).collect()]
     assert [(r["id1"], r["id2"]) for r in blocking.candidate_pairs(blocks, 3).collect()] == sorted(pairs)[:3]
+
+
+def test_encrypted_token_round_trip_takes_a_whole_party(spark, sf_dir):
+    own = catalog.table(spark, sf_dir, "customer").selectExpr("concat('a', c_custkey)")
+    got = [tuple(r) for r in catalog.encrypted_token_round_trip(spark, sf_dir).collect()]
+    assert sorted(got) == sorted((x, True, True) for (x,) in own.collect())

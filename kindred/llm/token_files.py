@@ -29,9 +29,9 @@ from kindred.llm.pieces import encoder
 END = 0
 #: Ids of one block at about; bytes of text of one file at about.
 BLOCK_IDS, FILE_BYTES = 4 << 20, 32 << 20
-#: Rounds of pair replacement, rules of one round, and positions that a round counts pairs on.
-ROUNDS, RULES, COUNTED = 8, 1536, 1 << 19
-#: A pair is worth a rule if it is met so often on the counted positions.
+#: Rules of one round of pair replacement.
+RULES = 1536
+#: Rounds go on until no pair is met so often in the block.
 LEAST = 12
 #: Symbols stay below this, so that they fit 16 bits wherever the vocabulary does.
 MOST_SYMBOLS = 1 << 16
@@ -39,13 +39,6 @@ MOST_SYMBOLS = 1 << 16
 FORMAT = "file long, block int, vocabulary int, n_ids long, doc_ids binary, first_symbol binary, n_tokens binary, rules binary, lengths binary, symbols binary, width int"
 
 
-def _stretches(n: int, most: int) -> list[tuple[int, int]]:
-    if n <= most:
-        return [(0, n)]
-    parts = 16
-    return [(i * (n - most // parts) // (parts - 1), i * (n - most // parts) // (parts - 1) + most // parts) for i in range(parts)]
-
-
 def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths): rules[i] is the pair that symbol vocabulary + i stands for, lengths[i] its length in ids.
 
@@ -57,10 +50,8 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray,
     closed = np.arange(vocabulary) == END
     used = vocabulary
     room = MOST_SYMBOLS - vocabulary if vocabulary < MOST_SYMBOLS else 1 << 30
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or room <= 0:
-            break
-        keys = np.concatenate([(seq[a : b - 1] << 32) | seq[a + 1 : b] for a, b in _stretches(len(seq), COUNTED)])
+    while len(seq) >= 2 and room > 0:
+        keys = (seq[:-1] << 32) | seq[1:]
         keys = np.sort(keys[~closed[keys >> 32]])
         if not len(keys):
             break

@@ -39,11 +39,11 @@ def text_or_empty(text: str = "text") -> Column:
 
 
 def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
-    """Consecutive lists of texts of about `most` characters each."""
+    """Consecutive lists of texts of about `most` UTF-8 bytes each."""
     held, n = [], 0
     for t in texts:
         held.append(t)
-        n += len(t)
+        n += len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
         if n >= most:
             yield held
             held, n = [], 0

@@ -1,30 +1,33 @@
-"""Encoding of whole texts by distinct pieces.
+"""Encoding of whole texts by the tokenizers library.
 
-A byte-level BPE splits a text before it merges. Between a character that is no white space
-and a space there is always a split, so a text falls into pieces at such places, whose encodings
-together are the text's encoding. Most pieces recur; each distinct one is encoded once and kept
-in a table of bounded size. The library's own pre-tokenizer and merge model encode them.
+Counts come from the library's batches: texts in lists of about equal bytes, long ones cut at safe
+places, between a letter or digit and a space before something that is no white space. There a
+byte-level BPE always splits before it merges, so the parts' encodings together are the text's.
 
-Texts with runs of white space next to spaces, or with an added token's string inside, go
-to the library whole, long ones cut at safe places.
+Ids for files come by distinct pieces: a text falls into pieces at its spaces, most recur, and each
+distinct one is encoded once, by the library's own pre-tokenizer and merge model, and kept in a table
+of bounded bytes. Texts with runs of white space next to spaces, or with an added token's string
+inside, go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import regex
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Encoding, Tokenizer, models, pre_tokenizers
 
 from kindred.llm.common import by_bytes
 
-#: Distinct pieces kept by one Python worker; at this number the table starts anew.
-KEPT_PIECES = 1 << 20
-#: Characters of one call of the library, and length from which a text is cut at safe places.
-BATCH_CHARS, LONG_CHARS = 1 << 20, 1 << 16
+#: Bytes of distinct pieces that one Python worker keeps, with what an entry costs besides its letters and
+#: ids; beyond it the tables start anew. Longer pieces than this many characters are not kept.
+KEPT_BYTES, ENTRY_BYTES, KEPT_CHARS = 64 << 20, 160, 64
+#: Bytes of one call of the library, and characters from which a text is cut at safe places.
+BATCH_BYTES, LONG_CHARS = 1 << 20, 1 << 16
 
 #: Pieces whose splits the public pattern gives as the library does: no controls, no scripts whose classes change.
 _PLAIN = re.compile(r"[ \n!-~\u00a1-\u024f]+")
@@ -85,11 +88,18 @@ class PieceEncoder:
         self.heads: dict[str, bytes | bool] = {}
         self.tails: dict[str, bytes | bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, table: dict, piece: str, ids: bytes | bool) -> bytes | bool:
+        if len(piece) <= KEPT_CHARS:
+            table[piece] = ids
+            self.held += ENTRY_BYTES + len(piece) + (len(ids) if ids else 0)
+        return ids
 
     def _word(self, mapped: str) -> bytes:
         got = self.words.get(mapped)
         if got is None:
-            got = self.words[mapped] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            got = self._keep(self.words, mapped, array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes())
         return got
 
     def _piece(self, piece: str) -> bytes:
@@ -105,15 +115,19 @@ class PieceEncoder:
         odd = not word or word[0].isspace() or word[-1].isspace()
         return not odd and self._piece(" " + word)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        """By the library, in calls of balanced size."""
+    def _calls(self, texts: list[str]) -> Iterator[tuple[int, Encoding]]:
+        """(text, encoding) of each part of each text, by the library, in calls of balanced bytes."""
         parts = [(i, p) for i, t in enumerate(texts) for p in (safe_cuts(t) if self.by_piece else [t])]
-        out = [bytearray() for _ in texts]
         at = 0
-        for call in by_bytes((p for _, p in parts), BATCH_CHARS):
+        for call in by_bytes((p for _, p in parts), BATCH_BYTES):
             for e in self.tokenizer.encode_batch_fast(call, add_special_tokens=False):
-                out[parts[at][0]] += array("I", e.ids).tobytes()
+                yield parts[at][0], e
                 at += 1
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = [bytearray() for _ in texts]
+        for i, e in self._calls(texts):
+            out[i] += array("I", e.ids).tobytes()
         return [bytes(x) for x in out]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -121,8 +135,6 @@ class PieceEncoder:
         out: list[bytes | None] = [None] * len(texts)
         rest: list[int] = []
         tails, heads = self.tails, self.heads
-        if max(len(tails), len(self.words)) > KEPT_PIECES:
-            tails.clear(), heads.clear(), self.words.clear()
         find = tails.get
         for i, t in enumerate(texts):
             if not t:
@@ -131,6 +143,9 @@ class PieceEncoder:
             if not self.by_piece or any(a in t for a in self.added):
                 rest.append(i)
                 continue
+            if self.held > KEPT_BYTES:
+                tails.clear(), heads.clear(), self.words.clear()
+                self.held = 0
             first, *words = t.split(" ")
             got = list(map(find, words))
             if None in got:
@@ -139,10 +154,10 @@ class PieceEncoder:
                         w = words[j]
                         got[j] = x = find(w)
                         if x is None:
-                            got[j] = tails[w] = self._tail(w)
-            if first not in heads:
-                heads[first] = b"" if not first else not first[-1].isspace() and self._piece(first)
-            head = heads[first]
+                            got[j] = self._keep(tails, w, self._tail(w))
+            head = heads.get(first)
+            if head is None:
+                head = self._keep(heads, first, b"" if not first else not first[-1].isspace() and self._piece(first))
             try:
                 out[i] = head + b"".join(got)
             except TypeError:
@@ -152,7 +167,11 @@ class PieceEncoder:
         return out
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        return np.fromiter((len(x) >> 2 for x in self.encode(texts)), np.int64, len(texts))
+        """Lengths only, of each text: the library encodes batches balanced by bytes, long texts cut at safe places."""
+        out = np.zeros(len(texts), np.int64)
+        for i, e in self._calls([t or "" for t in texts]):
+            out[i] += len(e)
+        return out
 
 
 _made: dict[str, PieceEncoder] = {}

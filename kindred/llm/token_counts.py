@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from kindred.llm.common import text_or_empty
 from kindred.llm.pieces import encoder
 
-#: Characters handed to the encoder at once.
-SLICE_CHARS = 4 << 20
+#: Bytes of text handed to the encoder at once.
+SLICE_BYTES = 4 << 20
 
 
 def default_vocabulary() -> str:
@@ -24,12 +24,12 @@ def default_vocabulary() -> str:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Row ranges of `batch` with about SLICE_CHARS bytes of text each."""
+    """Row ranges of `batch` with about SLICE_BYTES bytes of text each."""
     texts = batch.column(1)
     start, held = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         held += n or 0
-        if held >= SLICE_CHARS:
+        if held >= SLICE_BYTES:
             yield batch.slice(start, i + 1 - start)
             start, held = i + 1, 0
     if start < batch.num_rows:
@@ -40,7 +40,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """(id, n_bytes, n_tokens, over_limit) of every row, without begin, end or added special tokens.
 
     vocabulary: a file of the tokenizers library, at the same path on every executor.
-    A null text counts as empty (0 bytes, 0 tokens). Repeated rows are counted each. Strings of
+    A null text counts as empty (0 bytes, 0 tokens); a null id stays null. Repeated rows are counted
+    each. A long text is encoded in parts, cut at safe places; one without such a place, as a whole. Strings of
     special tokens inside a text are handled as the library does by default. Other columns of
     `docs` are left aside, so their names cannot clash. An empty table gives an empty result.
     """

@@ -47,6 +47,23 @@ def test_other_vocabulary_goes_to_the_library():
     assert e.count(TEXTS).tolist() == [len(w.ids) for w in want]
 
 
+def test_counts_equal_ids_and_long_texts(library):
+    texts = [*TEXTS, None, "word one, two " * 20000, "漢字" * 40_000, "ab" * 70_000]
+    e = pieces.PieceEncoder(PATH)
+    assert e.count(texts).tolist() == [len(ids_of(library, t)) for t in texts]
+
+
+def test_tables_stay_within_their_bytes(library, monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 20_000)
+    e = pieces.PieceEncoder(PATH)
+    long = ["x%d" % i + "q" * 50_000 for i in range(5)]
+    texts = [*long, *(f"a{i} b{i} c{i * 7}" for i in range(2000))]
+    got = e.encode(texts)
+    assert [len(g) // 4 for g in got] == e.count(texts).tolist()
+    held = sum(len(k) + len(v or b"") + pieces.ENTRY_BYTES for t in (e.heads, e.tails, e.words) for k, v in t.items())
+    assert held < 25_000 and max(map(len, e.heads | e.tails | e.words)) <= pieces.KEPT_CHARS
+
+
 def test_safe_cuts_rejoin():
     text = "word one, two " * 20000
     parts = pieces.safe_cuts(text, 1000)

@@ -1,13 +1,13 @@
 """Token ids in files, compressed by a Re-Pair grammar.
 
-Documents lie in ascending id order in blocks of bounded size. In each block frequent pairs of ids
-are replaced by nonterminals again and again. A block's record holds the rules (a pair of symbols
-each), the length that every nonterminal expands to, the remaining symbols, and for each document
-the place of its first symbol, so that one document is decoded without the others.
-
-A round of Re-Pair replaces many frequent pairs at once: overlapping occurrences are settled from
-left to right, and pair counts come from evenly spaced stretches of the block. Both only decide which
-rules are made; every block expands to exactly the ids that went in.
+Documents lie in ascending id order in blocks of bounded size, the shards of the grammar. In each block
+the frequent pairs of symbols are replaced by nonterminals again and again, counted over the whole
+block each time, until no pair occurs as often as its rule costs. A block's record holds the rules (a
+pair of symbols each), the length that every nonterminal expands to, the remaining symbols, and for
+each document the place of its first symbol, so that one document is decoded without the others.
+
+Where Re-Pair replaces one pair at a time, a round here replaces all pairs at least a quarter as
+frequent as the most frequent one; of overlapping occurrences the more frequent pair's are replaced.
 """
 
 from __future__ import annotations
@@ -27,68 +27,110 @@ from kindred.llm.pieces import encoder
 
 #: Id that ends each document.
 END = 0
-#: Ids of one block at about; bytes of text of one file at about.
-BLOCK_IDS, FILE_BYTES = 4 << 20, 32 << 20
-#: Rules of one round of pair replacement.
-RULES = 1536
-#: Rounds go on until no pair is met so often in the block.
-LEAST = 12
-#: Symbols stay below this, so that they fit 16 bits wherever the vocabulary does.
-MOST_SYMBOLS = 1 << 16
+#: Ids of one block at about; bytes of text of one file at about, and files at most before they grow.
+BLOCK_IDS, FILE_BYTES, FILES = 2 << 20, 32 << 20, 1 << 16
+#: A rule costs two symbols and a length, and saves a symbol for each occurrence: fewer don't pay.
+LEAST = 4
+#: A round replaces pairs down to this share of the most frequent pair's count.
+SHARE = 4
 
-FORMAT = "file long, block int, vocabulary int, n_ids long, doc_ids binary, first_symbol binary, n_tokens binary, rules binary, lengths binary, symbols binary, width int"
+FORMAT = "file long, block int, vocabulary int, n_ids long, doc_ids binary, first_symbol binary, n_tokens binary, rules binary, lengths binary, symbols binary"
 
 
-def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _every_second(at: np.ndarray) -> np.ndarray:
+    """Marks, in runs of neighbouring places, the first, third, fifth and so on."""
+    begins = np.concatenate([[True], at[1:] != at[:-1] + 1])
+    first = np.flatnonzero(begins)
+    return (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0
+
+
+def _pairs(seq: np.ndarray) -> np.ndarray:
+    return (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+
+
+def counted_pairs(seq: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts): the pairs that a rule may replace, each with its occurrences that don't overlap.
+
+    A pair is left symbol << 32 | right symbol; pairs whose left symbol is `closed` are no candidates.
+    """
+    ok = ~closed[seq[:-1]]
+    same = np.flatnonzero(seq[:-1] == seq[1:])
+    if len(same):
+        ok[same[~_every_second(same)]] = False
+    keys = _pairs(seq)[ok]
+    keys.sort()
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
+def _settled(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Marks occurrences (ascending places, no neighbours of equal rank) so that none overlap, lower ranks first."""
+    keep = np.zeros(len(at), bool)
+    live = np.arange(len(at))
+    while len(live):
+        a, r = at[live], rank[live]
+        touch = np.flatnonzero(a[1:] == a[:-1] + 1)
+        wins = np.ones(len(live), bool)
+        left = r[touch] < r[touch + 1]
+        wins[touch[~left]] = False
+        wins[touch[left] + 1] = False
+        keep[live[wins]] = True
+        gone = wins.copy()
+        gone[touch[wins[touch]] + 1] = True
+        gone[touch[wins[touch + 1]]] = True
+        live = live[~gone]
+    return keep
+
+
+def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths): rules[i] is the pair that symbol vocabulary + i stands for, lengths[i] its length in ids.
 
-    A pair never starts with END or what ends in it, so no symbol crosses the end of a document.
+    No pair that a rule may replace is left with `least` occurrences or more. A pair never starts with
+    END or what ends in it, so no symbol crosses the end of a document.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(vocabulary, np.int64)
     closed = np.arange(vocabulary) == END
     used = vocabulary
-    room = MOST_SYMBOLS - vocabulary if vocabulary < MOST_SYMBOLS else 1 << 30
-    while len(seq) >= 2 and room > 0:
-        keys = (seq[:-1] << 32) | seq[1:]
-        keys = np.sort(keys[~closed[keys >> 32]])
-        if not len(keys):
+    while len(seq) > 1:
+        pairs, counts = counted_pairs(seq, closed)
+        if not len(counts) or counts.max() < least:
             break
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(np.append(starts, len(keys)))
-        often = np.flatnonzero(counts >= LEAST)
-        most = min(RULES, room)
-        if len(often) > most:
-            often = often[np.argsort(-counts[often], kind="stable")[:most]]
-        if not len(often):
-            break
-        chosen = np.sort(keys[starts[often]])
-        left, right = chosen >> 32, chosen & 0xFFFFFFFF
+        often = np.flatnonzero(counts >= max(least, counts.max() // SHARE))
+        chosen = pairs[often]
+        left, right = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        rank = np.empty(len(chosen), np.int64)
+        rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(chosen))
         is_left, is_right = np.zeros(used, bool), np.zeros(used, bool)
         is_left[left], is_right[right] = True, True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        pair = (seq[at] << 32) | seq[at + 1]
+        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         rule = np.searchsorted(chosen, pair)
         rule[rule == len(chosen)] = 0
         hit = chosen[rule] == pair
         at, rule = at[hit], rule[hit]
-        if not len(at):
-            break
-        # In a run of neighbouring hits every second one is replaced, from the left.
-        begins = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        first = np.flatnonzero(begins)
-        offset = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-        keep = offset % 2 == 0
-        at, rule = at[keep], rule[keep]
+        same = np.flatnonzero(left[rule] == right[rule])
+        if len(same):
+            stays = np.ones(len(at), bool)
+            stays[same[~_every_second(at[same])]] = False
+            at, rule = at[stays], rule[stays]
+        kept = _settled(at, rank[rule])
+        at, rule = at[kept], rule[kept]
+        # Rules that lost too many occurrences to more frequent ones wait for a later round.
+        pays = np.bincount(rule, minlength=len(chosen)) >= least
+        number = np.cumsum(pays) - 1
+        kept = pays[rule]
+        at, rule = at[kept], number[rule[kept]]
+        left, right = left[pays], right[pays]
         seq[at] = used + rule
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq = seq[gone]
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        seq = seq[stays]
         rules.append(np.stack([left, right], 1))
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
         closed = np.concatenate([closed, closed[right]])
-        used, room = used + len(chosen), room - len(chosen)
+        used += len(left)
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return seq, made.astype(np.uint32), lengths[vocabulary:].astype(np.uint32)
 
@@ -102,11 +144,20 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         flat = np.empty(self.starts[-1], np.uint32)
         flat[:vocabulary] = np.arange(vocabulary)
-        for i, (a, b) in enumerate(rules.astype(np.int64).tolist()):
-            to = self.starts[vocabulary + i]
-            middle = to + self.lengths[a]
-            flat[to:middle] = flat[self.starts[a] : self.starts[a + 1]]
-            flat[middle : middle + self.lengths[b]] = flat[self.starts[b] : self.starts[b + 1]]
+        done = np.arange(len(self.lengths)) < vocabulary
+        pair, waiting = rules.astype(np.int64), np.arange(len(rules))
+        # Level by level: the rules whose two symbols are expanded already.
+        while len(waiting):
+            ready = done[pair[waiting]].all(1)
+            own = waiting[ready]
+            to = self.starts[vocabulary + own]
+            for symbol in pair[own].T:
+                n = self.lengths[symbol]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                flat[np.repeat(to, n) + step] = flat[np.repeat(self.starts[symbol], n) + step]
+                to = to + n
+            done[vocabulary + own] = True
+            waiting = waiting[~ready]
         self.flat = flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -131,15 +182,14 @@ def _packed(file: int, block: int, vocabulary: int, doc_ids: list[int], coded: l
     # A document starts where the expansions so far reach the sum of the documents before it.
     reached = np.cumsum(np.concatenate([np.ones(vocabulary, np.int64), lengths.astype(np.int64)])[symbols])
     first = np.concatenate([[0], np.searchsorted(reached, np.cumsum(n_tokens.astype(np.int64))[:-1]) + 1])
-    width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
     return {
         "file": file, "block": block, "vocabulary": vocabulary, "n_ids": len(ids), "doc_ids": np.array(doc_ids, "<i8").tobytes(),
         "first_symbol": first.astype("<u4").tobytes(), "n_tokens": n_tokens.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(),
-        "lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype(f"<u{width}").tobytes(), "width": width,
+        "lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
     }
 
 
-_SCHEMA = pa.schema([("file", pa.int64()), ("block", pa.int32()), ("vocabulary", pa.int32()), ("n_ids", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "first_symbol", "n_tokens", "rules", "lengths", "symbols")), ("width", pa.int32())])
+_SCHEMA = pa.schema([("file", pa.int64()), ("block", pa.int32()), ("vocabulary", pa.int32()), ("n_ids", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "first_symbol", "n_tokens", "rules", "lengths", "symbols"))])
 
 
 def write(docs: DataFrame, path: str, vocabulary_file: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -147,12 +197,14 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, id_col: str = "doc_i
 
     Null texts count as empty and have END alone. Rows of one id lie side by side in order of their
     text; rows with a null id come first, under the least id. Files hold ranges of ids, numbered in
-    their order. Other columns are left aside. An empty table writes no block.
+    their order. Other columns are left aside. An empty table writes no block. A text is encoded whole,
+    whatever its length; one longer than BLOCK_IDS is a block of its own length.
     """
     least = -(2**63)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    files = max(1, -(-total // FILE_BYTES), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total >> 21))
+    file_bytes = max(FILE_BYTES, total // FILES)
+    files = max(1, -(-total // file_bytes), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total >> 21))
     ranged = own.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +236,15 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, id_col: str = "doc_i
 
 def read_block(row: dict) -> tuple[np.ndarray, Block]:
     u4 = lambda name: np.frombuffer(row[name], "<u4")
-    block = Block(row["vocabulary"], u4("rules").reshape(-1, 2), u4("lengths"), np.frombuffer(row["symbols"], f"<u{row['width']}"), u4("first_symbol").astype(np.int64), u4("n_tokens").astype(np.int64))
+    block = Block(row["vocabulary"], u4("rules").reshape(-1, 2), u4("lengths"), u4("symbols"), u4("first_symbol").astype(np.int64), u4("n_tokens").astype(np.int64))
     return np.frombuffer(row["doc_ids"], "<i8"), block
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary, ids_crc32) of every document in the files.
 
-    start: ids of all documents before it. ids: little-endian unsigned 32-bit, with the end id.
+    start: ids of all documents before it. ids: little-endian unsigned 32-bit, with the end id. Files
+    of an empty table give no row. Rows that were written with a null id have the least id.
     """
     blocks = spark.read.parquet(path)
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -210,7 +263,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 each = [ids[4 * s : 4 * t] for s, t in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts + row["base"]), pa.array(block.n_tokens), pa.array(each, pa.binary()), pa.array([zlib.crc32(x) for x in each], pa.int64())], schema=schema)
 
-    columns = ["vocabulary", "doc_ids", "first_symbol", "n_tokens", "rules", "lengths", "symbols", "width", "base"]
+    columns = ["vocabulary", "doc_ids", "first_symbol", "n_tokens", "rules", "lengths", "symbols", "base"]
     return blocks.join(F.broadcast(bases) if _few(blocks) else bases, ["file", "block"]).select(columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 

@@ -79,6 +79,42 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert got == Counter(brute_links(rows))
 
 
+def test_runs_too_large_to_meet_at_once(spark, monkeypatch):
+    """Runs of more than 8 representatives: prefixes are shortened from the deepest, the rest meets in tiles."""
+    random.seed(4)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for i in range(60):
+            w = list(base)
+            for _ in range(random.choice([1, 1, 2, 4])):
+                w[random.randrange(150)] = f"own{g}-{i}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000, "one text that stands alone among all the others here"), (1001, None)]
+    called = []
+    plain = near_duplicates._shortened
+    monkeypatch.setattr(near_duplicates, "_shortened", lambda *a: called.append(a[-1]) or plain(*a))
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(frame(spark, rows), run=8).collect())
+    assert got == Counter(brute_links(rows)) and called == [8]
+
+
+def test_leaders_stand_in_within_their_radius():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 192)
+    sig = np.array([np.where(rng.random(192) < rng.choice([0.02, 0.04, 0.3]), rng.integers(0, 256, 192), base) for _ in range(50)], np.uint8)
+    nodes = np.arange(50) + 7
+    a, b, leads, radius = near_duplicates._led(nodes, sig, np.zeros(50), 0.55, 0.1)
+    far = 1 - (sig[:, None] == sig[None]).mean(2)
+    assert 0 < len(leads) < 50
+    assert (far[:, leads].min(1) <= 0.1).all() and (radius[leads] <= 0.1).all()
+    assert {*a, *b} <= set(nodes) and len(a) == 49  # one group, so a spanning tree
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 1), (2, "a b c d e f", 8, 2)], "doc_id long, text string, id int, id_ int")
+    assert [tuple(r) for r in near_duplicates.deduplicated(df).collect()] == [(1, "a b c d e f", 7, 1)]
+
+
 def test_one_of_each_class(spark):
     rows = [*corpus(), (3, corpus()[3][1]), (None, "x")]
     kept = near_duplicates.deduplicated(frame(spark, rows)).collect()

@@ -1,10 +1,14 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of events: words, and tags that open or close. Words score positive and tags
-negative, each with a weight for its kind and surroundings, fitted as log odds on labelled pages
-(`LABELLED`). One linear scan finds the contiguous region of highest sum. It grows to the ends of the
-article and main elements that it touches. Its blocks are the text, without what menus, notices, forms
-and the like hold inside it.
+A page is a sequence of events: words, and tags that open or close. A word's score is a sum of learned
+weights: one for all words, and one for each feature of the elements around it, their tags and the parts
+of their class, id and role names. Tags score negative, by their name. One linear scan finds the
+contiguous region of highest sum, the main text's place on the page; it grows to the ends of the innermost
+element that holds all its words. Of the region's words those count that score positive: what a menu,
+notice or advert inside the region holds scores negative there.
+
+The weights are those of a logistic regression on labelled pages (`labelled_pages`): whether a run of
+text is the article's, given the features around it. No element and no name is dropped by a list.
 """
 
 from __future__ import annotations
@@ -15,10 +19,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm import labelled_pages
+from kindred.llm.common import fresh, sliced
+
 _EVENT = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|svg|textarea|title|select|option|object|canvas|math)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
@@ -27,8 +35,8 @@ _EVENT = re.compile(
     r"|([^<]+)|(<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
 #: Elements that stand apart as blocks of text.
@@ -36,205 +44,244 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never the article's.
-OUTSIDE = frozenset("nav footer aside form header menu button dialog head label".split())
-#: Words in class, id or role that name such places.
-OUTSIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
-)
-#: Elements that the region grows to the ends of if it touches them.
+#: Elements that a sibling of their kind closes.
+SIBLINGS = frozenset(["li", "dd", "dt", "tr", "td", "th", "option"])
+#: Elements that mark a page's article; beside them stands other text.
 HOLDERS = frozenset(["article", "main"])
-#: Where the region stops growing on pages without a holder.
-CONTAINERS = frozenset("div section body html table ul ol raw".split())
+_HOLDING = frozenset(f"<{h}>" for h in HOLDERS)
+#: Feature of words beside the holders of a page that has some, and of all words.
+BESIDE, ALL = "beside", "all"
+#: Labelled pages and the seed of their rule.
+PAGES, SEED = 1500, 1
+#: A word adds at most this in the scan, and takes at most that; a tag costs between these. Chosen on the labelled pages.
+WORD, OTHER_WORD = 2.0, 0.25
+LEAST_TAG, MOST_TAG = 0.05, 0.5
 
 
-def _outside(name: str, attributes: str) -> bool:
-    if name in OUTSIDE:
-        return True
-    if name in ("body", "html", "article", "main") or not attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        if OUTSIDE_NAMES.intersection(x.lower() for x in _NAMES.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+class Event:
+    """kind: 'text' or a tag's name; words: their number; features: of the words' surroundings; block: ends a block; level: open elements."""
 
+    __slots__ = ("kind", "text", "words", "features", "block", "level")
+
+    def __init__(self, kind: str, text: str, words: int, features: tuple | None, block: bool, level: int):
+        self.kind, self.text, self.words, self.features, self.block, self.level = kind, text, words, features, block, level
 
-class Event:
-    __slots__ = ("kind", "text", "words", "out", "holder", "block")
 
-    def __init__(self, kind, text, words, out, holder, block):
-        self.kind, self.text, self.words, self.out, self.holder, self.block = kind, text, words, out, holder, block
+def features(name: str, attributes: str, parent: str = "") -> frozenset[str]:
+    """Features of an element: its tag, with its parent's too; of each name in class, id and role its last part, and the others."""
+    if name in ("html", "body"):  # names there speak of the whole page
+        return frozenset()
+    found = {f"<{name}>", f"{parent}>{name}"}
+    for m in _ATTRIBUTE.finditer(attributes):
+        for n in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PARTS.findall(n)]
+            if parts:
+                found.add(f"{parts[-1]}$")
+                found.update(f"{p}-" for p in parts[:-1])
+    return frozenset(found)
 
 
 def events(page: str) -> list[Event]:
-    """The page's events. out: inside an element that is not the article's. holder: the ordinal of the outermost article or main."""
+    """The page's events, in time linear in its length (names are bounded by the page).
+
+    Tags that never close end with the page or an element around them; a close tag without its open
+    one is a tag event alone.
+    """
     found: list[Event] = []
-    stack: list[tuple[str, bool, int]] = []  # name, out, holder
-    outs, holder, holders = 0, 0, 0
+    stack: list[tuple[str, tuple, int]] = []  # name, features here and above, place of the nearest block or p
+    depth: Counter = Counter()
+    known: dict[tuple[str, str, str], frozenset] = {}
+    here: tuple = ()
 
     def leave(to: int) -> None:
-        nonlocal outs, holder
+        nonlocal here
         while len(stack) > to:
-            _, o, holder = stack.pop()
-            outs -= o
+            name, _, _ = stack.pop()
+            depth[name] -= 1
+        here = stack[-1][1] if stack else ()
 
     for m in _EVENT.finditer(page):
         if m[5] is not None or m[6]:
             text = entities.unescape(m[5] or m[6])
-            n = len(text.split())
-            linked = any(s[0] == "a" for s in stack[-3:])
-            found.append(Event("linked" if linked else "word", text, n, outs > 0, holder, False))
+            found.append(Event("text", text, len(text.split()), here, False, len(stack)))
         elif m[3]:
             name, attributes = m[3].lower(), m[4] or ""
             block = name in BLOCKS
             if m[2]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if at is not None:
-                    found.append(Event(f"/{name}", "", 0, outs > 0, holder, block))
+                if depth[name]:
+                    at = len(stack) - 1
+                    while stack[at][0] != name:
+                        at -= 1
                     leave(at)
-                elif block:
-                    found.append(Event(f"/{name}", "", 0, outs > 0, holder, True))
+                found.append(Event(name, "", 0, None, block, len(stack)))
                 continue
-            if name == "p" or block:  # a block ends an open paragraph
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        leave(i)
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            if name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
+            if block and stack:  # a block ends an open paragraph
+                nearest = stack[-1][2]
+                if nearest >= 0 and stack[nearest][0] == "p":
+                    leave(nearest)
+            if name in SIBLINGS and stack and stack[-1][0] == name:
                 leave(len(stack) - 1)
+            found.append(Event(name, " " if name == "br" else "", 0, None, block, len(stack)))
             if name in VOID or attributes.rstrip().endswith("/"):
-                found.append(Event(name, " " if name == "br" else "", 0, outs > 0, holder, block))
                 continue
-            o = _outside(name, attributes)
-            stack.append((name, o, holder))
-            outs += o
-            if name in HOLDERS and not holder:
-                holders += 1
-                holder = holders
-            found.append(Event(name, "", 0, outs > 0, holder, block))
+            key = (name, attributes, stack[-1][0] if stack else "")
+            own = known.get(key)
+            if own is None:
+                own = known[key] = features(*key)
+            # A linked list of the sets above: no copies, whatever the depth.
+            here = (own, here)
+            nearest = len(stack) if block else stack[-1][2] if stack else -1
+            stack.append((name, here, nearest))
+            depth[name] += 1
         elif m[1]:
-            found.append(Event("raw", "", 0, outs > 0, holder, False))
+            found.append(Event("raw", "", 0, None, False, len(stack)))
     return found
 
 
-def _kind(e: Event) -> str:
-    """Kind for the weights: words by their surroundings, tags by their name."""
-    if e.kind in ("word", "linked"):
-        return f"{e.kind} {'out' if e.out else 'in'}"
-    return f"<{e.kind.lstrip('/')}>"
-
-
-def _page(article: list[str], menu: int, extra: str, tail: str) -> str:
-    links = "".join(f'<li><a href="/{i}">Topic {i} news</a></li>' for i in range(menu))
-    inner = "".join(f"<p>{p}</p>" if i % 3 else f"<h2>{p}</h2>" for i, p in enumerate(article))
-    return f"<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><ul>{links}</ul></nav>{extra}<div>\x02{inner}\x03</div>{tail}</body></html>"
-
-
-def labelled() -> list[str]:
-    """Pages with the article between \\x02 and \\x03, made from a rule: menus, notices, adverts and comments of many sizes around it."""
-    sentence = "The committee met on Tuesday and agreed to publish its findings before the end of the year"
-    extras = ["", '<div class="ad">Buy two and get one free today</div>', '<div id="cookie-notice">We use cookies <button>Accept all</button></div>', "<aside><p>Also read this story</p></aside>", '<form><label>Search</label><input name="q"></form>', '<div><a href="/x">Home</a> <a href="/y">About us</a></div>']
-    tails = ["<footer>Copyright notice and imprint</footer>", '<div class="comments"><p>I fully agree with this article</p><p>Nonsense, sorry</p></div><footer>About</footer>', '<div class="related"><ul><li><a href="/a">One more story</a></li><li><a href="/b">Next</a></li></ul></div>']
-    return [_page([" ".join([sentence] * (1 + (a + i) % 4)) for i in range(a)], menu, extras[a % len(extras)], tails[(a + menu) % len(tails)]) for a in range(1, 13) for menu in (3, 9)]
-
-
-def fit(pages: list[str]) -> dict[str, float]:
-    """Log odds of each kind of event inside against outside the labelled region, words kept positive
-    inside, tags at most slightly negative there."""
-    inside, outside = Counter(), Counter()
+class Weights:
+    """Learned weights: `word` by feature, `tag` by name; tags the labelled pages lack cost `other`."""
+
+    def __init__(self, word: dict[str, float], tag: dict[str, float], other: float = LEAST_TAG):
+        self.word, self.tag, self.other = word, tag, other
+
+    def scores(self, es: list[Event]) -> list[float]:
+        """Log odds of each word event (0 without words), and the cost of each tag."""
+        sums: dict[int, tuple[frozenset, float, bool]] = {}  # by place in the linked list: features that count, their sum, in a holder
+
+        def summed(at: tuple) -> tuple[frozenset, float, bool]:
+            todo = []
+            while at and id(at) not in sums:
+                todo.append(at)
+                at = at[1]
+            seen, total, held = sums[id(at)] if at else (frozenset(), self.word.get(ALL, 0.0), False)
+            for node in reversed(todo):
+                new = [f for f in node[0] if f in self.word and f not in seen]
+                if new:
+                    seen, total = seen | frozenset(new), total + sum(self.word[f] for f in sorted(new))
+                held = held or not _HOLDING.isdisjoint(node[0])
+                sums[id(node)] = seen, total, held
+            return seen, total, held
+
+        out = [0.0] * len(es)
+        beside = []
+        marked = False
+        for i, e in enumerate(es):
+            if e.features is None:
+                out[i] = -self.tag.get(e.kind, self.other)
+            elif e.words:
+                _, out[i], held = summed(e.features)
+                marked |= held
+                if not held:
+                    beside.append(i)
+        if marked:
+            for i in beside:
+                out[i] += self.word.get(BESIDE, 0.0)
+        return out
+
+
+def _training(pages: list[str]) -> tuple[Counter, Counter, Counter]:
+    """(features, whether the article's) of the labelled pages' texts, each by the root of its words, and tags inside and outside of the articles."""
+    rows, inside, outside = Counter(), Counter(), Counter()
     for page in pages:
-        on = False
-        for e in events(page):
-            k = _kind(e)
-            if "\x02" in e.text:
-                on = True
-            (inside if on else outside)[k] += max(1, e.words)
-            if "\x03" in e.text:
-                on = False
+        es = events(page)
+        own = [i for i, e in enumerate(es) if labelled_pages.MARK in e.text]
+        around: list[frozenset] = []
+        sets: dict[int, frozenset] = {}
+        for e in es:
+            at = e.features or ()
+            if id(at) not in sets:
+                found, node = set(), at
+                while node:
+                    found |= node[0]
+                    node = node[1]
+                sets[id(at)] = frozenset(found)
+            around.append(sets[id(at)])
+        held = [not _HOLDING.isdisjoint(x) for x in around]
+        marked = any(h and e.words for h, e in zip(held, es, strict=True))
+        for i, e in enumerate(es):
+            if e.features is None:
+                (inside if own and own[0] <= i <= own[-1] else outside)[e.kind] += 1
+            elif e.words:
+                rows[around[i] | ({ALL, BESIDE} if marked and not held[i] else {ALL}), labelled_pages.MARK in e.text] += math.sqrt(e.words)
+    return rows, inside, outside
+
+
+def fit(pages: list[str], strength: float = 1.0) -> Weights:
+    """Logistic regression of the texts' labels on their features, by Newton's method; tags by the log odds of
+    standing inside the article, as a cost."""
+    rows, inside, outside = _training(pages)
+    often = Counter(f for around, _ in rows for f in around)
+    names = sorted(f for f, n in often.items() if n >= 3)
+    index = {f: i for i, f in enumerate(names)}
+    x, y, heavy = np.zeros((len(rows), len(names))), np.zeros(len(rows)), np.zeros(len(rows))
+    for r, ((around, own), weight) in enumerate(sorted(rows.items(), key=lambda row: (sorted(row[0][0]), row[0][1]))):
+        x[r, [index[f] for f in around if f in index]] = 1
+        y[r], heavy[r] = own, weight
+    w = np.zeros(len(names))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = x.T @ (x * (heavy * p * (1 - p))[:, None]) + strength * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (heavy * (y - p)) - strength * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
     n_in, n_out = sum(inside.values()), sum(outside.values())
-    weights = {}
-    for k in inside.keys() | outside.keys():
-        odds = math.log((inside[k] + 0.5) / (n_in + 1)) - math.log((outside[k] + 0.5) / (n_out + 1))
-        if k == "word in":
-            weights[k] = max(1.0, odds)
-        elif k.startswith("<"):
-            weights[k] = max(-2.0, min(-0.05, odds))
-        else:
-            weights[k] = min(-0.5, odds)
-    return weights
+    odds = {t: math.log((outside[t] + 0.5) / (n_out + 1)) - math.log((inside[t] + 0.5) / (n_in + 1)) for t in inside.keys() | outside.keys()}
+    return Weights(dict(zip(names, w.tolist(), strict=True)), {t: min(MOST_TAG, max(LEAST_TAG, o)) for t, o in odds.items()})
 
 
-#: Weight of a tag that the labelled pages do not hold.
-OTHER_TAG = -0.05
-_weights: dict[str, float] = {}
+_weights: list[Weights] = []
 
 
-def weights() -> dict[str, float]:
+def weights() -> Weights:
     if not _weights:
-        _weights.update(fit(labelled()))
-    return _weights
+        _weights.append(fit(labelled_pages.pages(PAGES, SEED)))
+    return _weights[0]
 
 
-def region(es: list[Event], w: dict[str, float]) -> tuple[int, int]:
-    """Start and end of the contiguous events of highest sum; (0, 0) if none is positive."""
+def values(es: list[Event], scores: list[float]) -> list[float]:
+    """What each event adds in the scan: a word's score for each of its words, a tag's cost once."""
+    return [s if e.features is None else max(-OTHER_WORD, min(WORD, s)) * e.words for e, s in zip(es, scores, strict=True)]
+
+
+def region(value: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous events of highest sum, the first of equals; (0, 0) if none is positive."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, e in enumerate(es):
+    for i, v in enumerate(value):
         if total <= 0:
             total, start = 0.0, i
-        total += w.get(_kind(e), OTHER_TAG) * (e.words if e.kind in ("word", "linked") else 1)
+        total += v
         if total > best:
             best, best_at = total, (start, i + 1)
     return best_at
 
 
-def _grown(es: list[Event], end: int) -> int:
-    """Where the region that ends before es[end] ends after growing: to its block's end, then by blocks with more plain than linked words."""
-    while end < len(es) and not es[end].block:
+def grown(es: list[Event], start: int, end: int) -> tuple[int, int]:
+    """The region grown to the ends of the innermost element that holds all its words; unchanged if that is the page's body."""
+    words = [i for i in range(start, end) if es[i].words]
+    if not words:
+        return start, end
+    # Between the first and the last word the least number of open elements is at that element.
+    level = min(e.level for e in es[words[0] : words[-1] + 1])
+    at = es[words[0]].features
+    for _ in range(es[words[0]].level - level):
+        at = at[1]
+    if not at or not at[0]:
+        return start, end
+    while start and es[start - 1].level >= level:
+        start -= 1
+    while end < len(es) and es[end].level >= level:
         end += 1
-    at = end
-    while at < len(es):
-        e = es[at]
-        if e.block and (e.out or e.kind.lstrip("/") in CONTAINERS) or e.kind == "raw":
-            break
-        stop = at + 1
-        while stop < len(es) and not es[stop].block and es[stop].kind != "raw":
-            stop += 1
-        block = es[at:stop]
-        plain, linked = (sum(x.words for x in block if x.kind == k and not x.out) for k in ("word", "linked"))
-        if linked > plain:
-            break
-        at = stop
-        if plain:
-            end = at
-    return end
-
-
-def _held(es: list[Event], start: int, end: int) -> tuple[int, int]:
-    """The region grown to the ends of the outermost article and main elements whose words it holds."""
-    touched = {e.holder for e in es[start:end] if e.holder and e.words and not e.out}
-    own = [i for i, e in enumerate(es) if e.holder in touched]
-    return (min(start, own[0]), max(end, own[-1] + 1)) if own else (start, end)
+    return start, end
 
 
-def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
+def main_text(page: str | None, w: Weights | None = None) -> str:
     """The page's main text: blocks in page order joined by two line feeds; '' if there is none."""
     if not page:
         return ""
     es = events(page)
-    start, end = region(es, w or weights())
-    if start == end:
-        return ""
-    # The best region may shave short blocks off the article's ends. An end inside an article or main element
-    # goes to that element's; any other grows by blocks up to the next container or link list.
-    head, tail = es[start].holder, es[end - 1].holder
-    start, end = _held(es, start, end)
-    if not tail:
-        end = _grown(es, end)
-    if not head:
-        start = len(es) - _grown(es[::-1], len(es) - start)
-    start, end = _held(es, start, end)
+    scores = (w or weights()).scores(es)
+    start, end = grown(es, *region(values(es, scores)))
     blocks: list[str] = []
     held: list[str] = []
 
@@ -243,30 +290,38 @@ def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
             blocks.append(text)
         held.clear()
 
-    for e in es[start:end]:
+    for e, s in zip(es[start:end], scores[start:end], strict=True):
         if e.block:
             close()
-        if not e.out and e.text:
+        # Words by their score; white space between words, and line breaks, as they stand.
+        if e.text and (s > 0 or not e.words):
             held.append(e.text)
     close()
     return "\n\n".join(blocks)
 
 
+#: Bytes of pages whose texts a task holds at once.
+SLICE_BYTES = 8 << 20
+
+
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns `keep`, then text and n_chars (code points) of each page's main text.
 
-    A null or empty page, or one without words outside menus and the like, has the text ''. Rows of
-    equal content are handled each. Columns text and n_chars in `keep` are not allowed. Whole pages
-    are read, whatever their length; markup that ends early is closed at the page's end.
+    A null or empty page, or one without words that score positive, has the text ''. Repeated rows are
+    handled each. `keep` must not name text or n_chars (ValueError); other names are free. Whole pages
+    are read, whatever their length; markup that ends early is closed at the page's end. An empty table
+    gives an empty result.
     """
-    own = pages.select(*keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
+    if clash := {"text", "n_chars"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns {sorted(clash)} would be made twice")
+    name = fresh(pages, "html_text")
+    own = pages.select(*keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias(name))
     kept = own.select(*keep).schema
+    w = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in sliced(b, b.num_columns - 1, SLICE_BYTES):
                 texts = [main_text(x, w) for x in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.llm import decontamination, html_text, mixing, sharding, topk, toxicity
+from kindred.llm import decontamination, html_text, labelled_pages, mixing, sharding, topk, toxicity
 
 # --- sharding
 
@@ -255,16 +256,113 @@ def test_main_text_odd():
     assert html_text.main_text("<article><p>a < b and c</p></article>") == "a < b and c"
 
 
-def test_region_is_the_best_contiguous_one():
+def plain_text(page, w):
+    """The same by brute force: features by walking up, all contiguous regions tried."""
+    es = html_text.events(page)
+    ups = []
+    for e in es:
+        up, at = set(), e.features or ()
+        while at:
+            up, at = up | at[0], at[1]
+        ups.append(up)
+    held = [bool(up & {"<article>", "<main>"}) for up in ups]
+    beside = any(h and e.words for h, e in zip(held, es, strict=True))
+    score = [
+        -w.tag.get(e.kind, w.other) if e.features is None else sum(w.word.get(f, 0) for f in up) + w.word["all"] + (w.word["beside"] if beside and not h else 0)
+        for e, up, h in zip(es, ups, held, strict=True)
+    ]
+    value = [s if e.features is None else min(html_text.WORD, max(-html_text.OTHER_WORD, s)) * e.words for e, s in zip(es, score, strict=True)]
+    best, i, j = max(((sum(value[i:j]), -i, -j) for i in range(len(es)) for j in range(i, len(es) + 1)), default=(0, 0, 0))
+    i, j, out = -i, -j, [[]]
+    if best > 1e-9:
+        paths = {}
+        for k, e in enumerate(es):
+            path, at = [], e.features or ()
+            while at:
+                path, at = [at, *path], at[1]
+            paths[k] = path
+        words = [paths[k] for k in range(i, j) if es[k].words]
+        common = [n for n in words[0] if all(any(n is m for m in p) for p in words)]
+        if common and common[-1][0]:
+            within = [k for k in paths if any(n is common[-1] for n in paths[k])]
+            i, j = min(i, within[0]), max(j, within[-1] + 1)
+        for e, s in zip(es[i:j], score[i:j], strict=True):
+            if e.block:
+                out.append([])
+            if e.features is None or s > 0 or not e.words:
+                out[-1].append(e.text)
+    return "\n\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t), best
+
+
+def test_text_equals_brute_force():
     random.seed(4)
     w = html_text.weights()
-    for _ in range(60):
-        page = "".join(random.choice(["word and word ", "<p>", "</p>", "<nav>menu item", "</nav>", "<a>link</a>", "<div>"]) for _ in range(25))
+    parts = ["word and word ", "<p>", "</p>", "<nav>menu item", "</nav>", "<a>link</a>", "<div>", "</div>", "<article>", "</article>", "<div class='ad-box'>buy it", "<br>", "<div class=story>"]
+    for _ in range(120):
+        page = "".join(random.choice(parts) for _ in range(25))
+        want, best = plain_text(page, w)
         es = html_text.events(page)
-        value = [w.get(html_text._kind(e), html_text.OTHER_TAG) * (e.words if e.kind in ("word", "linked") else 1) for e in es]
-        best = max((sum(value[i:j]) for i in range(len(es)) for j in range(i, len(es) + 1)), default=0)
-        i, j = html_text.region(es, w)
+        value = html_text.values(es, w.scores(es))
+        i, j = html_text.region(value)
         assert math.isclose(sum(value[i:j]), max(0, best), abs_tol=1e-9)
+        assert html_text.main_text(page) == want, page
+
+
+LONG = ("The words of this text go on for a while. " * 6).strip()
+FRAME = '<html><body><nav><ul><li><a href="/">Home page</a></li></ul></nav>{}<footer>Owner of the site</footer></body></html>'
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<div class='ad-free story'><p>{LONG}</p></div>", LONG),
+    (f"x<div class='banner-story'><p>{LONG}</p></div>", f"x\n\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><div class='box-left'><p>{'Plain side words here. ' * 60}</p></div>", LONG),
+    (f"<div><p>{LONG}</p></div><div class='box-left'><p>{'Plain side words here. ' * 60}</p></div>", LONG),
+    (f"<article><p>{LONG}</p></article><div class='reader-remarks'><p>{'I think so too. ' * 20}</p></div>", LONG),
+    (f"<article><p>{LONG}</p><div class='reader-remark'><p>I agree</p></div><p>End.</p></article>", f"{LONG}\n\nEnd."),
+    (f"<div class='content with-sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<article><p>{LONG}</p><ul><li><a href=/>A link</a></li><li>One <a href=/>more</a></li></ul><h2><a href=/>Head</a></h2><p>End.</p></article>", f"{LONG}\n\nA link\n\nOne more\n\nHead\n\nEnd."),
+    (f"<article><header><h1>Title</h1></header><p>{LONG}</p><aside>Also read this</aside><p>Short.</p></article>", f"Title\n\n{LONG}\n\nShort."),
+])
+def test_names_are_features_not_filters(body, want):
+    assert html_text.main_text(FRAME.format(body)) == want
+
+
+def _judged(pages, w):
+    """(precision, recall) by words."""
+    hit = made = true = 0
+    for page in pages:
+        es = html_text.events(page)
+        score = w.scores(es)
+        i, j = html_text.grown(es, *html_text.region(html_text.values(es, score)))
+        for k, (e, s) in enumerate(zip(es, score, strict=True)):
+            got, own = i <= k < j and s > 0, labelled_pages.MARK in e.text
+            hit, made, true = hit + e.words * (got and own), made + e.words * got, true + e.words * own
+    return hit / made, hit / true
+
+
+def test_learned_weights_decide():
+    held_out = labelled_pages.pages(120, seed=99)
+    precision, recall = _judged(held_out, html_text.weights())
+    assert precision > 0.96 and recall > 0.96
+    flat = html_text.Weights({html_text.ALL: 1.0}, {})
+    assert _judged(held_out, flat)[0] < 0.75
+    assert html_text.main_text(PAGE.replace("{article}", f"<article>{LONG}</article>"), flat) != LONG
+
+
+def test_stray_tags_take_linear_time():
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text("<div>" * n + "</span>" * n + "words" + "<b>" * n + "<p>x</p>" * n)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(0.02, seconds(4000))
+
+
+def test_very_long_page():
+    page = "<nav>menu</nav><article>" + "<p>word and word</p>" * 100_000 + "</article><footer>end</footer>"
+    assert html_text.main_text(page) == "\n\n".join(["word and word"] * 100_000)
 
 
 def test_extract(spark):
@@ -273,6 +371,10 @@ def test_extract(spark):
     got = Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df, ["page_id", "url"]).collect())
     assert got == Counter([(1, "u", "Ünïcode text", 12), (2, None, "", 0), (2, None, "", 0), (None, "v", "x", 1)])
     assert html_text.extract(df.limit(0), ["page_id"]).count() == 0
+    clash = df.drop("text").withColumn("html_text", F.lit(7))
+    assert {r["html_text"] for r in html_text.extract(clash, ["page_id", "html_text"]).collect()} == {7}
+    with pytest.raises(ValueError):
+        html_text.extract(df, ["page_id", "text"])
 
 
 # --- top-k

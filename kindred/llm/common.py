@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,5 +60,17 @@ def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         yield held
 
 
+def sliced(batch: pa.RecordBatch, column: int | str, most: int) -> Iterator[pa.RecordBatch]:
+    """Row ranges of `batch` whose texts or binaries in `column` have about `most` bytes together."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        held += n or 0
+        if held >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def arrow_rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -4,10 +4,10 @@ Counts come from the library's batches: texts in lists of about equal bytes, lon
 places, between a letter or digit and a space before something that is no white space. There a
 byte-level BPE always splits before it merges, so the parts' encodings together are the text's.
 
-Ids for files come by distinct pieces: a text falls into pieces at its spaces, most recur, and each
-distinct one is encoded once, by the library's own pre-tokenizer and merge model, and kept in a table
-of bounded bytes. Texts with runs of white space next to spaces, or with an added token's string
-inside, go to the library whole.
+Ids for files come by distinct words. A text falls into words at its spaces; most recur, so the distinct
+words of many texts are encoded once, in few long texts, and their ids copied to where they occur. Words
+that recur are kept for the next texts, in a table of bounded size. Texts with runs of white space next to
+spaces, or with an added token's string inside, go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,36 +15,20 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import public_tokenizers
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Encoding, Tokenizer, models, pre_tokenizers
 
 from kindred.llm.common import by_bytes
 
-#: Bytes of distinct pieces that one Python worker keeps, with what an entry costs besides its letters and
-#: ids; beyond it the tables start anew. Longer pieces than this many characters are not kept.
-KEPT_BYTES, ENTRY_BYTES, KEPT_CHARS = 64 << 20, 160, 64
 #: Bytes of one call of the library, and characters from which a text is cut at safe places.
 BATCH_BYTES, LONG_CHARS = 1 << 20, 1 << 16
 
-#: Pieces whose splits the public pattern gives as the library does: no controls, no scripts whose classes change.
-_PLAIN = re.compile(r"[ \n!-~\u00a1-\u024f]+")
-_SPLITS = regex.compile(public_tokenizers.PATTERN)
-
-
-def _byte_characters() -> dict[int, str]:
-    """Byte-level BPE's printable character for each byte, as a table from Latin-1 characters."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table = {b: chr(b) for b in plain}
-    for b in range(256):
-        if b not in table:
-            table[b] = chr(256 + len(table) - len(plain))
-    return table
-
-
-_BYTES = _byte_characters()
+#: Words kept at most, and their bytes; beyond either the table starts anew.
+KEPT_WORDS, KEPT_BYTES = 1 << 18, 16 << 20
 
 #: A space between a letter or digit and something that is no white space.
 _SAFE = re.compile(r"(?<=[^\W_]) (?=\S)")
@@ -73,47 +57,21 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.pre = self.tokenizer.pre_tokenizer
+        model, pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Pieces are exact for plain byte-level BPE only; other kinds go to the library whole.
+        #: Words are exact for plain byte-level BPE only; other kinds go to the library whole.
         self.by_piece = (
             self.tokenizer.normalizer is None
-            and isinstance(self.pre, pre_tokenizers.ByteLevel)
-            and not self.pre.add_prefix_space
-            and getattr(self.pre, "use_regex", True)
-            and isinstance(self.model, models.BPE)
-            and not self.model.dropout
+            and isinstance(pre, pre_tokenizers.ByteLevel)
+            and not pre.add_prefix_space
+            and getattr(pre, "use_regex", True)
+            and isinstance(model, models.BPE)
+            and not model.dropout
         )
-        self.heads: dict[str, bytes | bool] = {}
-        self.tails: dict[str, bytes | bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.held = 0
-
-    def _keep(self, table: dict, piece: str, ids: bytes | bool) -> bytes | bool:
-        if len(piece) <= KEPT_CHARS:
-            table[piece] = ids
-            self.held += ENTRY_BYTES + len(piece) + (len(ids) if ids else 0)
-        return ids
-
-    def _word(self, mapped: str) -> bytes:
-        got = self.words.get(mapped)
-        if got is None:
-            got = self._keep(self.words, mapped, array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes())
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            return b"".join([self._word(w) for w, _ in self.pre.pre_tokenize_str(piece)])
-        mapped = piece.encode().decode("latin-1").translate(_BYTES)
-        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self._word(mapped)
-        return b"".join([self._word(w.encode().decode("latin-1").translate(_BYTES)) for w in _SPLITS.findall(piece)])
-
-    def _tail(self, word: str) -> bytes | bool:
-        """Ids of a space and `word`; False where white space could join with more of it."""
-        odd = not word or word[0].isspace() or word[-1].isspace()
-        return not odd and self._piece(" " + word)
+        self._forget()
+        #: Whether a token starts with a space, which byte-level BPE writes as U+0120.
+        self.spaced = np.zeros(max(1, self.tokenizer.get_vocab_size()), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
     def _calls(self, texts: list[str]) -> Iterator[tuple[int, Encoding]]:
         """(text, encoding) of each part of each text, by the library, in calls of balanced bytes."""
@@ -124,47 +82,101 @@ class PieceEncoder:
                 yield parts[at][0], e
                 at += 1
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        out = [bytearray() for _ in texts]
-        for i, e in self._calls(texts):
-            out[i] += array("I", e.ids).tobytes()
-        return [bytes(x) for x in out]
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        size, ids = np.zeros(len(texts), np.int64), array("I")
+        for i, e in self._calls(texts.to_pylist()):
+            size[i] += len(e)
+            ids.extend(e.ids)
+        return np.array(ids, np.uint32), size
+
+    def _forget(self) -> None:
+        """No word is kept."""
+        self.kept: dict[str, int] = {}
+        self.kept_ids, self.kept_sizes, self.kept_bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a space and each word. Spaces stand only before words, so tokens with one tell words apart."""
+        made = [np.zeros(0, np.uint32)]
+        call = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(call[1:] != call[:-1]) + 1).tolist(), len(words)]
+        for s, t in zip(cuts, cuts[1:], strict=False):
+            if s < t:
+                text = " " + " ".join(words[s:t])
+                made.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(made)
+        first = np.flatnonzero(self.spaced[ids])
+        return ids, np.diff(np.append(first, len(ids)))
+
+    def _tails(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, the place of each word among the sizes): new words are encoded, those that occur twice are kept."""
+        if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
+            self._forget()
+        names = words.to_pylist()
+        place = np.fromiter(map(self.kept.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        once = counts[new] < 2
+        new = new[np.argsort(once, kind="stable")]  # those that are kept come first
+        place[new] = len(self.kept) + np.arange(len(new))
+        made = [names[i] for i in new.tolist()]
+        ids, sizes = self._spaced(made)
+        ids, sizes = np.concatenate([self.kept_ids, ids]), np.concatenate([self.kept_sizes, sizes])
+        recur = made[: len(new) - int(once.sum())]
+        self.kept.update(zip(recur, range(len(self.kept), len(self.kept) + len(recur)), strict=True))
+        self.kept_bytes += sum(map(len, recur))
+        self.kept_sizes = sizes[: len(self.kept)]
+        self.kept_ids = ids[: int(self.kept_sizes.sum())]
+        return ids, sizes, place
+
+    def _heads(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return *self._whole(words), np.arange(len(words))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each text) of a string column; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.by_piece:
+            return self._whole(texts)
+        words = pc.split_pattern(texts, " ")
+        offsets = words.offsets.to_numpy()
+        coded = words.values.dictionary_encode()
+        code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        starts, n_words = offsets[:-1], np.diff(offsets)
+        head = np.zeros(len(code), bool)
+        head[starts] = True
+        # White space that could join with the space before or after it; a head has none before.
+        flag = lambda x: x.to_numpy(zero_copy_only=False)
+        odd = flag(pc.or_(pc.not_equal(pc.utf8_trim_whitespace(distinct), distinct), pc.equal(distinct, "")))
+        odd_head = flag(pc.not_equal(pc.utf8_rtrim_whitespace(distinct), distinct))
+        whole = np.logical_or.reduceat(np.where(head, odd_head[code], odd[code]), starts)
+        for a in self.added:
+            whole |= flag(pc.match_substring(texts, a))
+        by_word = np.repeat(~whole, n_words)
+        # Pieces: distinct words after a space, distinct first words, whole texts, and nothing.
+        lists, sizes, piece, at = [], [], np.zeros(len(code), np.int64), 0
+        for mask, encode in ((by_word & ~head, self._tails), (by_word & head, self._heads)):
+            counts = np.bincount(code[mask], minlength=len(distinct))
+            used = np.flatnonzero(counts)
+            ids, size, place = encode(distinct.take(pa.array(used)), counts[used])
+            number = np.zeros(len(distinct), np.int64)
+            number[used] = at + place
+            piece[mask] = number[code[mask]]
+            lists.append(ids), sizes.append(size)
+            at += len(size)
+        ids, size = self._whole(texts.filter(pa.array(whole)))
+        piece[~by_word] = at + len(size)
+        piece[starts[whole]] = at + np.arange(len(size))
+        store, size = np.concatenate([*lists, ids]), np.concatenate([*sizes, size, [0]])
+        n = size[piece]
+        ends = np.cumsum(n)
+        return store[np.repeat((np.cumsum(size) - size)[piece] - (ends - n), n) + np.arange(ends[-1])], np.add.reduceat(n, starts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; None counts as empty."""
-        out: list[bytes | None] = [None] * len(texts)
-        rest: list[int] = []
-        tails, heads = self.tails, self.heads
-        find = tails.get
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-                continue
-            if not self.by_piece or any(a in t for a in self.added):
-                rest.append(i)
-                continue
-            if self.held > KEPT_BYTES:
-                tails.clear(), heads.clear(), self.words.clear()
-                self.held = 0
-            first, *words = t.split(" ")
-            got = list(map(find, words))
-            if None in got:
-                for j, x in enumerate(got):
-                    if x is None:
-                        w = words[j]
-                        got[j] = x = find(w)
-                        if x is None:
-                            got[j] = self._keep(tails, w, self._tail(w))
-            head = heads.get(first)
-            if head is None:
-                head = self._keep(heads, first, b"" if not first else not first[-1].isspace() and self._piece(first))
-            try:
-                out[i] = head + b"".join(got)
-            except TypeError:
-                rest.append(i)
-        for i, x in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
+        ids, n = self.encode_column(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(n).tolist()
+        return [ids[s:t].astype("<u4").tobytes() for s, t in zip([0, *ends], ends, strict=False)]
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Lengths only, of each text: the library encodes batches balanced by bytes, long texts cut at safe places."""
@@ -178,7 +190,7 @@ _made: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One per Python worker and vocabulary, so that its table outlives a task."""
+    """One per Python worker and vocabulary."""
     if path not in _made:
         _made[path] = PieceEncoder(path)
     return _made[path]

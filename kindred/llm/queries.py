@@ -18,8 +18,8 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.default_vocabulary())
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.round_trip(docs, token_counts.default_vocabulary(), ids=False)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

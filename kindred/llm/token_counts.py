@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import text_or_empty
+from kindred.llm.common import sliced, text_or_empty
 from kindred.llm.pieces import encoder
 
 #: Bytes of text handed to the encoder at once.
@@ -23,19 +23,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Row ranges of `batch` with about SLICE_BYTES bytes of text each."""
-    texts = batch.column(1)
-    start, held = 0, 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        held += n or 0
-        if held >= SLICE_BYTES:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row, without begin, end or added special tokens.
 
@@ -52,7 +39,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         e = encoder(vocabulary)
         for batch in batches:
-            for part in _slices(batch):
+            for part in sliced(batch, 1, SLICE_BYTES):
                 texts = part.column(1)
                 n_bytes = pc.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n_bytes, pa.array(e.count(texts.to_pylist()))], schema=schema)

@@ -6,8 +6,10 @@ block each time, until no pair occurs as often as its rule costs. A block's reco
 pair of symbols each), the length that every nonterminal expands to, the remaining symbols, and for
 each document the place of its first symbol, so that one document is decoded without the others.
 
-Where Re-Pair replaces one pair at a time, a round here replaces all pairs at least a quarter as
-frequent as the most frequent one; of overlapping occurrences the more frequent pair's are replaced.
+Where Re-Pair replaces one pair at a time, a round here replaces all pairs that are not much rarer than
+the most frequent one; of overlapping occurrences the more frequent pair's are replaced. Once a round
+has taken every pair that pays, only pairs with a symbol made since can come to pay, so later rounds
+look at those alone.
 """
 
 from __future__ import annotations
@@ -22,17 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import shared_folder, text_or_empty
+from kindred.llm.common import shared_folder, sliced, text_or_empty
 from kindred.llm.pieces import encoder
 
 #: Id that ends each document.
 END = 0
 #: Ids of one block at about; bytes of text of one file at about, and files at most before they grow.
-BLOCK_IDS, FILE_BYTES, FILES = 2 << 20, 32 << 20, 1 << 16
-#: A rule costs two symbols and a length, and saves a symbol for each occurrence: fewer don't pay.
-LEAST = 4
+BLOCK_IDS, FILE_BYTES, FILES = 1 << 20, 32 << 20, 1 << 16
+#: Bytes of text encoded at once.
+SLICE_BYTES = 12 << 20
+#: A rule costs two symbols and a length, and saves a symbol for each occurrence. Files, compressed as they are
+#: written, are smallest at this count (4 to 32 were tried): the rules of rarer pairs take more than they save.
+LEAST = 8
 #: A round replaces pairs down to this share of the most frequent pair's count.
-SHARE = 4
+SHARE = 32
 
 FORMAT = "file long, block int, vocabulary int, n_ids long, doc_ids binary, first_symbol binary, n_tokens binary, rules binary, lengths binary, symbols binary"
 
@@ -44,20 +49,22 @@ def _every_second(at: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0
 
 
-def _pairs(seq: np.ndarray) -> np.ndarray:
-    return (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
 
 
-def counted_pairs(seq: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def counted_pairs(seq: np.ndarray, closed: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(pairs, counts): the pairs that a rule may replace, each with its occurrences that don't overlap.
 
     A pair is left symbol << 32 | right symbol; pairs whose left symbol is `closed` are no candidates.
+    at: the places of the pairs that are counted, all by default.
     """
-    ok = ~closed[seq[:-1]]
-    same = np.flatnonzero(seq[:-1] == seq[1:])
+    left, right = (seq[:-1], seq[1:]) if at is None else (seq[at], seq[at + 1])
+    ok = ~closed[left]
+    same = np.flatnonzero(left == right)
     if len(same):
-        ok[same[~_every_second(same)]] = False
-    keys = _pairs(seq)[ok]
+        ok[same[~_every_second(same if at is None else at[same])]] = False
+    keys = ((left.astype(np.uint64) << np.uint64(32)) | right)[ok]
     keys.sort()
     starts = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
     return keys[starts], np.diff(np.append(starts, len(keys)))
@@ -93,19 +100,31 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
     lengths = np.ones(vocabulary, np.int64)
     closed = np.arange(vocabulary) == END
     used = vocabulary
+    near: np.ndarray | None = None  # symbols whose pairs may pay; None: all
     while len(seq) > 1:
-        pairs, counts = counted_pairs(seq, closed)
+        at = None
+        if near is not None:
+            marked = near[seq]
+            at = np.flatnonzero(marked[:-1] | marked[1:])
+        pairs, counts = counted_pairs(seq, closed, at)
         if not len(counts) or counts.max() < least:
-            break
-        often = np.flatnonzero(counts >= max(least, counts.max() // SHARE))
+            if near is None:
+                break
+            near = None  # one last look at all pairs
+            continue
+        floor = max(least, counts.max() // SHARE)
+        often = np.flatnonzero(counts >= floor)
         chosen = pairs[often]
         left, right = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rank = np.empty(len(chosen), np.int64)
         rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(chosen))
         is_left, is_right = np.zeros(used, bool), np.zeros(used, bool)
         is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        if at is None:
+            at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
+        else:
+            at = at[is_left[seq[at]] & is_right[seq[at + 1]]]
+        pair = _pairs(seq, at)
         rule = np.searchsorted(chosen, pair)
         rule[rule == len(chosen)] = 0
         hit = chosen[rule] == pair
@@ -122,6 +141,14 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
         number = np.cumsum(pays) - 1
         kept = pays[rule]
         at, rule = at[kept], number[rule[kept]]
+        if floor == least or near is not None:
+            # Symbols whose pairs may still pay: new ones, those of rules that wait, and of runs that shifted.
+            kept_near = np.zeros(used + int(pays.sum()), bool)
+            kept_near[used:] = True
+            kept_near[left[~pays | (left == right)]] = True
+            if near is not None and floor > least:
+                kept_near[:used] |= near
+            near = kept_near
         left, right = left[pays], right[pays]
         seq[at] = used + rule
         stays = np.ones(len(seq), bool)
@@ -174,16 +201,23 @@ class Block:
         return self.expand(self.symbols)
 
 
-def _packed(file: int, block: int, vocabulary: int, doc_ids: list[int], coded: list[bytes]) -> dict:
-    n_tokens = np.array([len(c) // 4 + 1 for c in coded], np.uint32)
-    end = np.array([END], "<u4").tobytes()
-    ids = np.frombuffer(b"".join(x for c in coded for x in (c, end)), "<u4")
+def ended(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ids of documents of n ids each, with END after each document."""
+    out = np.full(len(ids) + len(n), END, np.uint32)
+    body = np.ones(len(out), bool)
+    body[np.cumsum(n + 1) - 1] = False
+    out[body] = ids
+    return out
+
+
+def _packed(file: int, block: int, vocabulary: int, doc_ids: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray) -> dict:
+    """The record of a block: `ids` of all its documents, n_tokens of each, ends counted."""
     symbols, rules, lengths = compress(ids, vocabulary)
     # A document starts where the expansions so far reach the sum of the documents before it.
     reached = np.cumsum(np.concatenate([np.ones(vocabulary, np.int64), lengths.astype(np.int64)])[symbols])
     first = np.concatenate([[0], np.searchsorted(reached, np.cumsum(n_tokens.astype(np.int64))[:-1]) + 1])
     return {
-        "file": file, "block": block, "vocabulary": vocabulary, "n_ids": len(ids), "doc_ids": np.array(doc_ids, "<i8").tobytes(),
+        "file": file, "block": block, "vocabulary": vocabulary, "n_ids": len(ids), "doc_ids": doc_ids.astype("<i8").tobytes(),
         "first_symbol": first.astype("<u4").tobytes(), "n_tokens": n_tokens.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(),
         "lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
     }
@@ -211,24 +245,30 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, id_col: str = "doc_i
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         e = encoder(vocabulary_file)
         vocabulary = max(e.tokenizer.get_vocab_size(), 1)
-        block, ids, coded, held, file = 0, [], [], 0, None
+        block, held, parts, file = 0, 0, [], None
 
         def out() -> pa.RecordBatch:
-            row = _packed(file, block, vocabulary, ids, coded)
-            return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
+            doc_ids, n, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            return pa.RecordBatch.from_pylist([_packed(file, block, vocabulary, doc_ids, n, ids)], schema=_SCHEMA)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in sliced(b, 1, SLICE_BYTES):
                 file = part.column(2)[0].as_py()
-                for i, c in zip(part.column(0).to_pylist(), e.encode(part.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    coded.append(c)
-                    held += len(c) // 4 + 1
+                ids, n = e.encode_column(part.column(1))
+                doc_ids, ids, n = part.column(0).to_numpy(zero_copy_only=False), ended(ids, n), n + 1
+                # A block ends with the document that fills it.
+                while len(n):
+                    reached = held + np.cumsum(n)
+                    stop = int(np.searchsorted(reached, BLOCK_IDS)) + 1
+                    m = int(n[:stop].sum())
+                    parts.append((doc_ids[:stop], n[:stop], ids[:m]))
+                    held += m
+                    doc_ids, n, ids = doc_ids[stop:], n[stop:], ids[m:]
                     if held >= BLOCK_IDS:
                         yield out()
-                        block, ids, coded, held = block + 1, [], [], 0
-        if ids:
+                        block, held = block + 1, 0
+        if parts:
             yield out()
 
     ranged.mapInArrow(run, FORMAT).write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -240,8 +280,8 @@ def read_block(row: dict) -> tuple[np.ndarray, Block]:
     return np.frombuffer(row["doc_ids"], "<i8"), block
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary, ids_crc32) of every document in the files.
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary, ids_crc32) of every document in the files; `ids` may be left out.
 
     start: ids of all documents before it. ids: little-endian unsigned 32-bit, with the end id. Files
     of an empty table give no row. Rows that were written with a null id have the least id.
@@ -250,21 +290,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     # One narrow row a block.
     bases = blocks.select("file", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
+    names = ["doc_id", "start", "n_tokens", *["ids"] * ids, "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 doc_ids, block = read_block(row)
-                ids = block.all_ids().astype("<u4").tobytes()
+                decoded = memoryview(np.ascontiguousarray(block.all_ids(), "<u4")).cast("B")
                 ends = np.cumsum(block.n_tokens)
                 starts = ends - block.n_tokens
-                each = [ids[4 * s : 4 * t] for s, t in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts + row["base"]), pa.array(block.n_tokens), pa.array(each, pa.binary()), pa.array([zlib.crc32(x) for x in each], pa.int64())], schema=schema)
+                each = [decoded[4 * s : 4 * t] for s, t in zip(starts.tolist(), ends.tolist(), strict=True)]
+                bodies = [pa.array([bytes(x) for x in each], pa.binary())] if ids else []
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts + row["base"]), pa.array(block.n_tokens), *bodies, pa.array([zlib.crc32(x) for x in each], pa.int64())], names=names)
 
     columns = ["vocabulary", "doc_ids", "first_symbol", "n_tokens", "rules", "lengths", "symbols", "base"]
-    return blocks.join(F.broadcast(bases) if _few(blocks) else bases, ["file", "block"]).select(columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return blocks.join(F.broadcast(bases) if _few(blocks) else bases, ["file", "block"]).select(columns).mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids binary, ' * ids}ids_crc32 long")
 
 
 #: Blocks up to which their bases (24 bytes each) are broadcast.
@@ -275,9 +316,9 @@ def _few(blocks: DataFrame) -> bool:
     return blocks.count() <= BROADCAST_BLOCKS
 
 
-def round_trip(docs: DataFrame, vocabulary_file: str) -> DataFrame:
-    """The documents' ids written to files in the shared folder and read back from them."""
+def round_trip(docs: DataFrame, vocabulary_file: str, ids: bool = True) -> DataFrame:
+    """The documents' ids written to files in the shared folder and read back from them, as `read` gives them."""
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, path, vocabulary_file)
-    return read(spark, path)
+    return read(spark, path, ids)

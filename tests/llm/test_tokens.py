@@ -53,15 +53,14 @@ def test_counts_equal_ids_and_long_texts(library):
     assert e.count(texts).tolist() == [len(ids_of(library, t)) for t in texts]
 
 
-def test_tables_stay_within_their_bytes(library, monkeypatch):
-    monkeypatch.setattr(pieces, "KEPT_BYTES", 20_000)
+def test_kept_words_stay_bounded(monkeypatch, library):
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 50)
     e = pieces.PieceEncoder(PATH)
-    long = ["x%d" % i + "q" * 50_000 for i in range(5)]
-    texts = [*long, *(f"a{i} b{i} c{i * 7}" for i in range(2000))]
-    got = e.encode(texts)
-    assert [len(g) // 4 for g in got] == e.count(texts).tolist()
-    held = sum(len(k) + len(v or b"") + pieces.ENTRY_BYTES for t in (e.heads, e.tails, e.words) for k, v in t.items())
-    assert held < 25_000 and max(map(len, e.heads | e.tails | e.words)) <= pieces.KEPT_CHARS
+    for k in range(6):
+        texts = [f"{k} " + " ".join(f"w{j}x{j % (k + 2)} again again" for j in range(40)), "one again", None]
+        got = e.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(library, t) for t in texts]
+        assert len(e.kept) == len(e.kept_sizes) <= 50 + 45 and e.kept_sizes.sum() == len(e.kept_ids)
 
 
 def test_safe_cuts_rejoin():
@@ -104,7 +103,9 @@ def test_files_round_trip_and_random_access(spark, library):
         assert (i, s, n, crc, ids) == (want_i, start, len(want), zlib.crc32(want.tobytes()), want.tobytes())
         start += n
     coded = pieces.PieceEncoder(PATH).encode(texts)
-    doc_ids, block = token_files.read_block(token_files._packed(0, 0, 50257, list(range(len(texts))), coded))
+    n = np.array([len(c) // 4 for c in coded])
+    ids = token_files.ended(np.frombuffer(b"".join(coded), "<u4"), n)
+    doc_ids, block = token_files.read_block(token_files._packed(0, 0, 50257, np.arange(len(texts)), n + 1, ids))
     for i, c in enumerate(coded):
         assert block.ids(i).astype("<u4").tobytes() == c + b"\0\0\0\0"
     assert token_files.round_trip(df.limit(0), PATH).count() == 0

@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     large = common.where(F.col("held") > run)
     if not large.isEmpty():
         alike = alike.unionByName(_shortened(members(large), shortest, joins, COVERED, run))
-    groups = components(alike)
+    groups = components(cut(alike))  # read twice there
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     # Shingles of the representatives that have to be verified, once each.
     asked = groups.join(reps.select("node", "key", "key2", "doc_id", "copies", "n"), "node")

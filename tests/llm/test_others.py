@@ -393,9 +393,9 @@ def brute_top(rows, k, every):
 
 @pytest.mark.parametrize("spread", [0.05, 1.0, 1e6])
 def test_top_k_equals_brute_force(spark, spread, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
-    monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "CANDIDATE_CELLS", 24 * 40)
+    monkeypatch.setattr(topk, "QUERY_CELLS", 24 * 4)
+    monkeypatch.setattr(topk, "MEETINGS", 3)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 24)) * spread * rng.random((300, 1))
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
@@ -410,3 +410,33 @@ def test_top_k_edges(spark):
     assert topk.top_k(empty).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 64 * 128)]
+
+
+def test_top_k_of_very_large_components(spark):
+    """Scores are exact beyond 64-bit sums; one that does not fit a long is an error, if it is among the best."""
+    rows = [(0, [1e20, 0.0, 3.0]), (1, [0.0, 1e20, 2.0]), (2, [0.0, -1e300, -5.0]), (3, [0.0, 7.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, 2, 20).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 64 * 64 * 6), (0, 2, 3, 64 * 64 * 6)]
+    huge = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(huge).collect()
+
+
+def test_top_k_meets_only_blocks_that_can_serve():
+    """Long candidates serve every query, short ones none whose floor is high."""
+    rng = np.random.default_rng(2)
+    q, c = np.abs(rng.integers(1, 50, (30, 8))), np.abs(rng.integers(1, 50, (400, 8)))
+    c[200:] //= 20
+    ids = np.arange(400) + 100
+    score = q @ c.T
+    want = [sorted(zip((-s).tolist(), ids.tolist(), strict=True))[:4] for s in score]
+    floor = np.array([-w[-1][0] for w in want], float)
+    need = floor / np.sqrt((q * q).sum(1))
+    assert need.min() > np.sqrt((c[200:] ** 2).sum(1)).max()
+    for floors in (floor, np.full(30, -np.inf)):
+        best = topk.Best(np.arange(30), q, floors, 4, np.eye(8))
+        for block in (slice(200, 400), slice(0, 200)):
+            best.meet(ids[block], c[block])
+        qi, who, got, fits = best.rows()
+        assert fits.all() and [[(-int(s), int(i)) for k, i, s in zip(qi, who, got, strict=True) if k == x] for x in range(30)] == want

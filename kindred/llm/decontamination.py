@@ -3,7 +3,8 @@
 An item with an error budget of e edits is split into e + 1 pieces: an occurrence with at most e edits
 leaves at least one piece as it is. One pass of an Aho-Corasick automaton over a text finds all exact
 piece hits; around each, Myers' bit-parallel algorithm gives the item's least edit distance to a part
-of the text. Items come in blocks of bounded size; each block is one pass over the documents.
+of the text. Items come in blocks of bounded size; each block is one pass over the documents, and is gone
+from the driver before the next.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from kindred.llm.common import text_or_empty
+from kindred.llm.common import cut, fresh, sliced, text_or_empty
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 16
@@ -136,56 +137,72 @@ class Matcher:
         return (start == 0 or t[start - 1] == " ") and (end == len(t) or t[end] == " ")
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, one block in the driver's memory at a time."""
-    total = benchmark.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_chars))
-    own = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    for i in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+
+_HIT = ArrayType(StructType().add("item_id", "long").add("distance", "integer").add("start", "long").add("end", "long"))
+_HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+#: Bytes of texts that a task matches at once.
+SLICE_BYTES = 8 << 20
+
+
+def _matched(own: DataFrame, names: list[str], schema: StructType, items: list[tuple[int, str]], chars_per_edit: int) -> DataFrame:
+    """own, whose last column is the text, with hits instead of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, chars_per_edit)
+        for b in batches:
+            for part in sliced(b, b.num_columns - 1, SLICE_BYTES):
+                texts = part.column(part.num_columns - 1).to_pylist()
+                hits = [[{"item_id": i, "distance": d, "start": s, "end": e} for i, d, s, e in matcher.hits(t)] for t in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, _HIT_ARROW)], names=[*names, "hits"])
+
+    return own.mapInArrow(run, StructType(list(schema.fields)).add("hits", _HIT))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with hits array<struct<item_id, distance, start, end>>: every item that occurs in the text within its budget.
 
     Text and items are normalized first (lower case, words, single spaces); start and end count
-    characters of the normalized text. keep: the columns of `docs` that are kept, all by default. Null or empty texts and items have no hits. Repeated rows are
-    matched each; equal items under several ids are all named. A column hits in `docs` is replaced.
-    An empty benchmark leaves every list empty.
+    characters of the normalized text. keep: the columns of `docs` that are kept, all by default, whatever
+    their names; a column hits in `docs` is replaced. Null or empty texts and items have no hits. Texts
+    are read whole, whatever their length. Repeated rows are matched each; equal items under several ids
+    are all named. An empty benchmark leaves every list empty, an empty table gives an empty result.
+
+    The items go to every task, if they have no more than `block_chars` characters together (their sum is
+    taken first). A larger benchmark is cut into blocks of about that size: each is a pass over the texts,
+    whose hits are written to the shared folder before the next block is read, so the driver holds one
+    block at a time; the hits of all passes are joined to the documents by a hash of the text.
     """
-    docs = docs.drop("hits").withColumn("_text", text_or_empty(text_col))
-    kept = docs.select(*(keep if keep is not None else [c for c in docs.columns if c != "_text"]))
-    kind = ArrayType(StructType().add("item_id", "long").add("distance", "integer").add("start", "long").add("end", "long"))
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.select(*kept.columns, F.lit([]).cast(kind).alias("hits"), "_text")
-    n = len(kept.columns)
-    blocks = _blocks(benchmark, block_chars)
-    items = next(blocks)
-    while items is not None:
-        following = next(blocks, None)
-        # The text goes along until the last pass.
-        names = [*kept.columns, "hits"] + ["_text"] * (following is not None)
-        schema = StructType(list(kept.schema.fields)).add("hits", kind)
-        if following is not None:
-            schema = schema.add("_text", "string")
-
-        def run(batches: Iterator[pa.RecordBatch], items=items, names=names) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, chars_per_edit)
-            for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    part = b.slice(at, 512)
-                    hits = [
-                        [*before, *({"item_id": i, "distance": d, "start": s, "end": e} for i, d, s, e in matcher.hits(t))]
-                        for before, t in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist(), strict=True)
-                    ]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(hits, arrow), *part.columns[n + 1 :][: len(names) - n - 1]], names=names)
-
-        out = out.mapInArrow(run, schema)
-        items = following
-    return out
+    docs = docs.drop("hits")
+    kept = docs.select(*(keep if keep is not None else docs.columns))
+    own = docs.select(*kept.columns, text_or_empty(text_col).alias(fresh(kept, "match_text")))
+    name = own.columns[-1]
+    items = _items(benchmark)
+    total = items.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_chars))
+    if blocks == 1:
+        return _matched(own, kept.columns, kept.schema, sorted(map(tuple, items.collect())), chars_per_edit)
+    key = [F.sha2(F.col(name), 256).alias("key")]
+    texts = own.select(*key, name)
+    found = None
+    for i in range(blocks):
+        block = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()))
+        part = _matched(texts, ["key"], texts.select("key").schema, block, chars_per_edit).where(F.size("hits") > 0)
+        part = cut(part.dropDuplicates(["key"]))
+        found = part if found is None else found.unionByName(part)
+    # A text has one row here, however many documents hold it; a hot one is split by the optimiser.
+    hits = found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    place = fresh(own, "match_key")
+    joined = own.withColumn(place, F.sha2(F.col(name), 256)).join(hits.withColumnRenamed("key", place), place, "left")
+    return joined.select(*kept.columns, F.coalesce("hits", F.lit([]).cast(_HIT)).alias("hits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    return matches(docs, benchmark, **options).where(F.size("hits") == 0).select(docs.columns)
+    """The documents without any hit, with their own columns, whatever their names; null and empty texts stay."""
+    name = fresh(docs, "row")
+    text = options.pop("text_col", "text")
+    held = docs.select(F.struct(*docs.columns).alias(name), F.col(text).alias(fresh(docs, "match_text")))
+    out = matches(held, benchmark, text_col=held.columns[1], keep=[name], **options)
+    return out.where(F.size("hits") == 0).select(f"{name}.*")

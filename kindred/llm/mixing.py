@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.common import fresh
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of the hash that make a uniform number.
@@ -45,19 +47,22 @@ def mix_plan(docs: DataFrame, seed: int = 11, most: int = 3) -> DataFrame:
 
     size: the words of the text (null: 0). rate: target over size of the source, at most `most`.
     The extra copy is a Bernoulli draw seeded by doc_id, so reruns agree; rows of equal doc_id draw
-    alike. Null sources are one source. A source without words has rate 0. Columns of `docs` named
-    as the new ones are replaced.
+    alike. Null sources are one source. A source without words has rate 0. Words are counted in whole
+    texts, whatever their length. Columns of `docs` named as the new ones are replaced, all others
+    stay. An empty table gives an empty result.
     """
     own = docs.drop("size", "source_size", "target", "copies").withColumn("size", words(F.col("text")))
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sizes, most).select(F.col("source").alias("_source"), "source_size", "target")
+    name = fresh(own, "goal_source")
+    goals = targets(sizes, most).select(F.col("source").alias(name), "source_size", "target")
     # Few rows a source are left of the sizes; the optimiser sees their size and broadcasts or splits the hot source.
-    joined = own.join(goals, own["source"].eqNullSafe(goals["_source"])).drop("_source")
+    joined = own.join(goals, own["source"].eqNullSafe(goals[name])).drop(name)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = (uniform(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("int")
     return joined.withColumn("copies", (F.floor(rate) + extra).cast("int"))
 
 
 def mixed(docs: DataFrame, seed: int = 11, most: int = 3) -> DataFrame:
-    """The mix itself: every document as often as its source's rate says, with the columns of `docs`."""
-    return mix_plan(docs, seed, most).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(docs.columns)
+    """The mix itself: every document as often as its source's rate says, with the columns of `docs`, whatever their names."""
+    held = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    return mix_plan(held, seed, most).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

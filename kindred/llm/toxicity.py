@@ -1,22 +1,27 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Transducers, each reading what the one before writes:
-
-1. lexicon: words to symbols: insult (with a weight), threat, target, negation, reported speech, clause
-   end, other. The insult entries (whole words and word beginnings) and their weights are learned from
-   labelled rows; the closed classes are the fixed lists below.
-2. clause: symbols to events: it walks a clause with the states negated / reported / addressed and
-   writes for each insult one of plain, addressed, negated, reported, and for a threat verb that meets
-   a target in its clause the event threat.
-3. weights: events to the document's features; a logistic model fitted on labelled rows adds them up.
-
-A matched clause counts, not a word alone: an insult under negation or in reported speech is an event
-of its own with its own weight.
+Words become symbols by the lexicon: insult (with a weight), threat, target, negation, reported speech,
+clause end, other. The insult entries (whole words and word beginnings) and their weights are learned
+from labelled rows; the closed classes are the fixed lists below. A clause's symbols are read by the
+composition of five transducers, each reading what the one before writes:
+
+1. negation: insults and threats up to REACH words after a negation are negated;
+2. reported speech: what follows a verb of saying is reported;
+3. target: marks insults and threats of a clause that names a target anywhere, before or after them (it
+   guesses at the clause's start, and only the right guess can end);
+4. threat: a threat with a target is the event `threat`, others are nothing;
+5. insult: the events `plain`, `addressed`, `negated`, `reported`.
+
+An insult adds its lexicon weight to its event, a threat adds one. A logistic model fitted on labelled
+rows weighs the events. So a matched clause counts, not a word alone: an insult under negation or in
+reported speech is an event of its own with its own weight.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kindred.llm.common import text_or_empty
+from kindred.llm.common import fresh, sliced, text_or_empty
+from kindred.llm.transducers import Transducer, mapping
 
 # Closed word classes in English, German, French and Spanish.
 THREATS = frozenset("kill hurt destroy beat stab shoot strangle töten umbringen verletzen tuer tuez blesser frapper matar herir golpear destruir".split())
@@ -38,18 +44,61 @@ REPORTS = frozenset("said says say called calls quoted quote wrote alleged repor
 SAMPLE_ROWS = 16_000
 #: Lengths of word beginnings that may be lexicon entries.
 BEGINNINGS = (4, 5, 6, 7)
-#: Entries that are weighed for the lexicon, and entries it has at most.
-CANDIDATES, ENTRIES = 4_000, 512
 #: Words after a negation that it covers.
 REACH = 3
 _STRIP = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»„“”‘’¿¡…–—"
 _ENDS = frozenset(".!?;:")
-O, T, Y, N, R = 0.0, "T", "Y", "N", "R"
+#: Symbols: other, insult, threat, target, negation, reported speech; and what ends a clause.
+O, I, T, Y, N, R, END = "oITYNR."
+EVENTS = ("plain", "addressed", "negated", "reported", "threat")
 FEATURES = 8
 #: What the logistic weights are drawn to: prior log odds for plain, addressed, negated, reported, threat, rate, any.
 PRIOR = np.array([-3.0, 0.5, 0.7, 0.1, 0.1, 0.7, 1.0, 2.0])
 
 
+def negation() -> Transducer:
+    """State: words that the last negation still covers."""
+    arcs = {}
+    for left in range(REACH + 1):
+        after, covered = max(0, left - 1), left > 0
+        arcs[left] = {N: [(O, REACH)], I: [("denied" if covered else I, after)], T: [(O if covered else T, after)], **{s: [(s, after)] for s in (O, Y, R)}}
+    return Transducer(0, arcs, arcs)
+
+
+def reported_speech() -> Transducer:
+    """State: whether a verb of saying stood in the clause."""
+    plain = {s: [(s, 0)] for s in (O, I, T, Y, "denied")} | {R: [(O, 1)]}
+    told = {s: [(s, 1)] for s in (O, Y)} | {R: [(O, 1)], I: [("told", 1)], "denied": [("told", 1)], T: [(O, 1)]}
+    return Transducer(0, {0: plain, 1: told}, [0, 1])
+
+
+def target() -> Transducer:
+    """States: none (there is no target in the clause), awaited (one will come) and met. The first symbol is read by both guesses."""
+    stay = ("denied", "told", O)
+    none = {s: [(s, "none")] for s in (*stay, I, T)}
+    awaited = {s: [(s, "awaited")] for s in stay} | {I: [("insult at", "awaited")], T: [("threat at", "awaited")], Y: [(O, "met")]}
+    met = {s: [(out, "met") for out, _ in steps] for s, steps in awaited.items()}
+    start = {s: none.get(s, []) + awaited.get(s, []) for s in none | awaited}
+    return Transducer("start", {"start": start, "none": none, "awaited": awaited, "met": met}, ["start", "none", "met"])
+
+
+def threat() -> Transducer:
+    return mapping({"threat at": "threat", T: O}, ["threat at", T, "insult at", I, "denied", "told", O])
+
+
+def insult() -> Transducer:
+    return mapping({I: "plain", "insult at": "addressed", "denied": "negated", "told": "reported"}, [I, "insult at", "denied", "told", "threat", O])
+
+
+#: The grammar of a clause: every sequence of symbols has one accepting path.
+CLAUSE = negation().then(reported_speech()).then(target()).then(threat()).then(insult())
+
+
+#: Bytes of words whose symbols a grammar keeps.
+KEPT_BYTES = 64 << 20
+_LONG = re.compile(f"{O}{{{REACH},}}")
+
+
 def bare(chunk: str) -> str:
     return chunk.strip(_STRIP)
 
@@ -64,75 +113,62 @@ def entries_of(word: str) -> Iterator[str]:
 
 
 class Grammar:
-    """The composed transducers; `lexicon` maps entries to weights."""
+    """The lexicon, which maps entries to weights, before the composed transducers, and the weights of their events."""
 
     def __init__(self, lexicon: dict[str, float], coefficients: np.ndarray):
         self.lexicon, self.coefficients = lexicon, coefficients
-        self._seen: dict[str, tuple] = {}
+        self._seen: dict[str, tuple[str, float]] = {}
+        self._read: dict[str, list[str]] = {}
+        self._held = 0
 
-    def symbol(self, chunk: str) -> tuple:
-        """(symbol, ends a clause) of a run of non-space characters, in lower case."""
+    def symbol(self, chunk: str) -> tuple[str, float]:
+        """(symbol, with END if it ends a clause, weight of an insult) of a run of non-space characters, in lower case."""
         got = self._seen.get(chunk)
         if got is None:
-            if len(self._seen) > 1 << 19:
-                self._seen.clear()
             word = bare(chunk)
             weight = max((self.lexicon[e] for e in entries_of(word) if e in self.lexicon), default=0.0)
-            kind = weight if weight > 0 else T if word in THREATS else Y if word in TARGETS else N if word in NEGATIONS else R if word in REPORTS else O
-            got = self._seen[chunk] = (kind, bool(chunk) and not _ENDS.isdisjoint(chunk[len(chunk.rstrip(_STRIP)) :]))
+            kind = I if weight > 0 else T if word in THREATS else Y if word in TARGETS else N if word in NEGATIONS else R if word in REPORTS else O
+            ends = not _ENDS.isdisjoint(chunk[len(chunk.rstrip(_STRIP)) :])
+            got = (kind + END * ends, weight)
+            self._held += len(chunk) + 150
+            if self._held > KEPT_BYTES:
+                self._seen.clear()
+                self._held = len(chunk) + 150
+            if len(chunk) <= 64:
+                self._seen[chunk] = got
+        return got
+
+    def events(self, clause: str) -> list[str]:
+        """The events of a clause's symbols, in order. Other words beyond a negation's reach say nothing more."""
+        key = _LONG.sub(O * REACH, clause)
+        got = self._read.get(key)
+        if got is None:
+            if len(self._read) > 1 << 14:
+                self._read.clear()
+            got = self._read[key] = [e for e in CLAUSE.read(key) if e != O]
         return got
 
     def features(self, text: str) -> np.ndarray:
-        chunks = text.lower().split()
+        seen = self._seen
+        symbols = [seen.get(c) or self.symbol(c) for c in text.lower().split()]
         x = np.zeros(FEATURES)
         x[0] = 1.0
-        seen = self._seen
-        symbols = [seen.get(c) or self.symbol(c) for c in chunks]
-        plain = addressed = negated = reported = threats = 0.0
-        n = 0
-        clause: list = []
-        for s in symbols:
-            if s[0]:
-                clause.append((n, s[0]))
-            n += 1
-            if s[1]:
-                if clause:
-                    a, b, c, d, e = self.clause(clause)
-                    plain, addressed, negated, reported, threats = plain + a, addressed + b, negated + c, reported + d, threats + e
-                clause = []
-        if clause:
-            a, b, c, d, e = self.clause(clause)
-            plain, addressed, negated, reported, threats = plain + a, addressed + b, negated + c, reported + d, threats + e
-        x[1:6] = [math.log1p(v) for v in (plain, addressed, negated, reported, threats)]
-        total = plain + addressed + negated + reported
-        x[6] = min(4.0, 25.0 * total / max(12, n))
+        kinds = "".join([s for s, _ in symbols])
+        if I not in kinds and T not in kinds:
+            return x
+        weights = iter([w for _, w in symbols if w])
+        sums = dict.fromkeys(EVENTS, 0.0)
+        for clause in kinds.split(END):
+            if I in clause or T in clause:
+                # Each insult is one event, in the order of the words.
+                for e in self.events(clause):
+                    sums[e] += 1.0 if e == "threat" else next(weights)
+        x[1:6] = [math.log1p(sums[e]) for e in EVENTS]
+        total = sum(sums.values()) - sums["threat"]
+        x[6] = math.log1p(25.0 * total / max(12, len(symbols)))
         x[7] = 1.0 if total > 0 else 0.0
         return x
 
-    @staticmethod
-    def clause(symbols: list) -> tuple[float, float, float, float, float]:
-        """The events of one clause: symbols other than `other`, with their places."""
-        targets = any(k == Y for _, k in symbols)
-        plain = addressed = negated = reported = threats = 0.0
-        denied, told = -REACH - 1, False
-        for at, k in symbols:
-            if k == N:
-                denied = at
-            elif k == R:
-                told = True
-            elif k == T:
-                threats += 1.0 if targets and not told and at - denied > REACH else 0.0
-            elif k != Y:
-                if told:
-                    reported += k
-                elif at - denied <= REACH:
-                    negated += k
-                elif targets:
-                    addressed += k
-                else:
-                    plain += k
-        return plain, addressed, negated, reported, threats
-
     def score(self, text: str) -> float:
         z = float(self.features(text) @ self.coefficients)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -170,24 +206,36 @@ def _cover(marks: list[tuple[str, list[int]]], counts: list[tuple[str, int, int]
     for i, (_, having) in enumerate(marks):
         for f in having:
             holders.setdefault(f, set()).add(i)
-    uncovered = Counter(dict.fromkeys(range(len(marks)), 4))  # each text is to be covered so often
+    uncovered = [4] * len(marks)  # each text is to be covered so often
     lexicon: dict[str, float] = {}
-    least = max(3, round(0.004 * len(marks)))
-    while len(lexicon) < ENTRIES:
-        best, gain = None, 0.0
-        for f, own in holders.items():
-            fresh = sum(1 for i in own if uncovered[i])
-            worth = fresh - 3.0 * counts[f][2] * n_pos / max(1, n_neg) + 0.01 * len(own)
-            if fresh >= least and (worth > gain or worth == gain and best is not None and counts[f][0] < counts[best][0]):
-                best, gain = f, worth
-        if best is None or gain < least:
-            break
-        lexicon[counts[best][0]] = max(0.5, odds[best])
-        for i in holders.pop(best):
+    least = least_holders(len(marks))
+
+    def worth(f: int) -> tuple[int, float]:
+        fresh = sum(1 for i in holders[f] if uncovered[i])
+        return fresh, fresh - 3.0 * counts[f][2] * n_pos / max(1, n_neg) + 0.01 * len(holders[f])
+
+    # What an entry is worth only falls, so one that is still worth its old figure is the best.
+    heap = [(-worth(f)[1], counts[f][0], f) for f in holders]
+    heapq.heapify(heap)
+    while heap:
+        old, entry, f = heapq.heappop(heap)
+        fresh, now = worth(f)
+        if fresh < least or now < least:
+            continue
+        if -now > old:
+            heapq.heappush(heap, (-now, entry, f))
+            continue
+        lexicon[entry] = max(0.5, odds[f])
+        for i in holders[f]:
             uncovered[i] = max(0, uncovered[i] - 1)
     return lexicon
 
 
+def least_holders(n_pos: int) -> int:
+    """Toxic texts that an entry must cover, of n_pos."""
+    return max(3, round(0.004 * n_pos))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
     """Newton's method, drawn to PRIOR."""
     w = PRIOR.copy()
@@ -214,8 +262,9 @@ def fit(labelled: DataFrame) -> Grammar:
     lexicon: dict[str, float] = {}
     if n_pos:
         odds = (F.col("pos") + 0.5) / (n_pos + 1) / ((F.col("neg") + 0.5) / (n_neg + 1))
-        best = _count(rows).where((F.col("pos") >= 3) & (odds > 6)).orderBy((F.col("pos") * F.log(odds)).desc(), "entry").limit(CANDIDATES)
-        counts = [(r["entry"], r["pos"], r["neg"]) for r in best.collect()]
+        # Of the bounded sample, so their number is bounded too.
+        found = _count(rows).where((F.col("pos") >= least_holders(n_pos)) & (odds > 6))
+        counts = sorted((r["entry"], r["pos"], r["neg"]) for r in found.collect())
         index = {e: i for i, (e, _, _) in enumerate(counts)}
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,28 +306,29 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     return docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
+#: Bytes of texts scored at once.
+SLICE_BYTES = 8 << 20
+
+
 def scored(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """docs (their columns `keep`, all by default) with score (0 to 1) and predicted (1 from `threshold` on), from the text alone.
 
-    A null or empty text has no event and the model's lowest score. Repeated rows are scored each.
-    Columns score and predicted in `docs` are replaced.
+    A null or empty text has no event and the model's lowest score. Texts are read whole, whatever their
+    length; repeated rows are scored each; other columns may be null and have any name, but columns score
+    and predicted in `docs` are replaced. An empty table gives an empty result.
     """
-    own = docs.drop("score", "predicted").withColumn("_text", text_or_empty())
-    docs = own.select(*keep) if keep is not None else own.drop("_text")
+    docs = docs.drop("score", "predicted")
+    kept = docs.select(*keep) if keep is not None else docs
+    own = docs.select(*kept.columns, text_or_empty().alias(fresh(docs, "scored_text")))
     lexicon, coefficients = grammar.lexicon, grammar.coefficients
-    names = docs.columns
-    own = own.select(*names, "_text")
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(lexicon, coefficients)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in sliced(b, b.num_columns - 1, SLICE_BYTES):
                 score = [g.score(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64())], names=[*names, "score"])
 
-    return own.mapInArrow(run, _with(docs, "score", "double")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
-
-def _with(df: DataFrame, name: str, kind: str):
-    return StructType(list(df.schema.fields)).add(name, kind)
+    schema = StructType(list(kept.schema.fields)).add("score", "double")
+    return own.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

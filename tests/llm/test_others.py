@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import time
@@ -155,6 +156,47 @@ def test_clauses():
     assert g.score("you blorg, you zankface") > g.score("he is not a blorg") > g.score("plain words")
 
 
+def plain_clause(symbols):
+    """The events of a clause by walking it, without transducers."""
+    events, denied, told = [], -99, False
+    for at, s in enumerate(symbols):
+        if s == "N":
+            denied = at
+        elif s == "R":
+            told = True
+        elif s == "T" and "Y" in symbols and not told and at - denied > toxicity.REACH:
+            events.append("threat")
+        elif s == "I":
+            events.append("reported" if told else "negated" if at - denied <= toxicity.REACH else "addressed" if "Y" in symbols else "plain")
+    return events
+
+
+def test_composed_transducers_equal_a_plain_walk():
+    g = toxicity.Grammar({}, toxicity.PRIOR)
+    machines = [toxicity.negation(), toxicity.reported_speech(), toxicity.target(), toxicity.threat(), toxicity.insult()]
+    every = [tuple(c) for n in range(5) for c in itertools.product("oITYNR", repeat=n)]
+    random.seed(6)
+    for clause in every + [tuple(random.choices("ooooITYNR", k=random.randint(5, 9))) for _ in range(300)]:
+        written = [clause]
+        for m in machines:  # one after the other, every path
+            written = [tuple(out) for w in written for out in m.every(w)]
+        assert len(written) == 1 and list(toxicity.CLAUSE.every(clause)) == [list(written[0])]
+        assert toxicity.CLAUSE.read(clause) == list(written[0])
+        want = plain_clause(clause)
+        assert [e for e in written[0] if e != "o"] == want == g.events("".join(clause))
+    long = "N" + "o" * 50 + "IY" + "o" * 9 + "T"
+    assert g.events(long) == plain_clause(long) == ["addressed", "threat"]
+
+
+def test_names_that_clash(spark):
+    df = docs(spark, [(1, "some text", "s")]).withColumn("scored_text", F.lit(5)).withColumn("_text", F.lit(6)).withColumn("_source", F.lit(7))
+    out = toxicity.scored(df, toxicity.Grammar({}, toxicity.PRIOR))
+    assert out.columns == [*df.columns, "score", "predicted"] and out.first()["_text"] == 6 and out.first()["scored_text"] == 5
+    bench = spark.createDataFrame([(1, "other words that stand nowhere else")], "item_id long, text string")
+    assert decontamination.clean(df, bench).first() == df.first() == mixing.mixed(df).first()
+    assert mixing.mix_plan(df).first()["_source"] == 7
+
+
 # --- decontamination
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontamination, html_text, mixing, near_duplicates, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
-from kindred.llm.common import table, text_or_empty
+from kindred.llm.common import shared_folder, table, text_or_empty
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +32,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(sharding.document_shards(docs), path)
     text = text_or_empty()
-    docs = table(spark, sf_dir, "documents").select(
+    return spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    out = sharding.sharded(docs, ["doc_id", "text_crc32"], F.col("size"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

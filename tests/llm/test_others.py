@@ -44,6 +44,20 @@ def test_shard_files(spark, tmp_path):
     sharding.write_shards(sharding.sharded(df, ["doc_id"], F.lit(1), shards=4), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.select("shard").distinct().count() == 4
+    for file in (tmp_path / "out").glob("shard=*/*.parquet"):
+        slots = [r["slot"] for r in spark.read.parquet(str(file)).collect()]
+        assert slots == sorted(slots)
+
+
+def test_many_buckets_a_task(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 4)
+    rows = [(i, "x" * (i % 9), "s") for i in range(500)] + [(1000, "y" * 5000, None)]
+    df = docs(spark, rows).withColumn("bucket", F.lit(1)).withColumn("record", F.lit(2)).withColumn("text_crc", F.lit(3))
+    out = sharding.document_shards(df, bucket_bytes=100)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    got = out.collect()
+    assert Counter(tuple(r)[:6] for r in got) == Counter((*r, 1, 2, 3) for r in rows)
+    assert sorted(r["slot"] * 16 + r["shard"] for r in got) == list(range(501))
 
 
 # --- mixing

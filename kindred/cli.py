@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import SparkSession
 
+from kindred.operators import evaluate
 from kindred.plans import workflows
 from kindred.plans.profiles import WORKFLOW, Thresholds, chosen
 from kindred.sources import config, sinks, tables
@@ -61,14 +62,14 @@ def main(argv: list[str] | None = None) -> None:
             if not a.key:
                 sinks.save_key(f"{os.path.splitext(a.output)[0]}.key", key)
         else:
-            sinks.write_tokens(rows, a.output, "json" if a.output.endswith(".json") else "csv")
+            sinks.save_tokens(rows, a.output)
     elif a.command == "decrypt":
         key = a.key or sinks.load_key(a.key_file or f"{os.path.splitext(a.input)[0]}.key")
         sinks.write_tokens(tables.encrypted_tokens(spark, a.input, key), a.output)
     elif a.command == "intersect":
         first, second = (tables.token_records(tables.last_tokens(tables.tokens_file(spark, x))) for x in (a.first, a.second))
         limits = None if a.hamming is None and a.jaccard is None else Thresholds(a.hamming or 0, a.jaccard or 0.0)
-        sinks.write_matches(workflows.intersect(first, second, limits), a.output or output_name("intersection", a.first, a.second))
+        sinks.write_intersection(workflows.intersect(first, second, limits), a.output or output_name("intersection", a.first, a.second))
     else:
         one, two = config.load_file(a.first), config.load_file(a.second)
         first, second = tables.load(spark, one.database), tables.load(spark, two.database)
@@ -77,6 +78,7 @@ def main(argv: list[str] | None = None) -> None:
         if a.command == "validate":
             parts = workflows.validate(first, second, tables.ground_truth(spark, a.truth), fields, limits)
             parts[0].show(truncate=False)
+            evaluate.samples(parts[1]).orderBy("match_type", "place").show(truncate=False)
             sinks.write_report(parts, a.output or output_name("validation", a.first, a.second, "report"))
         else:
             mine, summary = workflows.two_party(*(workflows.tokenize(x, fields) for x in (first, second)), limits)

@@ -1,17 +1,39 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage, and writing what is read again, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now into the checkpoint folder of the session; a temporary one only in a local session without any."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only in a local session without any."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
+        found = tempfile.mkdtemp(prefix="kindred-")
+        context.setCheckpointDir(found)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute now into the shared folder, forget the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

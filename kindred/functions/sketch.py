@@ -134,6 +134,13 @@ def signature_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), equal / F.size(a)).otherwise(F.lit(0.0))
 
 
+def signature_jaccard_strict(a: Column, b: Column) -> Column:
+    """Share of equal places; different lengths are an error, no places at all give NaN."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    wrong = F.raise_error(F.concat(F.lit("signatures of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" places")))
+    return F.when(F.size(a) != F.size(b), wrong.cast("double")).when(F.size(a) == 0, F.lit(float("nan"))).otherwise(same / F.size(a))
+
+
 def qgrams(c: Column, q: int = 2, pad: str = "#") -> Column:
     """All q-grams of the value padded by q - 1 on both sides, in order."""
     q, pad = (2 if q < 1 else q), (pad or "#")
@@ -146,6 +153,11 @@ def qgram_counts(c: Column, q: int = 2, pad: str = "#") -> Column:
     return once(qgrams(c, q, pad), lambda grams: F.map_from_entries(F.transform(F.array_distinct(grams), lambda g: F.struct(g, F.size(F.filter(grams, lambda x: x == g))))))
 
 
+def qgram_frequency(counts: Column, gram: Column) -> Column:
+    """How often a gram occurs; 0 if it does not."""
+    return F.coalesce(F.try_element_at(counts, gram), F.lit(0))
+
+
 def _pairs(a: Column, b: Column) -> Column:
     zipped = F.map_zip_with(a, b, lambda _, x, y: F.struct(F.coalesce(x, F.lit(0)).alias("x"), F.coalesce(y, F.lit(0)).alias("y")))
     return F.map_values(zipped)

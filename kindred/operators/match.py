@@ -22,12 +22,12 @@ PAIRED = 16
 def _ranked(first: DataFrame, second: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with `ranks`: their bits by rarity over both sides, rarest first."""
     both = first.select(F.explode("bits").alias("bit")).unionByName(second.select(F.explode("bits").alias("bit")))
-    # One row a bit, m at most: the order fits a literal-sized map.
+    # One row a bit, m at most: each bit's rank stands at its place in one array.
     order = both.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "bit"))).alias("o")).select(F.transform("o", lambda x: x["bit"]).alias("o"))
-    rank = order.select(F.map_from_entries(F.transform("o", lambda b, i: F.struct(b, i))).alias("_rank"))
+    rank = order.select(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda b: F.array_position("o", b).cast("int")).alias("_rank"))
 
     def side(df: DataFrame) -> DataFrame:
-        return df.crossJoin(F.broadcast(rank)).withColumn("ranks", F.array_sort(F.transform("bits", lambda b: F.element_at("_rank", b)))).drop("_rank")
+        return df.crossJoin(F.broadcast(rank)).withColumn("ranks", F.array_sort(F.transform("bits", lambda b: F.element_at("_rank", b + 1)))).drop("_rank")
 
     return side(first), side(second)
 
@@ -71,22 +71,25 @@ def _with_signatures(pairs: DataFrame, first: DataFrame, second: DataFrame) -> D
     return pairs.join(left, "id1").join(right, "id2")
 
 
+def _apart(first: DataFrame, second: DataFrame, t: int) -> DataFrame:
+    """(id1, id2, distance) of pairs that share no bit and have t bits at most together: all of them match, none is met in vain."""
+    n = F.size("bits")
+    left = first.where(n <= t).select(F.col("id").alias("id1"), F.col("bits").alias("a"), n.alias("na"), F.explode(F.sequence(F.lit(0), F.lit(t) - n)).alias("nb"))
+    right = second.where(n <= t).select(F.col("id").alias("id2"), F.col("bits").alias("b"), n.alias("nb"))
+    return left.join(right, "nb").where(~F.arrays_overlap("a", "b")).select("id1", "id2", (F.col("na") + F.col("nb")).alias("distance"))
+
+
 def fuzzy_link(first: DataFrame, second: DataFrame, thresholds: Thresholds = Thresholds(), m: int = 1000) -> DataFrame:
     """(id1, id2, distance, similarity) of all matching pairs; signatures of both sides need the same coefficients.
 
     Two empty filters have distance 0 and equal signatures, so they match. tau <= 0 asks nothing of the
-    signatures and is compared by nested loop; T = 0 and tau <= 0 is `exact_link`.
+    signatures; then filters that share no bit match too, if they have T bits at most together. T = 0
+    and tau <= 0 is `exact_link`.
     """
     t, tau = thresholds.hamming, thresholds.jaccard
-    if tau <= 0:
-        if t == 0:
-            return exact_link(first, second).select("id1", "id2", F.lit(0).alias("distance"), F.lit(None).cast("double").alias("similarity"))
-        pairs = first.select(F.col("id").alias("id1"), F.col("bits").alias("a")).join(second.select(F.col("id").alias("id2"), F.col("bits").alias("b")), hamming(F.col("a"), F.col("b")) <= t)
-        found = pairs.select("id1", "id2", hamming(F.col("a"), F.col("b")).alias("distance"))
-    else:
-        found = candidates(first, second, t, m)
-        none = first.where(F.size("bits") == 0).select(F.col("id").alias("id1"), F.lit(0).alias("_k")).join(second.where(F.size("bits") == 0).select(F.col("id").alias("id2"), F.lit(0).alias("_k")), "_k")
-        found = found.unionByName(none.select("id1", "id2", F.lit(0).alias("distance")))
+    if tau <= 0 and t == 0:
+        return exact_link(first, second).select("id1", "id2", F.lit(0).alias("distance"), F.lit(None).cast("double").alias("similarity"))
+    found = candidates(first, second, t, m).unionByName(_apart(first, second, t if tau <= 0 else 0))
     scored = _with_signatures(found, first, second).select("id1", "id2", "distance", signature_jaccard(F.col("s1"), F.col("s2")).alias("similarity"))
     return scored.where(F.col("similarity") >= tau)
 

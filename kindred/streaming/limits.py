@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from kindred.functions.lineage import fresh
 
 WINDOW_SECONDS = 60
 
@@ -31,21 +35,32 @@ def rate_limited(events: DataFrame, key: str, time: str, tie: str, limit: int =
     """events with `allowed`: at most `limit` events a window of a key; denied events don't count.
 
     A window opens at a key's first event and ends `seconds` later; the first event strictly after that
-    opens the next. An event more than `seconds` after the one before opens a window whatever went before,
-    so a key's events fall into runs there, which are walked apart: a busy key is many groups. Batch only.
+    opens the next. A key's events are decided in order, so one task walks them: sorted, a batch at a
+    time, with (count, reset) as all that it keeps. Batch only.
     """
-    columns = events.columns
-    by = Window.partitionBy(key).orderBy(time, tie)
-    gap = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(by).cast("timestamp")) > seconds * 1_000_000, F.lit(True))
-    runs = events.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema.fields)}, allowed boolean"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie], kind="stable")
-        micros = (pdf[time].astype("datetime64[us]").astype("int64")).tolist()
-        return pdf[columns].assign(allowed=_decide(micros, limit, seconds, 0, -1)[0])
-
-    return runs.groupBy(key, "_run").applyInPandas(walk, schema)
+    micros = fresh(events, "micros")
+    # The key's name may hold what a column expression would read.
+    by = F.col(f"`{key}`")
+    own = events.withColumn(micros, F.unix_micros(F.col(time).cast("timestamp"))).repartition(by).sortWithinPartitions(by, micros, tie)
+    names = events.columns
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, reset = object(), 0, -1
+        for b in batches:
+            keys, times = b.column(names.index(key)).to_pylist(), b.column(len(names)).to_pylist()
+            allowed, at = [], 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != last:
+                    last, count, reset = keys[at], 0, -1
+                told, count, reset = _decide(times[at:end], limit, seconds, count, reset)
+                allowed += told
+                at = end
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(allowed, pa.bool_())], names=[*names, "allowed"])
+
+    return own.mapInArrow(walk, StructType(list(events.schema.fields)).add("allowed", "boolean"))
 
 
 def rate_limited_stream(events: DataFrame, key: str, time: str, tie: str, limit: int = 5, seconds: int = WINDOW_SECONDS) -> DataFrame:

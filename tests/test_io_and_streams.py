@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kindred import cli
 from kindred.operators.encode import records
 from kindred.plans.profiles import VALIDATE, Thresholds
-from kindred.sources import config, sinks, tables
+from kindred.sources import audit, config, sinks, tables
 from kindred.streaming import limits, matching
 
 CSV = "id,first_name,dob,zip\n1,Ann,1985-01-02,12345\n2,Bob,,\n2,Bobby,1/2/85,99\n"
@@ -80,6 +80,99 @@ def test_token_files(spark, tmp_path):
     assert not os.path.exists(enc)
 
 
+ODD = ["plain", "Doe, J", 'say "hi"', "two\nlines", "a\r\nb", "x,\"y\",\nz", " space ", "#1", "back\\slash", "é漢"]
+
+
+@pytest.mark.parametrize("one", [100, 0])
+def test_encrypted_files_keep_odd_ids(spark, tmp_path, one):
+    rows = spark.createDataFrame([(x, f"b,{i}", f'm"{i}', "t") for i, x in enumerate(ODD)], "id string, bloom_filter string, minhash string, timestamp string")
+    key, path = sinks.new_key_hex(), str(tmp_path / "odd.enc")
+    sinks.write_encrypted(rows, path, key, most=3, one=one)
+    assert tables.is_folder(spark, path) == (not one)
+    assert sorted(map(tuple, tables.encrypted_tokens(spark, path, key).collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(Exception):
+        tables.encrypted_tokens(spark, path, "1" * 64).collect()
+
+
+def test_token_and_match_files_keep_odd_ids(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(x, f"b{i}", f"m{i}", "t") for i, x in enumerate(ODD)], "id string, bloom_filter string, minhash string, timestamp string")
+    for name in ("t.csv", "t.json"):
+        sinks.save_tokens(rows, str(tmp_path / name))
+        assert sorted(r["id"] for r in tables.tokens_file(spark, str(tmp_path / name)).collect()) == sorted(ODD)
+    ids = [x for x in ODD if "\n" not in x]
+    m = spark.createDataFrame([(x, f"p{i},\"") for i, x in enumerate(ids)], "id1 string, id2 string")
+    want = sorted(map(tuple, m.collect()))
+    for kind in ("csv", "json"):
+        sinks.write_matches(m, str(tmp_path / kind), kind)
+        assert sorted(map(tuple, tables.matches_file(spark, str(tmp_path / kind)).collect())) == want
+    monkeypatch.setattr(sinks, "DOCUMENT_ROWS", 2)
+    sinks.export(m, str(tmp_path / "many"), "json")
+    assert sorted(map(tuple, tables.matches_file(spark, str(tmp_path / "many")).collect())) == want
+    assert sum(r["count"] for r in spark.read.json(str(tmp_path / "many")).collect()) == len(ids)
+    sinks.write_matches(m.limit(0), str(tmp_path / "none"), "json")
+    assert tables.matches_file(spark, str(tmp_path / "none")).count() == 0 and spark.read.text(str(tmp_path / "none")).count() == 1
+    plain = m.where("id1 not like '#%'")
+    sinks.write_intersection(plain, str(tmp_path / "lines"))
+    assert sorted(map(tuple, tables.matches_file(spark, str(tmp_path / "lines")).collect())) == sorted(map(tuple, plain.collect()))
+    with pytest.raises(ValueError):
+        sinks.export(m, str(tmp_path / "y"), "xml")
+    indented = write(tmp_path / "i.json", json.dumps({"matches": [{"local_id": "1", "peer_id": "b"}], "count": 1}, indent=2))
+    assert [tuple(r) for r in tables.matches_file(spark, indented).collect()] == [("1", "b")]
+
+
+def test_loading_tokens_by_name_and_key(spark, tmp_path):
+    own = records(tables.csv(spark, write(tmp_path / "a.csv", CSV)).dropDuplicates(["id"]), ["first_name", "zip"], VALIDATE)
+    rows = sinks.token_rows(own, VALIDATE, "t").persist()
+    want = {r["id"]: (r["bits"], r["signature"]) for r in own.collect()}
+    key, path = sinks.new_key_hex(), str(tmp_path / "x.enc")
+    sinks.write_encrypted(rows, path, key)
+    sinks.save_key(str(tmp_path / "x.key"), key)
+    sinks.save_key(str(tmp_path / "other.key"), "0" * 64)
+    sinks.write_tokens(rows, str(tmp_path / "plain.csv"))
+    for args in ((path, key, str(tmp_path / "other.key")), (path, "", str(tmp_path / "x.key")), (path,), (str(tmp_path / "plain.csv"),)):
+        assert {r["id"]: (r["bits"], r["signature"]) for r in tables.load_tokens(spark, *args).collect()} == want
+    with pytest.raises(Exception):
+        tables.load_tokens(spark, path, "", str(tmp_path / "other.key")).collect()
+    assert tables.token(rows, "1").count() == 1 and tables.token_page(rows, -3, 1).first()["id"] == "1" and tables.token_page(rows, 5, 9).count() == 0
+    with pytest.raises(ValueError):
+        tables.workflow_tokens(spark, write(tmp_path / "three.csv", "id,b,m\n1,x,y\n"))
+    with pytest.raises(ValueError):
+        tables.workflow_tokens(spark, write(tmp_path / "empty.csv", "id,b,m,t\n"))
+
+
+def test_database_tables(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark._jvm.java.lang.Class.forName(driver)
+    statement = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
+    statement.execute("create table PEOPLE (ID varchar(20), NAME varchar(20))")
+    for i in range(20):
+        statement.execute(f"insert into PEOPLE values ('{i}', {f"'n{i}'" if i % 3 else 'null'})")
+    df = tables.jdbc(spark, url, "PEOPLE", driver=driver)
+    assert {r[0]: r[1] for r in df.collect()} == {str(i): f"n{i}" if i % 3 else "" for i in range(20)}
+    got = tables.jdbc_get(spark, url, "PEOPLE", "7", driver=driver)
+    assert [tuple(r) for r in got.collect()] == [("7", "n7")]
+    assert "PushedFilters: [*" in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(KeyError):
+        tables.jdbc_get(spark, url, "PEOPLE", "99", driver=driver)
+    order = sorted(str(i) for i in range(20))
+    page = lambda start, size: [r[0] for r in tables.jdbc_page(spark, url, "PEOPLE", start, size, driver=driver).collect()]
+    assert page(5, 4) == order[5:9] and page(-2, 2) == order[:2] and page(30, 4) == page(3, 0) == []
+
+
+def test_logger_and_audit(spark, tmp_path):
+    settings = config.load({"logging": {"level": "warn", "file": str(tmp_path / "log" / "a.log"), "enable_audit": True, "audit_file": str(tmp_path / "audit.log")}}).logging
+    log = audit.Logger(settings, "s1")
+    log.debug("no"), log.info("no"), log.warn("w"), log.error("e"), log.audit("LOGIN", {"b": 2, "a": "x"})
+    log.close()
+    lines = open(settings.file).read().splitlines()
+    assert lines[:2] == ["[KINDRED-s1] [WARN] w", "[KINDRED-s1] [ERROR] e"] and len(lines) == 3 and lines[2].endswith("SESSION=s1 a=x b=2")
+    assert open(settings.audit_file).read().startswith("[AUDIT-s1] AUDIT_EVENT=LOGIN TIMESTAMP=")
+    assert audit.level("odd") == 1
+    for n in range(2):
+        audit.append_audit(spark, str(tmp_path / "rows"), [("E", f"t{n}", {"k": n})], "s1")
+    assert sorted(r["details"]["k"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["0", "1"]
+
+
 def test_record_lines(spark, tmp_path):
     own = records(tables.csv(spark, write(tmp_path / "a.csv", CSV)).dropDuplicates(["id"]), ["first_name"], VALIDATE)
     sinks.write_record_lines(own, str(tmp_path / "r"), VALIDATE)
@@ -149,7 +242,9 @@ def test_stream_matching(spark, tmp_path):
     q = matching.start(matching.read_rows(spark, folder, rows.schema), peer, ["name", "z"], str(tmp_path / "out"), str(tmp_path / "cp"), VALIDATE, Thresholds(0, 0.9))
     q.awaitTermination(180)
     got = spark.read.json(str(tmp_path / "out" / "json" / "batch=*"))
-    assert sorted((r["id1"], r["id2"]) for r in got.collect()) == [("s1", "p1"), ("s2", "p2")]
+    assert sorted((r["local_id"], r["peer_id"]) for r in got.collect()) == [("s1", "p1"), ("s2", "p2")]
+    assert all(len(r["timestamp"]) == 20 and r["timestamp"].endswith("Z") for r in got.collect())
+    assert spark.read.csv(str(tmp_path / "out" / "csv" / "batch=*"), header=True).columns[:3] == ["Local_ID", "Peer_ID", "Timestamp"]
 
 
 def test_command_line(spark, tmp_path):
@@ -158,11 +253,13 @@ def test_command_line(spark, tmp_path):
     cli.main(["tokenize", "--input", src, "--output", str(tmp_path / "t.enc"), "--encrypt"])
     cli.main(["decrypt", "--input", str(tmp_path / "t.enc"), "--output", str(tmp_path / "t2.csv")])
     cli.main(["intersect", "--first", str(tmp_path / "t1.csv"), "--second", str(tmp_path / "t2.csv"), "--output", str(tmp_path / "m")])
-    assert spark.read.csv(str(tmp_path / "m"), header=True).count() == 2
+    assert tables.matches_file(spark, str(tmp_path / "m")).count() == 2
+    assert [r[0][:2] for r in spark.read.text(str(tmp_path / "m")).limit(3).collect()] == ["# "] * 3
     conf = write(tmp_path / "c.yaml", f"database:\n  type: csv\n  filename: {src}\n  fields:\n    - name:first_name\n    - date:dob\n    - zip:zip\n")
     truth = write(tmp_path / "truth.csv", "a,b\n1,1\n2,2\n")
     cli.main(["validate", "--first", conf, "--second", conf, "--truth", truth, "--output", str(tmp_path / "r")])
-    scores = dict(map(tuple, spark.read.csv(str(tmp_path / "r" / "metrics"), header=True).collect()))
-    assert scores["recall"] == "1.000000"
-    cli.main(["pprl", "--first", conf, "--second", conf, "--output", str(tmp_path / "p")])
-    assert spark.read.json(str(tmp_path / "p")).count() == 2
+    scores, pairs = tables.report_file(spark, str(tmp_path / "r"))
+    assert list(scores) == sinks.REPORT_METRICS and scores["recall"] == "1.000000" and scores["total_ground_truth"] == "2"
+    assert sorted(map(tuple, pairs.collect())) == [("true_positive", "1", "1"), ("true_positive", "2", "2")]
+    cli.main(["pprl", "--first", conf, "--second", conf, "--output", str(tmp_path / "p.json")])
+    assert sorted(map(tuple, tables.matches_file(spark, str(tmp_path / "p.json")).collect())) == [("1", "1"), ("2", "2")]

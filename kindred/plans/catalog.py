@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import codec, normalize, sketch, tokens
+from kindred.functions.lineage import cut, new_path
 from kindred.operators import blocking, curve, evaluate, patterns, synth
 from kindred.operators.assign import one_to_one
 from kindred.operators.encode import encoded, records, updated
@@ -13,8 +16,8 @@ from kindred.operators.match import candidates, compared, exact_link, fuzzy_link
 from kindred.plans import oracles as O
 from kindred.plans import workflows
 from kindred.plans.profiles import HARNESS, SERVER, VALIDATE, WORKFLOW, Profile, Thresholds
-from kindred.sources import sinks, tables
-from kindred.streaming import limits
+from kindred.sources import audit, config, sinks, tables
+from kindred.streaming import limits, matching
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,15 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def party(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Customers with their nation as one party (a), and a corrupted part of them as the other (b)."""
+    """Customers with their nation as one party (a), and as the other (b) with errors, some as other people."""
     customers = table(spark, sf_dir, "customer")
     # Encoding is costly for a row's size: a small file is dealt out to all cores first.
     cores = spark.sparkContext.defaultParallelism
     if customers.rdd.getNumPartitions() < cores:
         customers = customers.repartition(cores)
     joined = customers.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    where, columns = O.PARTIES[side]
-    return joined.where(where).selectExpr(*columns)
+    return joined.selectExpr(*O.PARTIES[side])
 
 
 def encoded_party(spark: SparkSession, sf_dir: str, side: str, profile: Profile = VALIDATE) -> DataFrame:
@@ -52,11 +54,12 @@ def encoded_party(spark: SparkSession, sf_dir: str, side: str, profile: Profile
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(encoded_party(spark, sf_dir, side).select("id", "bits", "signature").persist() for side in "ab")
+    """Both parties' records, written to the shared folder, as plans read them several times."""
+    return tuple(cut(encoded_party(spark, sf_dir, side).select("id", "bits", "signature")) for side in "ab")
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "customer").where("c_custkey % 10 < 8")
+    own = table(spark, sf_dir, "customer").where(O.SAME_PERSON)
     return own.selectExpr("concat('a', cast(c_custkey as string)) as id1", "concat('b', cast(c_custkey as string)) as id2")
 
 
@@ -133,7 +136,15 @@ def gram_sets(spark, sf_dir):
     return df
 
 
-@query()
+@query(O.QGRAM_FREQUENCY)
+def qgram_frequency(spark, sf_dir):
+    text = normalize.bloom_text(F.col("p_name"))
+    counts = sketch.qgram_counts(text, 2, "$")
+    first = sketch.qgram_frequency(counts, F.concat(F.lit("$"), F.substring(text, 1, 1)))
+    return table(spark, sf_dir, "part").select("p_partkey", first.cast("long").alias("n_first"), sketch.qgram_frequency(counts, F.lit("??")).cast("long").alias("n_absent"))
+
+
+@query(O.QGRAM_CODEC)
 def qgram_codec(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", sketch.qgram_counts(normalize.bloom_text(F.col("p_name")), 2, "$").alias("g"))
     coded = df.withColumn("code", codec.qgram_encode(F.col("g"), 2, "$"))
@@ -165,7 +176,7 @@ def bloom_codec(spark, sf_dir):
     return df.select("id", "code", (back["bits"] == F.col("bits")).alias("same"))
 
 
-@query()
+@query(O.BLOOM_NOISE)
 def bloom_noise(spark, sf_dir):
     noisy = Profile(methods=False, noise=0.01, random_bits=0.02, noise_seed="7")
     return encoded_party(spark, sf_dir, "a", noisy).select("id", F.array_join("bits", ",").alias("bits"))
@@ -182,7 +193,13 @@ def minhash_jaccard(spark, sf_dir):
     return a.join(b, "k").select("k", F.round(sketch.signature_jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query()
+@query(O.MINHASH_STRICT)
+def minhash_jaccard_strict(spark, sf_dir):
+    a, b = (encoded_party(spark, sf_dir, side).select(F.substring("id", 2, 20).alias("k"), F.col("signature").alias(side)) for side in "ab")
+    return a.join(b, "k").select("k", F.round(sketch.signature_jaccard_strict(F.col("a"), F.col("b")), 9).alias("similarity"))
+
+
+@query(O.MINHASH_CODEC)
 def minhash_codec(spark, sf_dir):
     pairs = list(sketch.coefficients(100, "kindred"))
     df = encoded_party(spark, sf_dir, "a").select("id", "signature", codec.minhash_encode(F.col("signature"), pairs).alias("code"), codec.signature_encode(F.col("signature")).alias("bare"))
@@ -193,17 +210,25 @@ def minhash_codec(spark, sf_dir):
 # --- records
 
 
-@query()
+def _zipped(spark, sf_dir):
+    return party(spark, sf_dir, "b").withColumn("zipped", F.lit("12345-678")).drop("id")
+
+
+@query(O.RECORDS_WORKFLOW)
 def records_workflow(spark, sf_dir):
-    own = party(spark, sf_dir, "b").withColumn("zipped", F.lit("12345-678")).drop("id").withColumn("k", F.monotonically_increasing_id())
-    out = records(own, ["name:name", "zip:zipped", "segment"], WORKFLOW, order=["name", "segment", "balance"])
-    return out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("bits").cast("long")).alias("bits"), F.countDistinct("id").alias("ids"))
+    out = records(_zipped(spark, sf_dir), ["name:name", "zip:zipped", "segment"], WORKFLOW, order=["name", "segment", "balance"])
+    return out.select("id", F.array_join("bits", ",").alias("bits"), F.array_join("signature", ",").alias("signature"))
 
 
-@query()
+@query(O.RECORDS_ANONYMOUS)
+def records_anonymous(spark, sf_dir):
+    return records(_zipped(spark, sf_dir), ["name"], WORKFLOW, order=["name", "segment", "balance"], anonymous=True).select("id")
+
+
+@query(O.RECORDS_SERVER)
 def records_server(spark, sf_dir):
     out = records(party(spark, sf_dir, "a"), ["name", "segment"], SERVER)
-    return out.select("id", F.array_join("bits", ",").alias("bits"), F.size("signature").alias("places"))
+    return out.select("id", F.array_join("bits", ",").alias("bits"), F.md5(F.array_join("signature", ",")).alias("signature_md5"))
 
 
 @query(O.RECORD_UPDATE)
@@ -244,10 +269,10 @@ def pair_match(spark, sf_dir):
     return out.select("id1", "id2", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
 
 
-@query()
+@query(O.ONE_TO_ONE)
 def one_to_one_link(spark, sf_dir):
     a, b = both(spark, sf_dir)
-    return one_to_one(fuzzy_link(a, b))
+    return one_to_one(fuzzy_link(a, b, Thresholds(10, 0.32)))
 
 
 @query(O.PRIORITY_FIRST)
@@ -257,7 +282,7 @@ def assignment_first_round(spark, sf_dir):
 
     a, b = both(spark, sf_dir)
     pairs = fuzzy_link(a, b, Thresholds(10, 0.32)).withColumn("p", priority(F.col("id1"), F.col("id2")))
-    pairs = pairs.persist()
+    pairs = cut(pairs)
     best1, best2 = (pairs.groupBy(c).agg(F.max("p").alias(f"p_{c}")) for c in ("id1", "id2"))
     return pairs.join(best1, "id1").join(best2, "id2").where("p = p_id1 and p = p_id2").select("id1", "id2")
 
@@ -293,24 +318,41 @@ def matching_buckets(spark, sf_dir):
     return blocking.matching_buckets(a, b, multiplicity=True)
 
 
-@query()
+@query(O.BUCKET_JOIN)
 def encrypted_bucket_join(spark, sf_dir):
     """Buckets of both parties met under two keys: the join on plain buckets must find the same rows."""
     one, two = b"\x11" * 32, b"\x22" * 32
     a, b = (blocking.buckets(encoded_party(spark, sf_dir, side)) for side in "ab")
-    # Points are read twice below, for their distinct values and for the join: kept, they are encrypted once.
-    a2 = curve.doubly_encrypted(curve.encrypted_buckets(a, one).persist(), two)
-    b2 = curve.doubly_encrypted(curve.encrypted_buckets(b, two).persist(), one)
+    # Points are read twice below, for their distinct values and for the join: written, they are encrypted once.
+    a2 = curve.doubly_encrypted(cut(curve.encrypted_buckets(a, one)), two)
+    b2 = curve.doubly_encrypted(cut(curve.encrypted_buckets(b, two)), one)
     return a2.select("double", F.col("id").alias("id1")).join(b2.select("double", F.col("id").alias("id2")), "double").select("id1", "id2").distinct()
 
 
-@query()
+@query(O.WITHIN)
 def within_duplicates(spark, sf_dir):
-    own = encoded_party(spark, sf_dir, "a").persist()
-    return workflows.within(own, Thresholds())
+    out = workflows.within(cut(encoded_party(spark, sf_dir, "a")), Thresholds())
+    return out.select("id1", "id2", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
 
 
-@query()
+@query(O.CANDIDATE_CAP)
+def candidate_cap(spark, sf_dir):
+    """The option that caps candidate pairs, in order of ids."""
+    return blocking.candidate_pairs(blocking.buckets(encoded_party(spark, sf_dir, "a")), 100)
+
+
+@query(O.PIPELINE_COUNTS)
+def pipeline_counts(spark, sf_dir):
+    out = workflows.within_counted(cut(encoded_party(spark, sf_dir, "a")))[1]
+    return out.withColumn("avg_bucket_size", F.round("avg_bucket_size", 9)).drop("processing_ms")
+
+
+@query(O.TWO_PARTY_COUNTS)
+def two_party_counts(spark, sf_dir):
+    return workflows.two_party_counted(*both(spark, sf_dir))[1]
+
+
+@query(O.PATTERN_HASHES)
 def pattern_hashes(spark, sf_dir):
     return patterns.pattern_hashes(encoded_party(spark, sf_dir, "a"), 1000, 100)
 
@@ -360,10 +402,22 @@ def match_stats(spark, sf_dir):
     return evaluate.all_named(expected(spark, sf_dir))
 
 
-@query()
+@query(O.REPORT)
 def validation_report(spark, sf_dir):
-    a, b = (party(spark, sf_dir, side) for side in "ab")
-    return workflows.validate(a, b, expected(spark, sf_dir), FIELDS, Thresholds(10, 0.32))[0]
+    return evaluate.report(_matches(spark, sf_dir), expected(spark, sf_dir))[0]
+
+
+@query(O.REPORT_DETAIL)
+def report_file(spark, sf_dir):
+    """The labelled pairs of a report that was written and read back."""
+    path = new_path(spark, "report")
+    sinks.write_report(evaluate.report(cut(_matches(spark, sf_dir)), expected(spark, sf_dir)), path)
+    return tables.report_file(spark, path)[1]
+
+
+@query(O.SAMPLES)
+def report_samples(spark, sf_dir):
+    return evaluate.samples(evaluate.labelled(_matches(spark, sf_dir), expected(spark, sf_dir)))
 
 
 # --- sources, sinks, streams
@@ -417,7 +471,7 @@ def encrypted_token_round_trip(spark, sf_dir):
     return own.select("id", back.eqNullSafe(F.col("line")).alias("same"), tokens.decrypted(F.col("c"), "0" * 64).isNull().alias("wrong_key_fails"))
 
 
-@query()
+@query(O.RATE_LIMIT)
 def rate_limit(spark, sf_dir):
     own = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     return limits.rate_limited(own, "user_id", "ts", "event_id", limit=2, seconds=86400).select("event_id", "user_id", "allowed")
@@ -433,5 +487,132 @@ def connection_count(spark, sf_dir):
 def synthetic_link(spark, sf_dir):
     first, second, true = synth.patients(spark, 300, 360, 0.3, 0.1)
     fields = ["first_name", "last_name", "dob", "ssn", "address", "phone"]
-    a, b = (encoded(df.select("id", F.array(*fields).alias("values")), HARNESS).persist() for df in (first, second))
+    a, b = (encoded(df.select("id", F.array(*fields).alias("values")), HARNESS) for df in (first, second))
     return evaluate.evaluate_bidirectional(workflows.two_party_blocks(a, b, Thresholds(100, 0.32)).select("id1", "id2"), true)
+
+
+@query(O.NULLS)
+def normalize_null(spark, sf_dir):
+    """A null is '' under every method."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "customer").select("c_custkey", *[f(none).alias(n) for n, f in (*normalize.METHODS.items(), ("basic", normalize.basic))])
+
+
+# --- files, databases and streams: written to the shared folder, read back from it
+
+
+def _csv_customers(spark, sf_dir) -> str:
+    path = new_path(spark, "customers.csv")
+    own = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as custkey", f"{O.ODD_TEXT} as text", "case when c_custkey % 5 = 0 then null else c_mktsegment end as segment")
+    own.write.options(**sinks.CSV_OPTIONS).csv(path, header=True)
+    return path
+
+
+@query(O.CSV_SOURCE)
+def csv_source(spark, sf_dir):
+    """A configured CSV source whose fields hold commas, quotes and line breaks."""
+    return tables.load(spark, config.load({"database": {"type": "csv", "filename": _csv_customers(spark, sf_dir)}}).database).select("custkey", "text", "segment")
+
+
+@query(O.CSV_GET)
+def csv_get(spark, sf_dir):
+    return tables.get(tables.rows(spark, _csv_customers(spark, sf_dir)), "custkey", "7").select("custkey", "text", "segment")
+
+
+@query(O.TOKEN_FILES)
+def token_files(spark, sf_dir):
+    """A party's tokens through files of every kind."""
+    rows, key = cut(sinks.token_rows(encoded_party(spark, sf_dir, "a"), VALIDATE, "2024-01-01T00:00:00Z")), "00112233445566778899aabbccddeeff" * 2
+    out = None
+    for kind in O.TOKEN_KINDS:
+        path = new_path(spark, f"tokens.{'json' if kind.startswith('json') else 'csv'}")
+        if "message" in kind:
+            messages = cut(sinks.encrypted_messages(rows, key, most=500, one=1 << 62 if kind == "one_message" else 0))
+            back = tables.decrypted_tokens(messages, key)
+        else:
+            sinks.write_tokens(rows, path, kind)
+            back = tables.workflow_tokens(spark, path) if kind == "csv" else tables.tokens_file(spark, path)
+        part = tables.token_records(back).select(F.lit(kind).alias("kind"), "id", F.array_join("bits", ",").alias("bits"), F.array_join("signature", ",").alias("signature"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(O.TOKEN_STATISTICS)
+def token_statistics(spark, sf_dir):
+    return tables.token_statistics(sinks.token_rows(encoded_party(spark, sf_dir, "a"), VALIDATE, "t")).drop("sample_id")
+
+
+@query(O.TOKEN_PAGE)
+def token_page(spark, sf_dir):
+    return tables.token_page(sinks.token_rows(encoded_party(spark, sf_dir, "a"), VALIDATE, "t"), 20, 15).select("id")
+
+
+@query(O.RECORDS)
+def record_lines(spark, sf_dir):
+    """A party's records as JSON lines."""
+    path = new_path(spark, "records")
+    sinks.write_record_lines(encoded_party(spark, sf_dir, "a"), path, VALIDATE)
+    return tables.record_lines(spark, path).select("id", F.array_join("bits", ",").alias("bits"), F.array_join("signature", ",").alias("signature"))
+
+
+@query(O.MATCH_FILES)
+def match_files(spark, sf_dir):
+    """Matches through files of every kind; ids hold commas and quotes."""
+    own = table(spark, sf_dir, "customer").selectExpr("concat('a', cast(c_custkey as string), ', \"x\"') as id1", "concat('b', cast(c_custkey as string)) as id2")
+    out = None
+    for kind in O.MATCH_KINDS:
+        path = new_path(spark, kind)
+        if kind == "intersection":
+            sinks.write_intersection(own, path)
+        elif kind == "export":
+            sinks.export(own, path, "json")
+        else:
+            sinks.write_matches(own, path, kind)
+        part = tables.matches_file(spark, path).select(F.lit(kind).alias("kind"), "id1", "id2")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(O.STREAM_LINK)
+def stream_link(spark, sf_dir):
+    """The second party's rows as a stream of files, each micro-batch matched with the first party, from the files it writes."""
+    rows, out = new_path(spark, "rows"), new_path(spark, "matched")
+    own = party(spark, sf_dir, "b")
+    own.repartition(3).write.parquet(rows)
+    peer = cut(encoded_party(spark, sf_dir, "a").select("id", "bits", "signature"))
+    matching.start(matching.read_rows(spark, rows, own.schema), peer, FIELDS, out, new_path(spark, "progress"), VALIDATE, Thresholds(), time="2024-01-01T00:00:00Z").awaitTermination()
+    found = spark.read.schema("Local_ID string, Peer_ID string, Timestamp string").options(**sinks.CSV_OPTIONS).csv(f"{out}/csv", header=True)
+    return found.select(F.col("Peer_ID").alias("id1"), F.col("Local_ID").alias("id2"), F.col("Timestamp").alias("timestamp"))
+
+
+@query(O.EXCHANGE)
+def exchange_summary(spark, sf_dir):
+    """Both parties link from token files, exchange their results as files, and compare them."""
+    folder = new_path(spark, "exchange")
+    for side in "ab":
+        sinks.write_tokens(sinks.token_rows(encoded_party(spark, sf_dir, side), VALIDATE, "t"), f"{folder}/{side}.csv")
+    return workflows.exchange(spark, f"{folder}/a.csv", f"{folder}/b.csv", folder, Thresholds(10, 0.32))
+
+
+@query(O.AUDIT_LINES)
+def audit_lines(spark, sf_dir):
+    own = table(spark, sf_dir, "events")
+    return own.select("event_id", audit.audit_lines(own, F.col("event_type"), F.col("ts"), "s1", ["user_id", "event_id"]).alias("line"))
+
+
+@query(O.DATABASE)
+def database_source(spark, sf_dir):
+    """A database table, a row of it by key and a page of it, with the embedded database of a local session."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("the embedded database is in the driver's process: local sessions only")
+    driver, url = "org.apache.derby.jdbc.EmbeddedDriver", f"jdbc:derby:memory:kindred{uuid.uuid4().hex};create=true"
+    spark._jvm.java.lang.Class.forName(driver)
+    statement = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
+    statement.execute("create table NATIONS (ID int, NAME varchar(40))")
+    for row in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
+        name = "null" if row[0] % 3 == 0 else "'" + row[1].replace("'", "''") + "'"
+        statement.execute(f"insert into NATIONS values ({row[0]}, {name})")
+    every = tables.jdbc(spark, url, "NATIONS", driver=driver)
+    parts = [("all", every), ("get", tables.jdbc_get(spark, url, "NATIONS", "7", driver=driver)), ("page", tables.jdbc_page(spark, url, "NATIONS", 4, 5, driver=driver))]
+    named = [df.toDF("id", "name").select(F.lit(kind).alias("kind"), "id", "name") for kind, df in parts]
+    return named[0].unionByName(named[1]).unionByName(named[2])

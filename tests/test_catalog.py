@@ -33,3 +33,15 @@ def test_encrypted_token_round_trip_takes_a_whole_party(spark, sf_dir):
     own = catalog.table(spark, sf_dir, "customer").selectExpr("concat('a', c_custkey)")
     got = [tuple(r) for r in catalog.encrypted_token_round_trip(spark, sf_dir).collect()]
     assert sorted(got) == sorted((x, True, True) for (x,) in own.collect())
+
+
+def test_both_parties_hold_every_customer(spark, sf_dir):
+    n = catalog.table(spark, sf_dir, "customer").count()
+    a, b = ({r["id"] for r in catalog.party(spark, sf_dir, side).select("id").collect()} for side in "ab")
+    assert len(a) == len(b) == n and any(x.startswith("x") for x in b)
+    true = catalog.expected(spark, sf_dir).collect()
+    assert {r["id1"] for r in true} <= a and {r["id2"] for r in true} <= b
+
+
+def test_every_query_but_one_has_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"synthetic_link"}

@@ -7,15 +7,16 @@ hash is its anchor. Equal windows have equal anchors, so only anchors that occur
 matter, and all windows of one anchor can meet in one shard. Shards hold the contexts (the bytes of
 the windows) of their anchors: ranges of the anchor hash, of bounded size.
 
-In a shard the distinct contexts form one text. Larsson-Sadakane refinement sorts its suffixes: by
-eight bytes, then by doubling, and only groups that are still tied. Kasai's algorithm gives the common
-prefixes; it walks all contexts in step, so it is numpy throughout. Neighbours with a common prefix
-of `length` bytes or more are one string, whose least document stays.
-
-Contexts that recur within a task are merged before they are sent, so a passage that a third of all
-documents hold sends one context a task. In a shard, the contexts of all tasks are sorted and made
-distinct, and each finds its place by binary search. Suffix arrays of different shards are not merged:
-all contexts of an anchor are in one shard.
+In a shard the distinct contexts form one text, or several of bounded size. For each, Larsson-Sadakane
+refinement sorts its suffixes: by eight bytes, then by doubling, and only groups that are still tied.
+Kasai's algorithm gives the common prefixes; it walks all contexts in step, so it is numpy throughout.
+Neighbours with a common prefix of `length` bytes or more are one string, whose least document stays.
+Texts of one shard are merged by binary search: each one's sorted strings are looked up in the others'.
+
+What recurs is merged before it is sent. In a slice, equal contexts (by a hash, then by their bytes) send
+one; and a task keeps the anchors and contexts that recurred in a slice, and sends no more of them. So a
+passage that a third of all documents hold sends one context a task. In a shard, the contexts of all
+tasks are sorted and made distinct, and each finds its place by binary search.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ from kindred.llm.shingles import mix
 LENGTH, GRAM = 50, 20
 #: Bytes of text that a task looks at together, and bytes of the corpus per shard.
 SLICE_BYTES, SHARD_BYTES = 1 << 20, 6 << 20
+#: Partitions of shards at most: beyond, a task walks several shards one after the other.
+PARTS = 1 << 15
+#: Bytes of contexts that are sorted together.
+TEXT_BYTES = 4 << 20
+#: Anchors and bytes of contexts that recurred in a slice, which a task keeps.
+HOT_ANCHORS, HOT_BYTES = 1 << 18, 16 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
@@ -126,6 +133,7 @@ def _find(length: int, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        hot = np.zeros(0, _U)  # anchors that recurred in an earlier slice, which sent them
         for b in batches:
             for part in _slices(b, "text"):
                 data, ends = _joined(part.column("text").to_pylist())
@@ -140,10 +148,13 @@ def _find(length: int, shards: int):
                 first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 several = np.maximum.reduceat(d, first) != np.minimum.reduceat(d, first)
                 counts = np.diff(np.append(first, len(v)))
-                known = np.repeat(several, counts)
+                met = np.isin(v[first], hot)
+                known = np.repeat(several | met, counts)
                 # Places already met in two documents are told at once; of them one goes on for the others to meet.
                 sent = ~known
-                sent[first] = True
+                sent[first] = ~met
+                if len(hot) < HOT_ANCHORS:
+                    hot = np.concatenate([hot, v[first[several & ~met]]])
                 rows = {"shard": [], "kind": [], "a": [], "b": [], "c": []}
 
                 def add(shard, kind, a, b=b"", c=b"", rows=rows):
@@ -251,10 +262,20 @@ def _bits(n: np.ndarray) -> np.ndarray:
     return (_U(1) << n.astype(_U)) - _U(1)
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from each place a are the m bytes from b."""
+    out = n == m
+    for j in range(int(n.max()) if len(n) else 0):
+        out &= (j >= n) | (data[np.minimum(a + j, len(data) - 1)] == data[np.minimum(b + j, len(data) - 1)])
+    return out
+
+
 def _cut_contexts(length: int, shards: int):
     """Documents with their shared places to contexts by shard; copies within the task are settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: dict[bytes, int] = {}  # contexts that recurred in an earlier slice, with the least document that was sent
+        held = 0
         for b in batches:
             for part in _slices(b, "text"):
                 texts = part.column("text").to_pylist()
@@ -278,20 +299,38 @@ def _cut_contexts(length: int, shards: int):
                 order = np.lexsort((ids, key))
                 k, i = key[order], ids[order]
                 first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                least = np.repeat(i[first], np.diff(np.append(first, len(k))))
-                later = np.empty(len(k), bool)
-                later[order] = i > least
+                counts = np.diff(np.append(first, len(k)))
+                # Later ones of a group, if their bytes are those of its first; another context by the same hash goes on.
+                lead = np.repeat(order[first], counts)
+                later = np.zeros(len(k), bool)
+                after = np.flatnonzero((i > np.repeat(i[first], counts)))
+                later[order[after]] = _same_bytes(data, lo[order[after]], lo[lead[after]], size[order[after]], size[lead[after]])
+                recurs = np.zeros(len(k), bool)
+                recurs[order[first]] = counts > 1
                 place = (lo - starts[doc]).astype("<u4")
                 if (row := _told(dk[later], place[later], _bits(hi[later] - lo[later] + 1), 0)) is not None:
                     yield row
                 kept = np.flatnonzero(~later)
+                raw = data.tobytes()
+                text = [raw[x:y] for x, y in zip(lo[kept].tolist(), (hi[kept] + length).tolist(), strict=True)]
+                again = np.zeros(len(kept), bool)
+                for n, (t, d, r) in enumerate(zip(text, ids[kept].tolist(), recurs[kept].tolist(), strict=True)):
+                    sent = hot.get(t)
+                    if sent is not None:
+                        again[n] = d > sent
+                        hot[t] = min(d, sent)
+                    elif r and held < HOT_BYTES:
+                        hot[t] = d
+                        held += len(t) + 100
+                if (row := _told(dk[kept[again]], place[kept[again]], _bits(hi[kept[again]] - lo[kept[again]] + 1), 0)) is not None:
+                    yield row
+                fresh = np.flatnonzero(~again)
+                kept = kept[fresh]
                 entry = np.empty(len(kept), _ENTRY)
                 entry["doc_id"], entry["dk"], entry["place"], entry["size"] = ids[kept], dk[kept], place[kept], size[kept]
-                raw = data.tobytes()
                 # Shards are told apart by other bits than in the first visit, where the low ones were used up.
                 for s, j in _by_shard((mix(h[at[kept]]) % _U(shards)).astype(np.int64)):
-                    text = b"".join([raw[x:y] for x, y in zip(lo[kept[j]].tolist(), (hi[kept[j]] + length).tolist(), strict=True)])
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([CONTEXTS], pa.int32()), pa.array([0], pa.int64()), pa.array([entry[j].tobytes()], pa.binary()), pa.array([text], pa.binary())], schema=_OUT_SCHEMA)
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([CONTEXTS], pa.int32()), pa.array([0], pa.int64()), pa.array([entry[j].tobytes()], pa.binary()), pa.array([b"".join([text[x] for x in fresh[j].tolist()])], pa.binary())], schema=_OUT_SCHEMA)
 
     return run
 
@@ -387,8 +426,9 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts
     return out
 
 
-def least_documents(contexts: list[bytes], documents: np.ndarray, length: int) -> np.ndarray:
-    """(contexts, windows): for each distinct context and window the least document that holds the window's string.
+def sorted_strings(contexts: list[bytes], documents: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strings, least, which): the distinct strings of `length` bytes in order, the least document of each, and for each
+    context and window which string it is (-1 beyond a context's last window).
 
     A context ends in a 0 byte, so it must not hold one; `_least_by_zeros` sees to those that do.
     """
@@ -400,14 +440,43 @@ def least_documents(contexts: list[bytes], documents: np.ndarray, length: int) -
     common = common_prefixes(data, sa, starts, counts, length)
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)[sa]
     offset = sa - starts[owner]
-    window = offset < counts[owner]
-    head = np.flatnonzero(common < length)
-    if not len(head) or head[0]:
-        head = np.concatenate([[0], head])
-    doc = np.where(window, documents[owner], np.iinfo(np.int64).max)
-    least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(sa))))
-    out = np.full((len(contexts), int(counts.max())), np.iinfo(np.int64).max)
-    out[owner[window], offset[window]] = least[window]
+    # Suffixes shorter than a string stand among the windows; they belong to none, and begin no string.
+    window = np.flatnonzero(offset < counts[owner])
+    new = np.zeros(len(sa), bool)
+    new[common < length] = True
+    number = np.cumsum(new)[window]
+    head = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    which = np.full((len(contexts), int(counts.max())), -1, np.int64)
+    which[owner[window], offset[window]] = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]]))
+    first = sa[window[head]]
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)[first]
+    return np.ascontiguousarray(strings).view(f"S{length}").ravel(), np.minimum.reduceat(documents[owner[window]], head), which
+
+
+def merge_least(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Merge texts' sorted strings: what several hold gets the least document of all, found by binary search in one another."""
+    for j, (theirs, other) in enumerate(parts):
+        for strings, least in parts[:j]:
+            at = np.searchsorted(strings, theirs)
+            at[at == len(strings)] = 0
+            same = np.flatnonzero(strings[at] == theirs)
+            low = np.minimum(least[at[same]], other[same])
+            least[at[same]], other[same] = low, low
+
+
+def least_documents(contexts: list[bytes], documents: np.ndarray, length: int, most: int = TEXT_BYTES) -> np.ndarray:
+    """(contexts, windows): for each distinct context and window the least document that holds the window's string.
+
+    Contexts are sorted in texts of about `most` bytes, and the texts merged.
+    """
+    text = np.cumsum([len(c) + 1 for c in contexts]) // most
+    cuts = [0, *(np.flatnonzero(text[1:] != text[:-1]) + 1).tolist(), len(contexts)]
+    made = [sorted_strings(contexts[s:t], documents[s:t], length) for s, t in zip(cuts, cuts[1:], strict=False)]
+    merge_least([(strings, least) for strings, least, _ in made])
+    out = np.full((len(contexts), max(len(c) for c in contexts) - length + 1), np.iinfo(np.int64).max)
+    for s, (_, least, which) in zip(cuts, made, strict=False):
+        row, column = np.nonzero(which >= 0)
+        out[s + row, column] = least[which[row, column]]
     return out
 
 
@@ -502,24 +571,26 @@ def removed_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts are UTF-8 bytes, null as empty; matches never cross documents. Removed is each byte of a
     string of `length` bytes that also starts in a row of smaller doc_id, judged on the input. Rows of
     one doc_id don't remove from one another. A null doc_id stands below all ids. Texts shorter than
-    `length` stay whole; an empty table gives an empty result; other columns are left aside.
+    `length` stay whole; a long text is looked at as a whole, in one slice of its own. An empty table
+    gives an empty result; other columns are left aside.
     """
     if not GRAM < length <= GRAM + 63:
         raise ValueError(f"length must be in {GRAM + 1} to {GRAM + 63}")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), text_or_empty().cast("binary").alias("text")).withColumn("dk", F.xxhash64("doc_id", "text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shards = max(16, -(-total // SHARD_BYTES))
+    parts = min(shards, PARTS)
     # Exact copies: all but the least id go whole, and send nothing.
     keys = own.select("doc_id", "dk", F.md5("text").alias("m"), F.octet_length("text").alias("n"))
     firsts = keys.groupBy("m", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("m", "n", "first")
     copies = keys.join(firsts, ["m", "n"]).where(F.col("doc_id") > F.col("first")).select("dk", F.lit(True).alias("copy")).distinct()
     # Anchors that two documents share.
     long_enough = own.where(F.octet_length("text") >= length)
-    met = long_enough.mapInArrow(_find(length, shards), _ROW).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_runs(_meet, ["shard"]), _ROW)
-    shared = met.repartition(shards, "block").sortWithinPartitions("block").mapInArrow(_runs(_back, ["block"]), "dk long, places binary").dropDuplicates(["dk"])
+    met = long_enough.mapInArrow(_find(length, shards), _ROW).repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_runs(_meet, ["shard"]), _ROW)
+    shared = met.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_runs(_back, ["block"]), "dk long, places binary").dropDuplicates(["dk"])
     # Their contexts, settled shard by shard.
     asked = own.join(shared.join(copies, "dk", "left_anti"), "dk").select("doc_id", "dk", "text", "places")
-    settled = asked.mapInArrow(_cut_contexts(length, shards), _OUT).repartition(shards, F.when(F.col("kind") == CONTEXTS, F.col("shard")).otherwise(F.pmod("dk", F.lit(shards))))
+    settled = asked.mapInArrow(_cut_contexts(length, shards), _OUT).repartition(parts, F.when(F.col("kind") == CONTEXTS, F.col("shard")).otherwise(F.pmod("dk", F.lit(shards))))
     hits = settled.sortWithinPartitions("shard").mapInArrow(_runs(_settle(length), ["shard"]), _OUT).groupBy("dk").agg(F.collect_list("a").alias("hits"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 

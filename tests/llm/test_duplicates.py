@@ -213,6 +213,47 @@ def test_one_passage_in_all_documents(spark, monkeypatch):
     assert removed(spark, rows) == brute_removed(rows)
 
 
+def test_texts_of_a_shard_are_merged():
+    random.seed(9)
+    base = ["".join(random.choice("abc ") for _ in range(random.randint(50, 80))).encode() for _ in range(12)]
+    contexts = sorted({b[i : i + random.randint(50, 80)] + random.choice([b"", b"xy"]) for b in base for i in range(0, 25) if len(b) - i >= 50})
+    documents = np.array([random.randint(0, 1000) for _ in contexts])
+    least = {}
+    for c, d in zip(contexts, documents.tolist(), strict=True):
+        for s in range(len(c) - 49):
+            least[c[s : s + 50]] = min(d, least.get(c[s : s + 50], d))
+    for most in (1, 300, 2000, 1 << 20):
+        got = suffix_dedup.least_documents(contexts, documents, 50, most)
+        for i, c in enumerate(contexts):
+            assert got[i, : len(c) - 49].tolist() == [least[c[s : s + 50]] for s in range(len(c) - 49)]
+    strings, _, which = suffix_dedup.sorted_strings(contexts, documents, 50)
+    assert strings.tolist() == sorted(least) and which.max() == len(least) - 1
+
+
+def test_hash_equal_contexts_are_compared_by_bytes():
+    data = np.frombuffer(b"abcdeabcdfabcde", np.uint8)
+    got = suffix_dedup._same_bytes(data, np.array([5, 10, 10, 0]), np.array([0, 0, 0, 0]), np.array([5, 5, 4, 5]), np.array([5, 5, 5, 5]))
+    assert got.tolist() == [False, True, False, True]
+
+
+def test_what_recurs_is_sent_once_a_task(spark):
+    """One partition of many slices: a passage in every document, of ids in no order, one context on its way."""
+    random.seed(12)
+    ids = list(range(400))
+    random.shuffle(ids)
+    passage = "The notice that every page of this site carries, word for word, at its end. "
+    rows = [(i, f"own {random.random()} " * 400 + passage + f"{random.random()}") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter(tuple(r)[:4] + (r["kept_sha256"],) for r in suffix_dedup.removed_strings(df).collect())
+    assert got == brute_removed(rows)
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(60_000))
+    rows = [(1, text), (2, "x " * 30 + text[200_000:200_400]), (3, "tail " + text[-300:])]
+    assert removed(spark, rows) == brute_removed(rows)
+
+
 def test_suffix_array_and_common_prefixes():
     random.seed(1)
     contexts = [bytes(random.choice(b"ab") for _ in range(random.randint(1, 90))) for _ in range(12)] + [b"ab" * 20, b"ab" * 20]

@@ -202,6 +202,14 @@ def test_composed_transducers_equal_a_plain_walk():
     assert g.events(long) == plain_clause(long) == ["addressed", "threat"]
 
 
+def test_an_item_at_the_end_of_a_very_long_text(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards watch"
+    df = docs(spark, [(1, "plain words of a long text " * 40_000 + item.replace("lazy", "lasy"), "s"), (2, "plain words of a long text " * 40_000, "s")])
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits"]] for r in decontamination.matches(df, bench).collect()}
+    assert got == {1: [(5, 1)], 2: []}
+
+
 def test_names_that_clash(spark):
     df = docs(spark, [(1, "some text", "s")]).withColumn("scored_text", F.lit(5)).withColumn("_text", F.lit(6)).withColumn("_source", F.lit(7))
     out = toxicity.scored(df, toxicity.Grammar({}, toxicity.PRIOR))

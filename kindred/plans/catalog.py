@@ -483,9 +483,10 @@ def connection_count(spark, sf_dir):
     return limits.connections(own, "user_id", "ts", "event_id", "delta").select("event_id", F.col("open").cast("long").alias("open"))
 
 
-@query()
+@query(O.SYNTHETIC_LINK)
 def synthetic_link(spark, sf_dir):
-    first, second, true = synth.patients(spark, 300, 360, 0.3, 0.1)
+    n1, n2, base, noise = O.SYNTHETIC
+    first, second, true = synth.patients(spark, n1, n2, base / n1, noise / 1000)
     fields = ["first_name", "last_name", "dob", "ssn", "address", "phone"]
     a, b = (encoded(df.select("id", F.array(*fields).alias("values")), HARNESS) for df in (first, second))
     return evaluate.evaluate_bidirectional(workflows.two_party_blocks(a, b, Thresholds(100, 0.32)).select("id1", "id2"), true)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kindred.functions.normalize import GENDERS
 from kindred.functions.sketch import PRIME, coefficients
+from kindred.operators.synth import FIRST, LAST, STREETS
 
 # Expressions that Spark and DuckDB read alike.
 RAW_NAME = "case when c_custkey % 4 = 0 then concat('  ', upper(c_name), ' O''Connor-Smith ') when c_custkey % 4 = 1 then concat(c_mktsegment, ' ', c_name) when c_custkey % 4 = 2 then '---' else concat('José  ', c_mktsegment) end"
@@ -261,3 +262,40 @@ DATABASE = """select 'all' as kind, n_nationkey::varchar as id, case when n_nati
 union all select 'get', n_nationkey::varchar, case when n_nationkey % 3 = 0 then '' else n_name end from nation where n_nationkey = 7
 union all select * from (select 'page', n_nationkey::varchar, case when n_nationkey % 3 = 0 then '' else n_name end from nation order by n_nationkey limit 5 offset 4)"""
 NULLS = "select c_custkey, '' as name, '' as date, '' as gender, '' as zip, '' as basic from customer"
+
+# --- synthetic rows
+
+#: Rows of the first and second set, people in both, and the share of noisy fields, in per mille.
+SYNTHETIC = (300, 360, 90, 100)
+
+
+def _synthetic() -> str:
+    draw = lambda tag, n: f"(('0x' || substr(md5('1|{tag}|' || kind || '|' || n), 1, 12))::bigint % {n})"
+    pick = lambda values, at: f"{values!r}[{at} + 1]"
+    padded = lambda x, low, width: f"lpad(({x} + {low})::varchar, {width}, '0')"
+    names = "(case when kind = 'base' then 10 else 5 end)"
+    n1, n2, base, noise = SYNTHETIC
+    fields = f"""{pick(FIRST, f"{draw('first', 10)} % {names}")} as first_name, {pick(LAST, f"{draw('last', 10)} % {names}")} as last_name,
+ {padded(draw('year', 50), 1950, 4)} || '-' || {padded(draw('month', 12), 1, 2)} || '-' || {padded(draw('day', 28), 1, 2)} as dob,
+ {padded(draw('ssn1', 899), 100, 3)} || '-' || {padded(draw('ssn2', 89), 10, 2)} || '-' || {padded(draw('ssn3', 8999), 1000, 4)} as ssn,
+ ({draw('house', 9900)} + 100)::varchar || ' ' || {pick(STREETS, draw('street', 5))} as address,
+ '(' || {padded(draw('area', 799), 200, 3)} || ') ' || {padded(draw('exchange', 799), 200, 3)} || '-' || {padded(draw('line', 8999), 1000, 4)} as phone"""
+
+    def noisy(c: str) -> str:
+        place, letter, kind = f"({draw(f'{c}-place', 1 << 30)} % greatest(length({c}), 1) + 1)", f"chr((97 + {draw(f'{c}-letter', 26)})::integer)", draw(f"{c}-kind", 3)
+        before, at, after = f"substr({c}, 1, {place} - 1)", f"substr({c}, {place})", f"substr({c}, {place} + 1)"
+        return f"case when {draw(f'{c}-any', 1_000_000)} < {noise * 1000} and length({c}) > 0 then case when {kind} = 0 then {before} || {letter} || {after} when {kind} = 1 and length({c}) > 1 then {before} || {after} when {kind} = 2 then {before} || {letter} || {at} else {c} end else {c} end as {c}"
+
+    rows = f"k as (select 'base' as kind, n from range({base}) r(n) union all select 'unique1', n from range({n1 - base}) r(n) union all select 'unique2', n from range({n2 - base}) r(n)), p as (select kind, n, {fields} from k)"
+    rest = "dob, ssn, phone"
+    sides = f"""a_raw as (select case when kind = 'base' then 'd1_base_' else 'd1_unique_' end || n as id, first_name, last_name, address, {rest} from p where kind in ('base', 'unique1')),
+b_raw as (select 'd2_base_' || n as id, {noisy('first_name')}, {noisy('last_name')}, {noisy('address')}, {rest} from p where kind = 'base' union all select 'd2_unique_' || n, first_name, last_name, address, {rest} from p where kind = 'unique2')"""
+    grams = lambda s: f"""select distinct id, v from (select id, unnest(list_concat([v], list_transform(range(1, length(v)), lambda i: substr(v, i, 2)), list_transform(range(1, length(v) - 1), lambda i: substr(v, i, 3)))) as v
+ from (select id, lower(unnest([first_name, last_name, dob, ssn, address, phone])) as v from {s}_raw))"""
+    return f"with {rows}, {sides}, {_sketched('a', grams('a'))}, {_sketched('b', grams('b'))}, {_buckets('a')}, {_buckets('b')}"
+
+
+SYNTHETIC_LINK = f"""{_synthetic()}, x as (select distinct x.id as id1, y.id as id2 from a_k x join b_k y using (bucket_id)),
+f as (select id1, id2 from x join a on a.id = id1 join b on b.id = id2 where {_H} <= 100 and {_J} >= 0.32), e as (select 'd1_base_' || n as id1, 'd2_base_' || n as id2 from range({SYNTHETIC[2]}) r(n)), {_COUNTS},
+s as (select tp as true_positives, all_ - tp as false_positives, greatest(0, exp - tp) as false_negatives, tp / all_ as precision, tp / (tp + greatest(0, exp - tp)) as recall from n)
+select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from s"""

@@ -141,7 +141,7 @@ class PieceEncoder:
         words = pc.split_pattern(texts, " ")
         offsets = words.offsets.to_numpy()
         coded = words.values.dictionary_encode()
-        code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
         starts, n_words = offsets[:-1], np.diff(offsets)
         head = np.zeros(len(code), bool)
         head[starts] = True
@@ -154,12 +154,12 @@ class PieceEncoder:
             whole |= flag(pc.match_substring(texts, a))
         by_word = np.repeat(~whole, n_words)
         # Pieces: distinct words after a space, distinct first words, whole texts, and nothing.
-        lists, sizes, piece, at = [], [], np.zeros(len(code), np.int64), 0
+        lists, sizes, piece, at = [], [], np.zeros(len(code), np.int32), 0
         for mask, encode in ((by_word & ~head, self._tails), (by_word & head, self._heads)):
             counts = np.bincount(code[mask], minlength=len(distinct))
             used = np.flatnonzero(counts)
             ids, size, place = encode(distinct.take(pa.array(used)), counts[used])
-            number = np.zeros(len(distinct), np.int64)
+            number = np.zeros(len(distinct), np.int32)
             number[used] = at + place
             piece[mask] = number[code[mask]]
             lists.append(ids), sizes.append(size)

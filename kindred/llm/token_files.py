@@ -32,7 +32,7 @@ END = 0
 #: Ids of one block at about; bytes of text of one file at about, and files at most before they grow.
 BLOCK_IDS, FILE_BYTES, FILES = 1 << 20, 32 << 20, 1 << 16
 #: Bytes of text encoded at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 10 << 20
 #: A rule costs two symbols and a length, and saves a symbol for each occurrence. Files, compressed as they are
 #: written, are smallest at this count (4 to 32 were tried): the rules of rarer pairs take more than they save.
 LEAST = 8
@@ -49,14 +49,16 @@ def _every_second(at: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0
 
 
-def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left symbol << its bits | right symbol."""
+    wide = np.uint32 if left.dtype == np.uint16 else np.uint64
+    return (left.astype(wide) << wide(8 * left.dtype.itemsize)) | right
 
 
 def counted_pairs(seq: np.ndarray, closed: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(pairs, counts): the pairs that a rule may replace, each with its occurrences that don't overlap.
 
-    A pair is left symbol << 32 | right symbol; pairs whose left symbol is `closed` are no candidates.
+    Pairs are numbers as `_pairs` makes them; those whose left symbol is `closed` are no candidates.
     at: the places of the pairs that are counted, all by default.
     """
     left, right = (seq[:-1], seq[1:]) if at is None else (seq[at], seq[at + 1])
@@ -64,7 +66,7 @@ def counted_pairs(seq: np.ndarray, closed: np.ndarray, at: np.ndarray | None = N
     same = np.flatnonzero(left == right)
     if len(same):
         ok[same[~_every_second(same if at is None else at[same])]] = False
-    keys = ((left.astype(np.uint64) << np.uint64(32)) | right)[ok]
+    keys = _pairs(left, right)[ok]
     keys.sort()
     starts = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
     return keys[starts], np.diff(np.append(starts, len(keys)))
@@ -95,11 +97,15 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
     No pair that a rule may replace is left with `least` occurrences or more. A pair never starts with
     END or what ends in it, so no symbol crosses the end of a document.
     """
-    seq = ids.astype(np.uint32)
+    # The ids of the block are numbered anew: its symbols mostly fit 16 bits, their pairs 32.
+    here = np.flatnonzero(np.bincount(ids, minlength=vocabulary))
+    number = np.zeros(vocabulary, np.uint32)
+    number[here] = np.arange(len(here))
+    seq = number[ids].astype(np.uint16 if len(here) <= 1 << 16 else np.uint32)
     rules: list[np.ndarray] = []
-    lengths = np.ones(vocabulary, np.int64)
-    closed = np.arange(vocabulary) == END
-    used = vocabulary
+    lengths = np.ones(len(here), np.int64)
+    closed = here == END
+    used = len(here)
     near: np.ndarray | None = None  # symbols whose pairs may pay; None: all
     while len(seq) > 1:
         at = None
@@ -115,7 +121,8 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
         floor = max(least, counts.max() // SHARE)
         often = np.flatnonzero(counts >= floor)
         chosen = pairs[often]
-        left, right = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        bits = 8 * seq.dtype.itemsize
+        left, right = (chosen >> chosen.dtype.type(bits)).astype(np.int64), (chosen & chosen.dtype.type((1 << bits) - 1)).astype(np.int64)
         rank = np.empty(len(chosen), np.int64)
         rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(chosen))
         is_left, is_right = np.zeros(used, bool), np.zeros(used, bool)
@@ -124,7 +131,7 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
             at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
         else:
             at = at[is_left[seq[at]] & is_right[seq[at + 1]]]
-        pair = _pairs(seq, at)
+        pair = _pairs(seq[at], seq[at + 1])
         rule = np.searchsorted(chosen, pair)
         rule[rule == len(chosen)] = 0
         hit = chosen[rule] == pair
@@ -150,6 +157,8 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
                 kept_near[:used] |= near
             near = kept_near
         left, right = left[pays], right[pays]
+        if used + len(left) > 1 << 16:
+            seq = seq.astype(np.uint32)
         seq[at] = used + rule
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
@@ -159,7 +168,8 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
         closed = np.concatenate([closed, closed[right]])
         used += len(left)
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, made.astype(np.uint32), lengths[vocabulary:].astype(np.uint32)
+    symbol = np.concatenate([here, vocabulary + np.arange(len(made))]).astype(np.uint32)
+    return symbol[seq], symbol[made], lengths[len(here) :].astype(np.uint32)
 
 
 class Block:

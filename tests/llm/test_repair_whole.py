@@ -49,3 +49,15 @@ def test_every_rule_is_used_often_enough():
     symbols, rules, _ = token_files.compress(ids, 500)
     used = Counter(symbols.tolist()) + Counter(rules.ravel().tolist())
     assert len(rules) > 100 and min(used[500 + i] for i in range(len(rules))) > 0 and len(symbols) + 3 * len(rules) < len(ids)
+
+
+def test_more_symbols_than_16_bits_hold():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 70_000, 30_000)
+    ids = np.concatenate([np.tile(base, 9), np.arange(1, 70_000)]).astype(np.uint32)
+    symbols, rules, lengths = token_files.compress(ids, 70_000)
+    few = np.tile(rng.integers(1, 60_000, 30_000), 9).astype(np.uint32)  # 16 bits at first, more with the rules
+    for x, made in ((ids, (symbols, rules, lengths)), (few, token_files.compress(few, 60_000))):
+        v = 70_000 if x is ids else 60_000
+        block = token_files.Block(v, made[1], made[2], made[0], np.zeros(1, np.int64), np.array([len(x)]))
+        assert (block.all_ids() == x).all() and len(made[0]) < len(x)

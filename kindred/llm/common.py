@@ -1,8 +1,7 @@
-"""What the corpus operators share: reading tables, cutting lineage, Arrow helpers."""
+"""What the corpus operators share: reading tables, the shared folder, slices of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,27 +9,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions.lineage import cut, fresh, shared_folder
+
+__all__ = ["by_bytes", "cut", "fresh", "remove", "shared_folder", "sliced", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by a path that only Spark has to reach."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where that setting is absent, a temporary folder is made for a local session (tests), and handed to
-    the context; on a cluster it would be the driver's own disk, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="kindred-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, if it is there."""
     jvm = spark.sparkContext._jvm
@@ -38,20 +26,6 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now, keep in the shared folder, forget the lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """`name`, or with underscores after it until no column of `df` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
@@ -79,7 +53,3 @@ def sliced(batch: pa.RecordBatch, column: int | str, most: int) -> Iterator[pa.R
             start, held = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
-
-
-def arrow_rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import text_or_empty
+from kindred.llm.common import sliced, text_or_empty
 from kindred.llm.near_duplicates import _runs
 from kindred.llm.shingles import mix
 
@@ -102,17 +101,6 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum([len(t) + 1 for t in texts]) - 1
 
 
-def _slices(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    start, held = 0, 0
-    for i, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
-        held += n or 0
-        if held >= SLICE_BYTES:
-            yield b.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < b.num_rows:
-        yield b.slice(start)
-
-
 _ROW = "shard long, kind int, block long, a binary, b binary, c binary"
 _ROW_SCHEMA = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 #: Kinds of rows: anchors of a block, places known to be shared, and the block's documents.
@@ -135,7 +123,7 @@ def _find(length: int, shards: int):
         block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
         hot = np.zeros(0, _U)  # anchors that recurred in an earlier slice, which sent them
         for b in batches:
-            for part in _slices(b, "text"):
+            for part in sliced(b, "text", SLICE_BYTES):
                 data, ends = _joined(part.column("text").to_pylist())
                 h = gram_hashes(data)
                 at = anchors(h, ends, length)
@@ -277,7 +265,7 @@ def _cut_contexts(length: int, shards: int):
         hot: dict[bytes, int] = {}  # contexts that recurred in an earlier slice, with the least document that was sent
         held = 0
         for b in batches:
-            for part in _slices(b, "text"):
+            for part in sliced(b, "text", SLICE_BYTES):
                 texts = part.column("text").to_pylist()
                 data, ends = _joined(texts)
                 starts = np.concatenate([[0], ends[:-1] + 1])
@@ -596,7 +584,7 @@ def removed_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _slices(b, "text"):
+            for part in sliced(b, "text", SLICE_BYTES):
                 rows = {f.name: [] for f in schema}
                 for i, text, copy, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "copy", "hits")), strict=True):
                     n = len(text)

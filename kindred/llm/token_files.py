@@ -55,6 +55,12 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left.astype(wide) << wide(8 * left.dtype.itemsize)) | right
 
 
+def _hashed(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """`bits` bits of a product with an odd constant."""
+    wide = pairs.dtype.type
+    return (pairs * wide(0x9E3779B1 if wide is np.uint32 else 0x9E3779B97F4A7C15)) >> wide(8 * pairs.dtype.itemsize - bits)
+
+
 def counted_pairs(seq: np.ndarray, closed: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(pairs, counts): the pairs that a rule may replace, each with its occurrences that don't overlap.
 
@@ -131,9 +137,13 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
             at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
         else:
             at = at[is_left[seq[at]] & is_right[seq[at + 1]]]
+        # A table by a hash of the pair: of pairs with one place the most frequent has it, the others wait for a later round.
         pair = _pairs(seq[at], seq[at + 1])
-        rule = np.searchsorted(chosen, pair)
-        rule[rule == len(chosen)] = 0
+        place = max(12, 2 + int(len(chosen)).bit_length())
+        table = np.zeros(1 << place, np.int32)
+        falling = np.argsort(-rank)
+        table[_hashed(chosen[falling], place)] = falling
+        rule = table[_hashed(pair, place)]
         hit = chosen[rule] == pair
         at, rule = at[hit], rule[hit]
         same = np.flatnonzero(left[rule] == right[rule])

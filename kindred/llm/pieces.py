@@ -30,6 +30,9 @@ BATCH_BYTES, LONG_CHARS = 1 << 20, 1 << 16
 #: Words kept at most, and their bytes; beyond either the table starts anew.
 KEPT_WORDS, KEPT_BYTES = 1 << 18, 16 << 20
 
+#: A letter of Latin script before an ASCII digit or mark: there the pre-tokenizer always splits, so words fall in two.
+_GLUED = r"^((?s:.*?)[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-@\[-`{-~](?s:.*))$"
+
 #: A space between a letter or digit and something that is no white space.
 _SAFE = re.compile(r"(?<=[^\W_]) (?=\S)")
 
@@ -108,6 +111,26 @@ class PieceEncoder:
         first = np.flatnonzero(self.spaced[ids])
         return ids, np.diff(np.append(first, len(ids)))
 
+    def _split(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `_tails`, with a word's letters and what is glued to them looked up apart: few of either are distinct."""
+        parts = pc.extract_regex(words, _GLUED.replace("^(", "^(?P<a>").replace("([!", "(?P<b>[!"))
+        lead = pc.fill_null(pc.struct_field(parts, "a"), words).dictionary_encode()
+        rest = pc.fill_null(pc.struct_field(parts, "b"), "").dictionary_encode()
+        first, second = lead.indices.to_numpy().astype(np.int64), rest.indices.to_numpy().astype(np.int64)
+        ids, size, place = self._tails(lead.dictionary, np.bincount(first, counts, len(lead.dictionary)).astype(np.int64))
+        glued_ids, glued_size = self._whole(rest.dictionary)
+        at, n = place[first], size[place[first]]
+        a, b = np.cumsum(size) - size, np.cumsum(glued_size) - glued_size
+        m = glued_size[second]
+        # Both parts' ids behind one another.
+        store, ends = np.concatenate([ids, glued_ids]), np.cumsum(n + m)
+        begin = ends - n - m
+        out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
+        for start, width, to in ((a[at], n, begin), (len(ids) + b[second], m, begin + n)):
+            step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            out[np.repeat(to, width) + step] = store[np.repeat(start, width) + step]
+        return out, n + m, np.arange(len(words))
+
     def _tails(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, sizes, the place of each word among the sizes): new words are encoded, those that occur twice are kept."""
         if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
@@ -155,7 +178,7 @@ class PieceEncoder:
         by_word = np.repeat(~whole, n_words)
         # Pieces: distinct words after a space, distinct first words, whole texts, and nothing.
         lists, sizes, piece, at = [], [], np.zeros(len(code), np.int32), 0
-        for mask, encode in ((by_word & ~head, self._tails), (by_word & head, self._heads)):
+        for mask, encode in ((by_word & ~head, self._split), (by_word & head, self._heads)):
             counts = np.bincount(code[mask], minlength=len(distinct))
             used = np.flatnonzero(counts)
             ids, size, place = encode(distinct.take(pa.array(used)), counts[used])

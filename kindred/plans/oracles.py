@@ -216,7 +216,7 @@ r as (select 0::bigint as n, ''::varchar as id1, ''::varchar as id2, false as wo
   union all select o.n, o.id1, o.id2, not (list_contains(u, o.id1) or list_contains(v, o.id2)),
     case when list_contains(u, o.id1) or list_contains(v, o.id2) then u else list_append(u, o.id1) end,
     case when list_contains(u, o.id1) or list_contains(v, o.id2) then v else list_append(v, o.id2) end from r join o on o.n = r.n + 1)"""
-ONE_TO_ONE = f"{_linked(10).replace('with ', 'with recursive ', 1)}, {_ASSIGNED} select id1, id2 from r where won"
+ONE_TO_ONE = f"{_linked(20).replace('with ', 'with recursive ', 1)}, {_ASSIGNED} select id1, id2 from r where won"
 EXCHANGE = f"{_linked(10).replace('with ', 'with recursive ', 1)}, {_ASSIGNED}, t as (select count(*) as n from r where won) select n as local_count, n as peer_count, 0::bigint as local_only, 0::bigint as peer_only, true as equal from t"
 
 _WITHIN = f"""{_A}, {_buckets('a')}, p as (select distinct x.id as id1, y.id as id2 from a_k x join a_k y on x.bucket_id = y.bucket_id and x.id < y.id),

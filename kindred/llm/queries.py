@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontamination, html_text, mixing, near_duplicates, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
+from kindred.llm import byte_bpe, decontamination, html_text, mixing, near_duplicates, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
 from kindred.llm.common import shared_folder, table, text_or_empty
 
 
@@ -77,7 +77,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_array, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k)}
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = byte_bpe.default_ranks()
+    tokens = byte_bpe.encoded(table(spark, sf_dir, "documents"), path, pattern)
+    return byte_bpe.decoded(tokens, path, pattern).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_array, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k, op12_byte_bpe)}
 
 _OP7 = rf"""
 with d as (

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import byte_bpe, decontamination, html_text, mixing, near_duplicates, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
+from kindred.llm import byte_bpe, decontamination, html_text, mixing, near_duplicates, prefix_trie, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
 from kindred.llm.common import shared_folder, table, text_or_empty
 
 
@@ -88,7 +88,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_array, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k, op12_byte_bpe)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.branched(own)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_array, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k, op12_byte_bpe, op13_prefix_trie)}
 
 _OP7 = rf"""
 with d as (
@@ -128,4 +133,30 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
 """
 
-ORACLES = {"op7_mixing": _OP7, "op10_top_k": _OP10}
+_CRC = "xor(list_reduce(list_transform(range(1, length({c}) + 1), lambda i: ascii(substr({c}, i, 1))::bigint), lambda h, b: list_reduce(range(8), lambda y, i: case when y % 2 = 1 then xor(y // 2, 3988292384) else y // 2 end, xor(h, b)), 4294967295), 4294967295)"
+
+_OP13 = rf"""
+with s as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first) as own from conversations where conv_id is not null group by conv_id
+), h as (
+  select *, {_CRC.format(c="conv_id::varchar")} % 4 as h from s
+), x as (
+  select h.conv_id, list_concat(coalesce(p.own[1:h.h], []), h.own[h.h + 1:]) as path from h left join s p on p.conv_id = h.conv_id - h.conv_id % 20
+), d as (
+  select conv_id, path, unnest(range(0, len(path) + 1)) as depth from x
+), g as (
+  select path[1:depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (depth = len(path)), '')) as ends_sha256
+  from d group by path[1:depth], depth
+), c as (
+  select g.*, p.conv_id as parent_conv_id, (select count(*) from g k where k.depth = g.depth + 1 and k.path[1:g.depth] = g.path) as n_children,
+         case when g.depth > 0 then len(regexp_extract_all(g.path[g.depth].text, '{mixing.WORD}')) else 0 end as words
+  from g left join g p on g.depth > 0 and p.depth = g.depth - 1 and p.path = g.path[1:g.depth - 1]
+)
+select a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, cast(count(*) filter (b.n_children = 0) as bigint) as n_leaves,
+       cast(sum((b.n_convs - 1) * b.words) as bigint) as saved_tokens, a.ends_sha256
+from c a join c b on b.depth >= a.depth and b.path[1:a.depth] = a.path
+group by a.path, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256
+"""
+
+ORACLES = {"op7_mixing": _OP7, "op10_top_k": _OP10, "op13_prefix_trie": _OP13}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import byte_bpe, decontamination, html_text, mixing, near_duplicates, prefix_trie, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
+from kindred.llm import byte_bpe, decontamination, html_text, mixing, near_duplicates, prefix_trie, ranked_search, sharding, suffix_dedup, token_counts, token_files, topk, toxicity
 from kindred.llm.common import shared_folder, table, text_or_empty
 
 
@@ -77,6 +77,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = byte_bpe.default_ranks()
     tokens = byte_bpe.encoded(table(spark, sf_dir, "documents"), path, pattern)
@@ -93,7 +97,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.branched(own)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_array, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k, op12_byte_bpe, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_array, op3_token_files, op4_toxicity, op5_sharding, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_html_text, op10_top_k, op11_ranked_search, op12_byte_bpe, op13_prefix_trie)}
 
 _OP7 = rf"""
 with d as (
@@ -133,6 +137,31 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP11 = f"""
+with d as (
+  select row_number() over () as r, doc_id, {_TERMS} as terms from documents
+), i as (
+  select row_number() over () as q, item_id, list_distinct({_TERMS}) as terms from benchmark
+), l as (
+  select r, doc_id, len(terms) as n, terms from d where len(terms) > 0
+), s as (
+  select count(*) as docs, cast(sum(n) as bigint) as words from l
+), a as (
+  select q, item_id, unnest(terms) as term from i
+), t as (
+  select r, term, count(*) as tf from (select r, unnest(terms) as term from l) where term in (select term from a) group by r, term
+), w as (
+  select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w from (select term, count(*) as df from t group by term), s
+), g as (
+  select q, item_id, doc_id, r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) as bigint) as score
+  from a join t using (term) join w using (term) join l using (r), s group by q, item_id, doc_id, r
+)
+select item_id, cast(row_number() over (partition by q order by score desc, doc_id) as integer) as rank, doc_id, score from g where score > 0
+qualify row_number() over (partition by q order by score desc, doc_id) <= 50
+"""
+
 _CRC = "xor(list_reduce(list_transform(range(1, length({c}) + 1), lambda i: ascii(substr({c}, i, 1))::bigint), lambda h, b: list_reduce(range(8), lambda y, i: case when y % 2 = 1 then xor(y // 2, 3988292384) else y // 2 end, xor(h, b)), 4294967295), 4294967295)"
 
 _OP13 = rf"""
@@ -159,4 +188,4 @@ from c a join c b on b.depth >= a.depth and b.path[1:a.depth] = a.path
 group by a.path, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256
 """
 
-ORACLES = {"op7_mixing": _OP7, "op10_top_k": _OP10, "op13_prefix_trie": _OP13}
+ORACLES = {"op7_mixing": _OP7, "op10_top_k": _OP10, "op11_ranked_search": _OP11, "op13_prefix_trie": _OP13}

@@ -111,6 +111,23 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))
 
 
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two decoded filters, struct(m, k, bits), have the same size and number of hash functions."""
+    return (a["m"] == b["m"]) & (a["k"] == b["k"])
+
+
+def filter_distance(a: Column, b: Column) -> Column:
+    """Hamming distance of two decoded filters; null if their size or number of hash functions differs."""
+    return F.when(compatible(a, b), hamming(a["bits"], b["bits"]))
+
+
+def filter_distance_strict(a: Column, b: Column) -> Column:
+    """The same, but filters that cannot be compared are an error."""
+    shape = lambda x: F.concat(x["m"].cast("string"), F.lit(" bits and "), x["k"].cast("string"), F.lit(" hash functions"))
+    wrong = F.raise_error(F.concat(F.lit("incompatible filters: "), shape(a), F.lit(", "), shape(b)))
+    return F.when(compatible(a, b), hamming(a["bits"], b["bits"])).otherwise(wrong.cast("int"))
+
+
 @lru_cache
 def coefficients(s: int, seed: str) -> tuple[tuple[int, int], ...]:
     """s pairs (a in 1..p-2, b in 0..p-1) from SHA-256 of the seed and their number."""

@@ -1,68 +1,113 @@
 """Fuzzy and exact linkage of two sets of records.
 
-A pair matches if the Hamming distance of its filters is at most T and the share of equal signature
-places at least tau. For tau > 0 two matching non-empty filters share a bit, and a distance of at most
-T asks for an overlap of ceil((|A| + |B| - T) / 2) bits. So records meet only on the rarest bits of
-their filters (prefix filtering), an equi-join without lost pairs, instead of a nested loop.
+Only filters of one shape, the same number of bits m and of hash functions k, can be compared; records of
+different shapes never match. A pair matches if the Hamming distance of its filters is at most T and the share
+of equal signature places at least tau. For tau > 0 two matching non-empty filters share a bit, and a distance
+of at most T asks for an overlap of ceil((|A| + |B| - T) / 2) bits. So records meet only on the rarest bits of
+their filters (prefix filtering), an equi-join without lost pairs, instead of a nested loop. What meets is
+first told apart by numbers: the bits that are left after the place of the shared one (positional filter), and
+the difference of both filters folded into 64 bits, which their distance can't be less than.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.sketch import hamming, signature_jaccard
 from kindred.plans.profiles import Thresholds
 
-
 #: Longest prefix whose pairs of bits are keys; beyond it single bits are.
 PAIRED = 16
 
-
-def _ranked(first: DataFrame, second: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with `ranks`: their bits by rarity over both sides, rarest first."""
-    both = first.select(F.explode("bits").alias("bit")).unionByName(second.select(F.explode("bits").alias("bit")))
-    # One row a bit, m at most: each bit's rank stands at its place in one array.
-    order = both.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "bit"))).alias("o")).select(F.transform("o", lambda x: x["bit"]).alias("o"))
-    rank = order.select(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda b: F.array_position("o", b).cast("int")).alias("_rank"))
-
-    def side(df: DataFrame) -> DataFrame:
-        return df.crossJoin(F.broadcast(rank)).withColumn("ranks", F.array_sort(F.transform("bits", lambda b: F.element_at("_rank", b + 1)))).drop("_rank")
-
-    return side(first), side(second)
-
-
-def _lengths(df: DataFrame) -> list[int]:
-    """The different numbers of set bits: few, as filters hold a bounded number of fields."""
-    return sorted(r[0] for r in df.select(F.size("bits").alias("n")).where("n > 0").distinct().collect())
-
-
-def candidates(first: DataFrame, second: DataFrame, t: int, m: int = 1000) -> DataFrame:
-    """(id1, id2, distance) of all pairs of non-empty filters that share a bit and differ in at most t bits."""
-    a, b = _ranked(first.where(F.size("bits") > 0), second.where(F.size("bits") > 0), m)
-    lengths_a, lengths_b = _lengths(first), _lengths(second)
-
-    def keyed(df: DataFrame, others: list[int], flip: bool) -> DataFrame:
-        n = F.size("ranks")
-        other = F.explode(F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: F.abs(x - n) <= t))
-        sized = df.select("id", "ranks", n.alias("n"), other.alias("other"))
-        overlap = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("other") - t) / 2).cast("int"))
-        two = F.when(F.greatest("n", "other") - overlap + 2 <= PAIRED, F.least(F.lit(2), overlap)).otherwise(F.lit(1))
-        prefix = F.slice("ranks", F.lit(1), F.greatest(F.lit(0), F.col("n") - overlap + two).cast("int"))
-        own, its = ("other", "n") if flip else ("n", "other")
-        held = sized.withColumn("single", two == 1).withColumn("prefix", prefix)
-        rest = lambda i: F.slice("prefix", i + 2, F.size("prefix"))
-        pairs = F.flatten(F.transform("prefix", lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-        singles = F.transform("prefix", lambda x: F.struct(x.alias("x"), F.lit(-1).alias("y")))
-        keys = F.when(F.col("single"), singles).otherwise(pairs)
-        return held.select("id", "ranks", "prefix", "single", F.col(own).alias("na"), F.col(its).alias("nb"), F.explode(keys).alias("key"))
-
-    left = keyed(a, lengths_b, False).withColumnsRenamed({"id": "id1", "ranks": "ra", "prefix": "pa"})
-    right = keyed(b, lengths_a, True).drop("single").withColumnsRenamed({"id": "id2", "ranks": "rb", "prefix": "pb"})
-    joined = left.join(right, ["key", "na", "nb"]).withColumn("common", F.array_sort(F.array_intersect("pa", "pb")))
+#: Ranks of all shapes' bits that are sent to every task; beyond it they are joined.
+SENT_RANKS = 1 << 20
+
+_SHIFT, _ALONE = 1 << 32, (1 << 32) - 1
+
+
+def shaped(records: DataFrame, m: int = 1000, k: int = 5) -> DataFrame:
+    """records with m and k of each filter: their own columns, as token files have them, or the given numbers."""
+    has = {"m", "k"} <= set(records.columns)
+    return records.withColumns({"m": F.col("m").cast("int") if has else F.lit(m), "k": F.col("k").cast("int") if has else F.lit(k)})
+
+
+def _sizes(df: DataFrame) -> dict[tuple[int, int], list[int]]:
+    """The different numbers of set bits of each shape: few, as filters hold a bounded number of fields."""
+    out: dict[tuple[int, int], list[int]] = {}
+    for r in df.groupBy("m", "k", F.size("bits").alias("n")).count().where("n > 0 and m is not null and k is not null").collect():
+        out.setdefault((r["m"], r["k"]), []).append(r["n"])
+    return out
+
+
+def _overlap(n: int, other: int, t: int) -> int:
+    return max(1, -((t - n - other) // 2))
+
+
+def _prefixes(own: list[int], others: list[int], t: int) -> list[tuple[int, int, int]]:
+    """(n, places of keys of two bits, places of keys of one bit) for each size that has partners within t."""
+    out = []
+    for n in own:
+        two = one = 0
+        for other in (x for x in others if abs(x - n) <= t):
+            o = _overlap(n, other, t)
+            if o >= 2 and max(n, other) - o + 2 <= PAIRED:
+                two = max(two, n - o + 2)
+            else:
+                one = max(one, n - o + 1)
+        if two or one:
+            out.append((n, two, one))
+    return out
+
+
+def _ranks(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(m, k, rank): of each shape an array with every bit's rank at its place; the rarest bit over both sides is first."""
+    bits = first.select("m", "k", F.explode("bits").alias("bit")).unionByName(second.select("m", "k", F.explode("bits").alias("bit")))
+    counts = bits.groupBy("m", "k", "bit").agg(F.count(F.lit(1)).alias("n"))
+    # One row a bit and shape from here on.
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("m", "k").orderBy("n", "bit")) - 1)
+    places = counts.groupBy("m", "k").agg(F.max("bit").alias("top")).select("m", "k", F.explode(F.sequence(F.lit(0), "top")).alias("bit"))
+    every = places.join(ranked.select("m", "k", "bit", "r"), ["m", "k", "bit"], "left")
+    held = F.array_sort(F.collect_list(F.struct("bit", "r")))
+    return every.groupBy("m", "k").agg(F.transform(held, lambda x: x["r"]).alias("rank"))
+
+
+def _keyed(df: DataFrame, ranks: DataFrame, plan: list[tuple], wide: bool) -> DataFrame:
+    """df (id, bits, m, k) by its keys: rows of one key, with all that telling pairs apart needs."""
+    sizes = df.sparkSession.createDataFrame(plan, "m int, k int, shape int, n int, two int, one int")
+    held = df.withColumn("n", F.size("bits")).join(F.broadcast(sizes), ["m", "k", "n"]).join(ranks, ["m", "k"])
+    order = F.array_sort(F.transform("bits", lambda b: F.element_at("rank", b + 1)))
+    fold = F.aggregate("ranks", F.lit(0).cast("bigint"), lambda s, r: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (r % 64).cast("int"))))
+    held = held.select("id", "shape", "n", "two", "one", (order if wide else order.cast("array<smallint>")).alias("ranks")).withColumn("fold", fold)
+    high = lambda x: x.cast("bigint") * _SHIFT
+    pairs = F.flatten(F.transform(F.slice("ranks", F.lit(1), F.col("two")), lambda y, j: F.transform(F.slice("ranks", F.lit(1), j), lambda x: F.struct((high(x) + y).alias("key"), j.alias("at"), F.lit(False).alias("alone")))))
+    singles = F.transform(F.slice("ranks", F.lit(1), F.col("one")), lambda x, i: F.struct((high(x) + _ALONE).alias("key"), i.alias("at"), F.lit(True).alias("alone")))
+    out = held.select("id", "shape", "n", "two", "one", "ranks", "fold", F.explode(F.concat(pairs, singles)).alias("_k"))
+    return out.select("shape", "_k.key", "id", "_k.at", F.when(F.col("_k.alone"), F.col("one")).otherwise(F.col("two")).alias("prefix"), "n", "fold", "ranks")
+
+
+def candidates(first: DataFrame, second: DataFrame, t: int, m: int = 1000, k: int = 5) -> DataFrame:
+    """(id1, id2, distance) of all pairs of non-empty filters of one shape that share a bit and differ in at most t bits."""
+    a, b = (shaped(df, m, k).select("id", "bits", "m", "k").where(F.size("bits") > 0) for df in (first, second))
+    sizes_a, sizes_b = _sizes(a), _sizes(b)
+    both = sorted(set(sizes_a) & set(sizes_b))
+    plans = [[(*s, i, *row) for i, s in enumerate(both) for row in _prefixes(own[s], others[s], t)] for own, others in ((sizes_a, sizes_b), (sizes_b, sizes_a))]
+    ranks = _ranks(a, b)
+    total = sum(s[0] for s in both)
+    ranks = F.broadcast(ranks) if total <= SENT_RANKS else ranks
+    wide = any(s[0] > 1 << 14 for s in both)
+    left = _keyed(a, ranks, plans[0], wide).withColumnsRenamed({"id": "id1", "at": "at1", "prefix": "p1", "n": "n1", "fold": "f1", "ranks": "r1"})
+    right = _keyed(b, ranks, plans[1], wide).withColumnsRenamed({"id": "id2", "at": "at2", "prefix": "p2", "n": "n2", "fold": "f2", "ranks": "r2"})
+    alone = F.col("key") % _SHIFT == _ALONE
+    o = F.greatest(F.lit(1), F.ceil((F.col("n1") + F.col("n2") - t) / 2).cast("int"))
+    by_two = (o >= 2) & (F.greatest("n1", "n2") - o + 2 <= PAIRED)
+    most = F.when(alone, 1).otherwise(2) + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
+    met = left.join(right, ["shape", "key"]).where((F.abs(F.col("n1") - F.col("n2")) <= t) & (alone != by_two) & (most >= o) & (F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= t))
     # A pair may meet on several keys: only its rarest common bits count, so no distinct is needed.
-    once = joined.where((F.get("common", F.lit(0)) == F.col("key.x")) & (F.col("single") | (F.get("common", F.lit(1)) == F.col("key.y"))))
-    return once.select("id1", "id2", hamming(F.col("ra"), F.col("rb")).alias("distance")).where(F.col("distance") <= t)
+    common = F.array_sort(F.array_intersect(F.slice("r1", F.lit(1), F.col("p1")), F.slice("r2", F.lit(1), F.col("p2"))))
+    own_key = lambda c: F.get(c, F.lit(0)).cast("bigint") * _SHIFT + F.when(alone, F.lit(_ALONE)).otherwise(F.get(c, F.lit(1)).cast("bigint"))
+    once = met.withColumn("common", common).where(own_key(F.col("common")) == F.col("key"))
+    return once.select("id1", "id2", hamming(F.col("r1"), F.col("r2")).alias("distance")).where(F.col("distance") <= t)
 
 
 def _with_signatures(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -72,38 +117,40 @@ def _with_signatures(pairs: DataFrame, first: DataFrame, second: DataFrame) -> D
 
 
 def _apart(first: DataFrame, second: DataFrame, t: int) -> DataFrame:
-    """(id1, id2, distance) of pairs that share no bit and have t bits at most together: all of them match, none is met in vain."""
+    """(id1, id2, distance) of pairs of one shape that share no bit and have t bits at most together: all of them match, none is met in vain."""
     n = F.size("bits")
-    left = first.where(n <= t).select(F.col("id").alias("id1"), F.col("bits").alias("a"), n.alias("na"), F.explode(F.sequence(F.lit(0), F.lit(t) - n)).alias("nb"))
-    right = second.where(n <= t).select(F.col("id").alias("id2"), F.col("bits").alias("b"), n.alias("nb"))
-    return left.join(right, "nb").where(~F.arrays_overlap("a", "b")).select("id1", "id2", (F.col("na") + F.col("nb")).alias("distance"))
+    left = first.where(n <= t).select(F.col("id").alias("id1"), F.col("bits").alias("a"), n.alias("na"), "m", "k", F.explode(F.sequence(F.lit(0), F.lit(t) - n)).alias("nb"))
+    right = second.where(n <= t).select(F.col("id").alias("id2"), F.col("bits").alias("b"), n.alias("nb"), "m", "k")
+    return left.join(right, ["m", "k", "nb"]).where(~F.arrays_overlap("a", "b")).select("id1", "id2", (F.col("na") + F.col("nb")).alias("distance"))
 
 
-def fuzzy_link(first: DataFrame, second: DataFrame, thresholds: Thresholds = Thresholds(), m: int = 1000) -> DataFrame:
+def fuzzy_link(first: DataFrame, second: DataFrame, thresholds: Thresholds = Thresholds(), m: int = 1000, k: int = 5) -> DataFrame:
     """(id1, id2, distance, similarity) of all matching pairs; signatures of both sides need the same coefficients.
 
-    Two empty filters have distance 0 and equal signatures, so they match. tau <= 0 asks nothing of the
-    signatures; then filters that share no bit match too, if they have T bits at most together. T = 0
-    and tau <= 0 is `exact_link`.
+    Records with columns m and k have filters of those shapes, others the given one. Two empty filters of one
+    shape have distance 0 and equal signatures, so they match. tau <= 0 asks nothing of the signatures; then
+    filters that share no bit match too, if they have T bits at most together. T = 0 and tau <= 0 is `exact_link`.
     """
     t, tau = thresholds.hamming, thresholds.jaccard
+    first, second = shaped(first, m, k), shaped(second, m, k)
     if tau <= 0 and t == 0:
         return exact_link(first, second).select("id1", "id2", F.lit(0).alias("distance"), F.lit(None).cast("double").alias("similarity"))
-    found = candidates(first, second, t, m).unionByName(_apart(first, second, t if tau <= 0 else 0))
+    found = candidates(first, second, t).unionByName(_apart(first, second, t if tau <= 0 else 0))
     scored = _with_signatures(found, first, second).select("id1", "id2", "distance", signature_jaccard(F.col("s1"), F.col("s2")).alias("similarity"))
     return scored.where(F.col("similarity") >= tau)
 
 
-def exact_link(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(id1, id2) of pairs with equal filters."""
-    key = F.array_join("bits", ",").alias("_bits")
-    return first.select(F.col("id").alias("id1"), key).join(second.select(F.col("id").alias("id2"), key), "_bits").select("id1", "id2")
+def exact_link(first: DataFrame, second: DataFrame, m: int = 1000, k: int = 5) -> DataFrame:
+    """(id1, id2) of pairs with equal filters of one shape."""
+    key: list[Column] = [F.array_join("bits", ",").alias("_bits"), F.col("m"), F.col("k")]
+    left, right = (shaped(df, m, k).select(F.col("id").alias(name), *key) for df, name in ((first, "id1"), (second, "id2")))
+    return left.join(right, ["_bits", "m", "k"]).select("id1", "id2")
 
 
-def compared(pairs: DataFrame, first: DataFrame, second: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """The given pairs (id1, id2) that match, with distance and similarity; pairs with an unknown id are skipped."""
-    left = first.select(F.col("id").alias("id1"), F.col("bits").alias("b1"), F.col("signature").alias("s1"))
-    right = second.select(F.col("id").alias("id2"), F.col("bits").alias("b2"), F.col("signature").alias("s2"))
-    joined = pairs.join(left, "id1").join(right, "id2")
+def compared(pairs: DataFrame, first: DataFrame, second: DataFrame, thresholds: Thresholds = Thresholds(), m: int = 1000, k: int = 5) -> DataFrame:
+    """The given pairs (id1, id2) that match, with distance and similarity; pairs with an unknown id or of different shapes are skipped."""
+    left = shaped(first, m, k).select(F.col("id").alias("id1"), F.col("bits").alias("b1"), F.col("signature").alias("s1"), F.col("m").alias("_m1"), F.col("k").alias("_k1"))
+    right = shaped(second, m, k).select(F.col("id").alias("id2"), F.col("bits").alias("b2"), F.col("signature").alias("s2"), F.col("m").alias("_m2"), F.col("k").alias("_k2"))
+    joined = pairs.join(left, "id1").join(right, "id2").where("_m1 = _m2 and _k1 = _k2")
     scored = joined.select(*pairs.columns, hamming(F.col("b1"), F.col("b2")).alias("distance"), signature_jaccard(F.col("s1"), F.col("s2")).alias("similarity"))
     return scored.where((F.col("distance") <= thresholds.hamming) & (F.col("similarity") >= thresholds.jaccard))

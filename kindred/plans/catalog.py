@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,18 @@ def encoded_party(spark: SparkSession, sf_dir: str, side: str, profile: Profile
     return records(party(spark, sf_dir, side), FIELDS, profile)
 
 
+def mixed_party(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """A party whose records' filters have several shapes, written to token rows and read from them, as their m and k are."""
+    customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = customers.selectExpr(*O.PARTIES[side], f"{O.SHAPE_OF[side]} as kind")
+    out = None
+    for i, (m, k) in enumerate(O.SHAPES):
+        profile = replace(VALIDATE, m=m, k=k)
+        part = tables.token_records(sinks.token_rows(records(rows.where(f"kind = {i}"), FIELDS, profile), profile, "t"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both parties' records, written to the shared folder, as plans read them several times."""
     return tuple(cut(encoded_party(spark, sf_dir, side).select("id", "bits", "signature")) for side in "ab")
@@ -256,6 +269,19 @@ def fuzzy_linkage(spark, sf_dir):
     return out.select("id1", "id2", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
 
 
+@query(O.COMPATIBLE)
+def compatible_link(spark, sf_dir):
+    """Parties whose filters differ in size and hash functions, as files of several settings do: only those of one shape are
+    compared, by the fuzzy link, the exact link, and for given pairs."""
+    a, b = (cut(mixed_party(spark, sf_dir, side)) for side in "ab")
+    fuzzy = fuzzy_link(a, b).select(F.lit("fuzzy").alias("kind"), "id1", "id2", "distance", "similarity")
+    exact = exact_link(a, b).select(F.lit("exact").alias("kind"), "id1", "id2", F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"))
+    same = a.select(F.col("id").alias("id1"), F.substring("id", 2, 20).alias("n")).join(b.select(F.col("id").alias("id2"), F.substring("id", 2, 20).alias("n")), "n").select("id1", "id2")
+    given = compared(same, a, b).select(F.lit("given").alias("kind"), "id1", "id2", "distance", "similarity")
+    out = fuzzy.unionByName(exact).unionByName(given)
+    return out.select("kind", "id1", "id2", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
+
+
 @query(O.CANDIDATES)
 def link_candidates(spark, sf_dir):
     a, b = both(spark, sf_dir)

@@ -53,13 +53,13 @@ def _party(side: str) -> str:
 _LITTLE = "[(s // p) % 256 for p in [1::uhugeint, 256::uhugeint, 65536::uhugeint, 16777216::uhugeint, 4294967296::uhugeint, 1099511627776::uhugeint, 281474976710656::uhugeint, 72057594037927936::uhugeint]]"
 
 
-def _sketched(s: str, values: str, m: int = 1000, places: int = 100) -> str:
+def _sketched(s: str, values: str, m: int = 1000, places: int = 100, k: int = 5) -> str:
     """CTEs from `values` (id, v), rows of strings, to <s>(id, bits, signature)."""
     literal = "[" + ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in coefficients(places, "kindred")) + "]"
     return f"""{s}_v as ({values}),
 {s}_d as (select v, list_transform(range(1, length(v) + 1), lambda i: ascii(substr(v, i, 1))::uhugeint) as b from (select distinct v from {s}_v)),
 {s}_s as (select v, b, {_fnv('b')} as seed from {s}_d),
-{s}_x as (select v, b, xor(seed, i::uhugeint) as s from {s}_s, range(5) r(i)),
+{s}_x as (select v, b, xor(seed, i::uhugeint) as s from {s}_s, range({k}) r(i)),
 {s}_y as (select v, b, s, {_LITTLE} as le from {s}_x),
 {s}_i as (select distinct v, ({_fnv('list_concat(le, b)')} % {m})::bigint as bit from {s}_y),
 {s}_b as (select id, list_sort(list(distinct bit)) as bits from {s}_v join {s}_i using (v) group by id),
@@ -131,6 +131,24 @@ EXACT_LINK = f"{_AB} select a.id as id1, b.id as id2 from a join b on a.bits = b
 FUZZY_LINK = f"{_linked(20)} select * from f"
 CANDIDATES = f"{_AB} select a.id as id1, b.id as id2, {_H} as distance from a, b where {_H} <= 10 and len(list_intersect(a.bits, b.bits)) > 0"
 PAIR_MATCH = f"{_AB}, {_EXPECTED}, p as (select e.id1, e.id2, {_H} as distance, round({_J}, 9)::double as similarity from e join a on a.id = e.id1 join b on b.id = e.id2) select * from p where distance <= 20 and similarity >= 0.32"
+
+#: Shapes (m, k) of filters, and which one a customer's filter has in each party: a fourth of the second party is shifted.
+SHAPES = [(1000, 5), (1000, 5), (2000, 5), (1000, 7)]
+SHAPE_OF = {"a": "c_custkey % 4", "b": "(c_custkey + case when c_custkey % 16 < 4 then 1 else 0 end) % 4"}
+
+
+def _shaped(side: str) -> str:
+    raw = f"{side}_raw as (select {', '.join(PARTIES[side])}, {SHAPE_OF[side]} as kind from customer join nation on c_nationkey = n_nationkey)"
+    text = _bloom_text("v")
+    parts = [(f"{side}{i}", m, k, _sketched(f"{side}{i}", f"select id, {text} as v from (select id, unnest([name, nation, segment, balance]) as v from {side}_raw where kind = {i}) where v <> ''", m, 100, k)) for i, (m, k) in enumerate(SHAPES)]
+    union = " union all ".join(f"select *, {m} as m, {k} as k from {name}" for name, m, k, _ in parts)
+    return f"{raw}, {', '.join(sql for *_, sql in parts)}, {side} as ({union})"
+
+
+COMPATIBLE = f"""with {_shaped('a')}, {_shaped('b')}, h as (select a.id as id1, b.id as id2, a.m::bigint as m, a.k::bigint as k, {_H} as distance, round({_J}, 9)::double as similarity, a.bits = b.bits as same from a, b where a.m = b.m and a.k = b.k)
+select 'fuzzy' as kind, id1, id2, distance, similarity from h where distance <= 20 and similarity >= 0.32
+union all select 'exact', id1, id2, 0, 1.0 from h where same
+union all select 'given', a.id, b.id, {_H}, round({_J}, 9)::double from a join b on substr(a.id, 2) = substr(b.id, 2) and a.m = b.m and a.k = b.k where {_H} <= 20 and {_J} >= 0.32"""
 PRIORITY_FIRST = f"{_linked(10)}, q as (select id1, id2, sha256(id1 || '|' || id2) as h from f), r as (select id1, id2, array_to_string([substr(h, 2 * i + 1, 2) for i in [7, 6, 5, 4, 3, 2, 1, 0]], '') as p from q) select id1, id2 from r qualify p = max(p) over (partition by id1) and p = max(p) over (partition by id2)"
 
 

@@ -361,6 +361,14 @@ def within_duplicates(spark, sf_dir):
     return out.select("id1", "id2", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"))
 
 
+@query(O.HOT_BUCKETS)
+def hot_buckets(spark, sf_dir):
+    """Pairs within and across buckets of which one holds a third of all rows, in tiles of small chunks."""
+    c, s = (table(spark, sf_dir, name).selectExpr(f"{i} as id", f"{k} as bucket_id") for name, (i, k) in O.SKEWED.items())
+    within = blocking.candidate_pairs(c, tile=64).select(F.lit("within").alias("kind"), "id1", "id2", "bucket_id")
+    return within.unionByName(blocking.matching_buckets(c, s, tile=64).select(F.lit("across").alias("kind"), "id1", "id2", "bucket_id"))
+
+
 @query(O.CANDIDATE_CAP)
 def candidate_cap(spark, sf_dir):
     """The option that caps candidate pairs, in order of ids."""

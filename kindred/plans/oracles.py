@@ -249,6 +249,12 @@ select (select count(distinct bucket_id) from a_k where bucket_id in (select buc
 BUCKET_JOIN = f"{_AB}, {_buckets('a')}, {_buckets('b')} select distinct x.id as id1, y.id as id2 from a_k x join b_k y using (bucket_id)"
 CANDIDATE_CAP = f"{LSH_CANDIDATES} order by id1, id2 limit 100"
 
+#: A column in which a third of all rows have one value, as bucket of customers and of suppliers.
+SKEWED = {"customer": ("concat('a', cast(c_custkey as string))", "concat('n', cast(case when c_custkey % 3 = 0 then 0 else c_nationkey end as string))"), "supplier": ("concat('b', cast(s_suppkey as string))", "concat('n', cast(case when s_suppkey % 3 = 0 then 0 else s_nationkey end as string))")}
+_SKEWED = ", ".join(f"{t[0]} as (select {i} as id, {k} as bucket_id from {t})" for t, (i, k) in SKEWED.items())
+HOT_BUCKETS = f"""with {_SKEWED} select 'within' as kind, x.id as id1, y.id as id2, x.bucket_id from c x join c y on x.bucket_id = y.bucket_id and x.id < y.id
+union all select 'across', c.id, s.id, c.bucket_id from c join s using (bucket_id)"""
+
 _ROUNDED = "printf('%.6f', {x})"
 _REPORT = f"{_linked(10)}, {_EXPECTED}, {_COUNTS}, {_SCORES}, t as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1 from s)"
 REPORT = f"""{_REPORT} select unnest(['true_positives', 'false_positives', 'false_negatives', 'total_ground_truth', 'precision', 'recall', 'f1_score']) as metric,

@@ -25,15 +25,17 @@ def token(df: DataFrame, fields: list[str], salt: str) -> Column:
     return hmac_sha256(F.concat_ws("|", *parts), salt.encode())
 
 
-def encrypted(payload: Column, key_hex: str) -> Column:
-    """AES-256-GCM: nonce (12), ciphertext, tag (16)."""
+def encrypted(payload: Column, key_hex: str, bound: Column | None = None) -> Column:
+    """AES-256-GCM: nonce (12), ciphertext, tag (16). bound: a string that the tag covers, and that is not in the message."""
     if len(key_hex) != 64:
         raise ValueError("a key has 64 hexadecimal digits")
-    return F.aes_encrypt(payload, F.unhex(F.lit(key_hex)), F.lit("GCM"))
+    more = [] if bound is None else [F.lit("DEFAULT"), F.lit(b""), F.encode(bound, "UTF-8")]
+    return F.aes_encrypt(payload, F.unhex(F.lit(key_hex)), F.lit("GCM"), *more)
 
 
-def decrypted(payload: Column, key_hex: str) -> Column:
-    """The payload, or null for a wrong key or damaged bytes."""
+def decrypted(payload: Column, key_hex: str, bound: Column | None = None) -> Column:
+    """The payload, or null for a wrong key, damaged bytes or another bound string."""
     if len(key_hex) != 64:
         raise ValueError("a key has 64 hexadecimal digits")
-    return F.try_aes_decrypt(payload, F.unhex(F.lit(key_hex)), F.lit("GCM"))
+    more = [] if bound is None else [F.lit("DEFAULT"), F.encode(bound, "UTF-8")]
+    return F.try_aes_decrypt(payload, F.unhex(F.lit(key_hex)), F.lit("GCM"), *more)

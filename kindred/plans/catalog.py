@@ -561,9 +561,12 @@ def token_files(spark, sf_dir):
     out = None
     for kind in O.TOKEN_KINDS:
         path = new_path(spark, f"tokens.{'json' if kind.startswith('json') else 'csv'}")
-        if "message" in kind:
-            messages = cut(sinks.encrypted_messages(rows, key, most=500, one=1 << 62 if kind == "one_message" else 0))
-            back = tables.decrypted_tokens(messages, key)
+        if kind == "one_message":
+            back = tables.decrypted_tokens(cut(sinks.encrypted_message(rows, key)), key)
+        elif kind == "frames":
+            path = new_path(spark, "tokens.enc")
+            sinks.write_encrypted(rows, path, key, most=500, one=0)
+            back = tables.encrypted_tokens(spark, path, key)
         else:
             sinks.write_tokens(rows, path, kind)
             back = tables.workflow_tokens(spark, path) if kind == "csv" else tables.tokens_file(spark, path)

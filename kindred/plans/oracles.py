@@ -274,7 +274,7 @@ ODD_TEXT = "concat(c_name, ', \"', c_mktsegment, '\"', chr(10), ' #', cast(c_cus
 CSV_SOURCE = f"select cast(c_custkey as varchar) as custkey, {ODD_TEXT} as text, case when c_custkey % 5 = 0 then '' else c_mktsegment end as segment from customer"
 CSV_GET = f"select * from ({CSV_SOURCE}) where custkey = '7'"
 _kinds = lambda names: f"(select unnest([{', '.join(repr(n) for n in names)}]) as kind)"
-TOKEN_KINDS = ["csv", "json", "json_array", "one_message", "messages"]
+TOKEN_KINDS = ["csv", "json", "json_array", "one_message", "frames"]
 TOKEN_FILES = f"select kind, r.* from ({RECORDS}) r, {_kinds(TOKEN_KINDS)}"
 MATCH_KINDS = ["csv", "json", "export", "intersection"]
 MATCH_FILES = f"select kind, 'a' || c_custkey || ', \"x\"' as id1, 'b' || c_custkey as id2 from customer, {_kinds(MATCH_KINDS)}"

@@ -638,19 +638,22 @@ def audit_lines(spark, sf_dir):
     return own.select("event_id", audit.audit_lines(own, F.col("event_type"), F.col("ts"), "s1", ["user_id", "event_id"]).alias("line"))
 
 
-@query(O.DATABASE)
-def database_source(spark, sf_dir):
-    """A database table, a row of it by key and a page of it, with the embedded database of a local session."""
+def database(spark: SparkSession, rows: DataFrame, types: str) -> tuple[str, dict]:
+    """(url, options) of a new embedded database with the rows as table PEOPLE, which Spark's tasks have written."""
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("the embedded database is in the driver's process: local sessions only")
-    driver, url = "org.apache.derby.jdbc.EmbeddedDriver", f"jdbc:derby:memory:kindred{uuid.uuid4().hex};create=true"
-    spark._jvm.java.lang.Class.forName(driver)
-    statement = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
-    statement.execute("create table NATIONS (ID int, NAME varchar(40))")
-    for row in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
-        name = "null" if row[0] % 3 == 0 else "'" + row[1].replace("'", "''") + "'"
-        statement.execute(f"insert into NATIONS values ({row[0]}, {name})")
-    every = tables.jdbc(spark, url, "NATIONS", driver=driver)
-    parts = [("all", every), ("get", tables.jdbc_get(spark, url, "NATIONS", "7", driver=driver)), ("page", tables.jdbc_page(spark, url, "NATIONS", 4, 5, driver=driver))]
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    url = f"jdbc:derby:memory:kindred{uuid.uuid4().hex};create=true"
+    rows.write.option("createTableColumnTypes", types).jdbc(url, "PEOPLE", properties=options)
+    return url, options
+
+
+@query(O.DATABASE)
+def database_source(spark, sf_dir):
+    """A database table in ranges of keys, a row of it by key, a page of it by number and the one after a key."""
+    people = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "case when c_custkey % 3 = 0 then null else c_name end as name")
+    url, options = database(spark, people, "id BIGINT")
+    every = tables.jdbc(spark, url, "PEOPLE", parts=4, **options)
+    parts = [("all", every), ("get", tables.jdbc_get(spark, url, "PEOPLE", "7", **options)), ("page", tables.jdbc_page(spark, url, "PEOPLE", 40, 25, **options)), ("after", tables.jdbc_after(spark, url, "PEOPLE", 60, 25, **options))]
     named = [df.toDF("id", "name").select(F.lit(kind).alias("kind"), "id", "name") for kind, df in parts]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])

@@ -282,9 +282,10 @@ TOKEN_STATISTICS = "select count(*) as total_records, true as has_timestamps, 18
 TOKEN_PAGE = "select 'a' || c_custkey as id from customer order by id limit 15 offset 20"
 STREAM_LINK = f"{_linked(20)} select id1, id2, '2024-01-01T00:00:00Z' as timestamp from f"
 AUDIT_LINES = "select event_id, concat_ws(' ', 'AUDIT_EVENT=' || event_type, 'TIMESTAMP=' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), 'SESSION=s1', 'event_id=' || event_id, 'user_id=' || user_id) as line from events"
-DATABASE = """select 'all' as kind, n_nationkey::varchar as id, case when n_nationkey % 3 = 0 then '' else n_name end as name from nation
-union all select 'get', n_nationkey::varchar, case when n_nationkey % 3 = 0 then '' else n_name end from nation where n_nationkey = 7
-union all select * from (select 'page', n_nationkey::varchar, case when n_nationkey % 3 = 0 then '' else n_name end from nation order by n_nationkey limit 5 offset 4)"""
+_PEOPLE = "(select c_custkey as k, c_custkey::varchar as id, case when c_custkey % 3 = 0 then '' else c_name end as name from customer)"
+DATABASE = f"""select 'all' as kind, id, name from {_PEOPLE} union all select 'get', id, name from {_PEOPLE} where k = 7
+union all select * from (select 'page', id, name from {_PEOPLE} order by k limit 25 offset 40)
+union all select * from (select 'after', id, name from {_PEOPLE} where k > 60 order by k limit 25)"""
 NULLS = "select c_custkey, '' as name, '' as date, '' as gender, '' as zip, '' as basic from customer"
 
 # --- synthetic rows

@@ -526,6 +526,36 @@ def synthetic_link(spark, sf_dir):
     return evaluate.evaluate_bidirectional(workflows.two_party_blocks(a, b, Thresholds(100, 0.32)).select("id1", "id2"), true)
 
 
+def _replayed(spark, own: DataFrame, decide, parts: int = 3) -> DataFrame:
+    """What a stream makes of rows that arrive in order of ts, a slice of time a micro-batch, read back from what it wrote."""
+    folder, out = new_path(spark, "events"), new_path(spark, "decided")
+    own = cut(own)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = own.select(micros.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        within = (F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high)
+        own.where(within).coalesce(1).write.mode("append").parquet(folder)
+    stream = matching.read_rows(spark, folder, own.schema)
+    decide(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(O.RATE_LIMIT)
+def rate_limit_stream(spark, sf_dir):
+    """The rate limit over a stream whose state ends with each key's window."""
+    own = table(spark, sf_dir, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id")
+    decide = lambda stream: limits.rate_limited_stream(stream.withWatermark("ts", "0 seconds"), "user_id", "ts", "event_id", limit=2, seconds=86400)
+    return _replayed(spark, own, decide).select("event_id", "user_id", "allowed")
+
+
+@query(O.CONNECTIONS)
+def connection_stream(spark, sf_dir):
+    """The count of open connections over a stream."""
+    own = table(spark, sf_dir, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "case when event_id % 3 = 0 then 1 else -1 end as delta")
+    return _replayed(spark, own, lambda stream: limits.connections_stream(stream, "user_id", "ts", "event_id", "delta")).select("event_id", "open")
+
+
 @query(O.NULLS)
 def normalize_null(spark, sf_dir):
     """A null is '' under every method."""

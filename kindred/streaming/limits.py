@@ -63,20 +63,57 @@ def rate_limited(events: DataFrame, key: str, time: str, tie: str, limit: int =
     return own.mapInArrow(walk, StructType(list(events.schema.fields)).add("allowed", "boolean"))
 
 
-def rate_limited_stream(events: DataFrame, key: str, time: str, tie: str, limit: int = 5, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """The same over a stream: (key, time, tie, allowed), with (count, reset) kept for each key between micro-batches."""
+def _named(events: DataFrame, *columns: str) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    out = f"`{key}` {kinds[key]}, `{time}` {kinds[time]}, `{tie}` {kinds[tie]}, allowed boolean"
+    return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+
+def rate_limited_stream(events: DataFrame, key: str, time: str, tie: str, limit: int = 5, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """The same over a stream: (key, time, tie, allowed), with (count, reset) kept for each key between micro-batches.
+
+    Micro-batches come in order of time. If the stream has a watermark, a key is forgotten once the watermark has passed
+    the end of its window, as its next event opens a new one in any case; events before the watermark are dropped.
+    Without a watermark every key is kept.
+    """
+    forgets = any("spark.watermarkDelayMs" in f.metadata for f in events.schema.fields)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values([time, tie], kind="stable")
         count, reset = state.get if state.exists else (0, -1)
         micros = pdf[time].astype("datetime64[us]").astype("int64").tolist()
         allowed, count, reset = _decide(micros, limit, seconds, count, reset)
-        state.update((count, reset))
+        end = -(-reset // 1000)
+        if forgets and end <= state.getCurrentWatermarkMs():
+            state.remove() if state.exists else None
+        else:
+            state.update((count, reset))
+            if forgets:
+                state.setTimeoutTimestamp(end)
         yield pdf[[key, time, tie]].assign(allowed=allowed)
 
-    return events.groupBy(key).applyInPandasWithState(step, out, "count int, reset long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if forgets else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(step, f"{_named(events, key, time, tie)}, allowed boolean", "count int, reset long", "append", timeout)
+
+
+def connections_stream(events: DataFrame, key: str, time: str, tie: str, delta: str) -> DataFrame:
+    """`connections` over a stream whose micro-batches come in order of time: (key, time, tie, open). A key without an open
+    connection is forgotten."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values([time, tie], kind="stable")
+        sums = pdf[delta].astype("int64").cumsum() + (state.get[0] if state.exists else 0)
+        open_ = sums - sums.cummin().clip(upper=0)
+        last = int(open_.iloc[-1])
+        if last:
+            state.update((last,))
+        elif state.exists:
+            state.remove()
+        yield pdf[[key, time, tie]].assign(open=open_)
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{_named(events, key, time, tie)}, open long", "open long", "append", GroupStateTimeout.NoTimeout)
 
 
 def connections(events: DataFrame, key: str, time: str, tie: str, delta: str) -> DataFrame:

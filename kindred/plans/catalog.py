@@ -145,7 +145,7 @@ def qgram_compare(spark, sf_dir):
 @query(O.GRAM_SETS)
 def gram_sets(spark, sf_dir):
     v = F.lower(F.col("p_brand"))
-    df = table(spark, sf_dir, "part").select("p_partkey", F.size(sketch.gram_set(v, 2)).cast("long").alias("n_set"), F.size(sketch.ngram_bag(v)).cast("long").alias("n_bag"))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(sketch.gram_set(v, 2)), "|").alias("gram_set"), F.array_join(F.array_sort(sketch.ngram_bag(v)), "|").alias("gram_bag"))
     return df
 
 
@@ -162,7 +162,8 @@ def qgram_codec(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", sketch.qgram_counts(normalize.bloom_text(F.col("p_name")), 2, "$").alias("g"))
     coded = df.withColumn("code", codec.qgram_encode(F.col("g"), 2, "$"))
     back = codec.qgram_decode(F.col("code"))
-    return coded.select("p_partkey", "code", (F.size(F.map_entries(back["grams"])) == F.size(F.map_entries("g"))).alias("same"))
+    entries = lambda g: F.array_sort(F.map_entries(g))
+    return coded.select("p_partkey", "code", (entries(back["grams"]) == entries(F.col("g"))).alias("same"))
 
 
 @query(O.BLOOM_ENCODE)
@@ -212,6 +213,14 @@ def minhash_jaccard_strict(spark, sf_dir):
     return a.join(b, "k").select("k", F.round(sketch.signature_jaccard_strict(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
+@query(O.MINHASH_LENGTHS)
+def minhash_lengths(spark, sf_dir):
+    """Signatures of which a third are cut to half their length: different lengths have nothing in common."""
+    a, b = (encoded_party(spark, sf_dir, side).select(F.substring("id", 2, 20).alias("k"), F.col("signature").alias(side)) for side in "ab")
+    short = F.when(F.col("k").cast("long") % 3 == 0, F.slice("a", 1, 50)).otherwise(F.col("a"))
+    return a.join(b, "k").select("k", F.round(sketch.signature_jaccard(short, F.col("b")), 9).alias("similarity"))
+
+
 @query(O.MINHASH_CODEC)
 def minhash_codec(spark, sf_dir):
     pairs = list(sketch.coefficients(100, "kindred"))
@@ -301,6 +310,13 @@ def one_to_one_link(spark, sf_dir):
     return one_to_one(fuzzy_link(a, b))
 
 
+@query(O.ONE_TO_ONE)
+def assignment_rounds(spark, sf_dir):
+    """The assignment by rounds alone: nothing is left to the driver."""
+    a, b = both(spark, sf_dir)
+    return one_to_one(fuzzy_link(a, b), settled=0)
+
+
 @query(O.PRIORITY_FIRST)
 def assignment_first_round(spark, sf_dir):
     """Pairs that are the best of both their ids: the first round of the assignment."""
@@ -414,6 +430,18 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select("true_positives", "false_positives", "false_negatives", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(O.REPEATED_MATCHES)
+def repeated_matches(spark, sf_dir):
+    """Both evaluations of matches of which a half occurs twice and a third the wrong way round."""
+    found = _matches(spark, sf_dir).withColumn("n", F.regexp_replace("id1", "[^0-9]", "").cast("long"))
+    twice = found.where("n % 3 <> 0").select("id1", "id2").unionByName(found.where("n % 2 = 0").select("id1", "id2"))
+    given = twice.unionByName(found.where("n % 3 = 0").selectExpr("id2 as id1", "id1 as id2"))
+    truth = expected(spark, sf_dir)
+    kinds = (("pairs", evaluate.evaluate), ("both ways", evaluate.evaluate_bidirectional))
+    one, two = (_rounded(f(cut(given), truth)).withColumn("kind", F.lit(kind)) for kind, f in kinds)
+    return one.unionByName(two)
+
+
 @query(O.LABELLED)
 def labelled_pairs(spark, sf_dir):
     return evaluate.labelled(_matches(spark, sf_dir), expected(spark, sf_dir))

@@ -111,7 +111,8 @@ u as (select k.p_partkey, k.other, c.gram, c.n as x, 0 as y from k join c using
 s as (select p_partkey, other, gram, sum(x) as x, sum(y) as y from u group by all)
 select p_partkey, other, round(sum(least(x, y)) / sum(greatest(x, y)), 9) as similarity, sum(abs(x - y))::bigint as distance from s group by all"""
 GRAM_SETS = """with v as (select p_partkey, lower(p_brand) as v from part), s as (select p_partkey, v, '_' || v || '_' as p from v)
-select p_partkey, (select count(distinct substr(p, i, 2)) from range(1, length(p)) r(i)) as n_set, 1 + (length(v) - 1) + (length(v) - 2) as n_bag from s"""
+select p_partkey, (select string_agg(distinct substr(p, i, 2), '|' order by substr(p, i, 2)) from range(1, length(p)) r(i)) as gram_set,
+array_to_string(list_sort(list_concat([v], list_transform(range(1, length(v)), lambda i: substr(v, i, 2)), list_transform(range(1, length(v) - 1), lambda i: substr(v, i, 3)))), '|') as gram_bag from s"""
 
 BLOOM_ENCODE = f"{_A} select id, array_to_string(bits, ',') as bits from a"
 BLOOM_TEST = f"""{_A}, x as (select 'absent value' as v), xd as (select v, list_transform(range(1, length(v) + 1), lambda i: ascii(substr(v, i, 1))::uhugeint) as b from x),
@@ -124,6 +125,7 @@ BLOOM_CODEC = f"""{_A}, w as (select id, bits, [list_sum([case when list_contain
 select id, to_base64(unhex('E803000005000000' || array_to_string([printf('%02X', x) for x in bytes], ''))) as code, true as same from w"""
 MINHASH_SIGNATURE = f"{_A} select id, array_to_string(signature, ',') as signature from a"
 MINHASH_JACCARD = f"{_AB} select substr(a.id, 2) as k, round({_J}, 9)::double as similarity from a join b on substr(a.id, 2) = substr(b.id, 2)"
+MINHASH_LENGTHS = f"{_AB} select substr(a.id, 2) as k, case when substr(a.id, 2)::bigint % 3 = 0 then 0 else round({_J}, 9)::double end as similarity from a join b on substr(a.id, 2) = substr(b.id, 2)"
 RECORDS = f"{_A} select id, array_to_string(bits, ',') as bits, array_to_string(signature, ',') as signature from a"
 RECORD_UPDATE = RECORDS
 
@@ -171,6 +173,15 @@ _COUNTS = "n as (select (select count(*) from f join e using (id1, id2)) as tp,
 _SCORES = "s as (select tp as true_positives, all_ - tp as false_positives, exp - tp as false_negatives, case when all_ > 0 then tp / all_ else 0 end as p, case when exp > 0 then tp / exp else 0 end as r from n)"
 LINK_EVALUATE = f"{_linked(10)}, {_EXPECTED}, {_COUNTS}, {_SCORES} select true_positives, false_positives, false_negatives, round(p, 9) as precision, round(r, 9) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 9) as f1 from s"
 LINK_EVALUATE_BOTH = LINK_EVALUATE
+_PRF = "*, case when tp + fp > 0 then tp / (tp + fp) else 0 end as p, case when tp + fn > 0 then tp / (tp + fn) else 0 end as r"
+REPEATED_MATCHES = f"""{_linked(10)}, {_EXPECTED}, k as (select id1, id2, substr(id1, 2)::bigint as n from f),
+g as (select id1, id2 from k where n % 3 <> 0 union all select id1, id2 from k where n % 2 = 0 union all select id2, id1 from k where n % 3 = 0),
+o as (select count(*) filter (e.id1 is not null) as tp, count(*) filter (e.id1 is null) as fp from g left join e on g.id1 = e.id1 and g.id2 = e.id2),
+w as (select count(*) filter (e.id1 is not null) as tp, count(*) filter (e.id1 is null) as fp from g left join e on (g.id1 = e.id1 and g.id2 = e.id2) or (g.id1 = e.id2 and g.id2 = e.id1)),
+c as (select 'pairs' as kind, tp, fp, (select count(*) from (select id1, id2 from e except select id1, id2 from g)) as fn from o
+  union all select 'both ways', tp, fp, greatest(0, (select count(*) from e) - tp) from w),
+s as (select {_PRF} from c)
+select kind, tp as true_positives, fp as false_positives, fn as false_negatives, round(p, 9) as precision, round(r, 9) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 9) as f1 from s"""
 LABELLED = f"{_linked(10)}, {_EXPECTED} select case when e.id1 is null then 'FP' else 'TP' end as match_type, f.id1, f.id2 from f left join e on f.id1 = e.id1 and f.id2 = e.id2 union all select 'FN', id1, id2 from (select id1, id2 from e except select id1, id2 from f)"
 DIFFERENCE = f"{_linked(10)}, {_EXPECTED} select 'local_only' as side, id1, id2 from f anti join e using (id1, id2) union all select 'peer_only', id2, id1 from e anti join f using (id1, id2)"
 DIFFERENCE_SUMMARY = f"{_linked(10)}, {_EXPECTED}, {_COUNTS} select all_ as local_count, exp as peer_count, all_ - tp as local_only, exp - tp as peer_only, all_ = tp and exp = tp as equal from n"

@@ -12,7 +12,7 @@ STAGES = ["toxicity", "near duplicates", "decontamination", "mixing", "sharding"
 
 def test_all_operators_are_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

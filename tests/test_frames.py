@@ -72,3 +72,12 @@ def test_parts_of_one_text_each(spark):
     texts = spark.createDataFrame([(7, "a"), (3, "b")], "part int, text string")
     assert sorted(r[0] for r in frames.opened(frames.sealed(texts, KEY), KEY).collect()) == ["a", "b"]
     assert frames.sealed(texts, KEY).where(F.col("value").contains("..")).count() == 0
+
+
+def test_header_of_a_match_file_whose_first_part_is_not_the_largest(spark, tmp_path):
+    from kindred.sources import tables
+
+    parts = {"part-00000.txt": ["# Only matching pairs are listed", "local_id,peer_id", "a0,b0"], "part-00001.txt": [f"a{i},b{i}" for i in range(1, 500)]}
+    for name, lines in parts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    assert sorted(map(tuple, tables.matches_file(spark, str(tmp_path)).collect())) == sorted((f"a{i}", f"b{i}") for i in range(500))

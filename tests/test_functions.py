@@ -140,3 +140,26 @@ def test_tokens(spark):
     df = spark.createDataFrame([("text",)], "v string").select(tokens.encrypted(F.encode("v", "UTF-8"), key).alias("c"))
     r = df.select(F.length("c"), F.decode(tokens.decrypted(F.col("c"), key), "UTF-8"), tokens.decrypted(F.col("c"), other)).first()
     assert list(r) == [12 + 4 + 16, "text", None]
+
+
+def test_codecs_read_numbers_at_their_place_in_the_bytes(spark):
+    """Plans of the decoders take parts of the binary, never of its text, whose places are counted from the start each time."""
+    import base64 as b64
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from kindred.functions import codec
+
+    values, pairs = [0, 1, 255, 256, 65535, 2**31 - 1], [(7, 2**31 - 2), (2**24, 0), (3, 4), (5, 6), (8, 9), (10, 11)]
+    words = bytearray(24)
+    for b in (0, 7, 8, 63, 64, 129):
+        words[b // 8] |= 1 << b % 8
+    bloom = b64.b64encode(struct.pack("<II", 130, 3) + bytes(words)).decode()
+    whole = b64.b64encode(struct.pack("<I", 6) + b"".join(struct.pack("<I", x) for x in (*(a for a, _ in pairs), *(b for _, b in pairs), 2**31 - 1, *values))).decode()
+    df = spark.createDataFrame([(bloom, whole, values, [0, 7, 8, 63, 64, 129]), ("!", "AAA=", None, None)], "f string, s string, v array<long>, b array<int>")
+    out = df.select(codec.bloom_decode(F.col("f")).alias("f"), codec.signature_decode(F.col("s")).alias("s"), codec.coefficients_decode(F.col("s")).alias("c"), codec.minhash_encode(F.col("v"), pairs).alias("e"), codec.bloom_encode(F.col("b"), 130, 3).alias("g"))
+    one, two = out.collect()
+    assert (tuple(one["f"]), one["s"], list(map(tuple, one["c"])), one["e"], one["g"]) == ((130, 3, [0, 7, 8, 63, 64, 129]), values, pairs, whole, bloom)
+    assert two["f"] is None and two["s"] is None and two["c"] is None
+    assert "hex(substr" in out._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")

@@ -163,3 +163,22 @@ def test_codecs_read_numbers_at_their_place_in_the_bytes(spark):
     assert (tuple(one["f"]), one["s"], list(map(tuple, one["c"])), one["e"], one["g"]) == ((130, 3, [0, 7, 8, 63, 64, 129]), values, pairs, whole, bloom)
     assert two["f"] is None and two["s"] is None and two["c"] is None
     assert "hex(substr" in out._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")
+
+
+def test_signatures_by_a_table_are_those_computed_anew():
+    import numpy as np
+
+    from kindred.functions import sketch, vectors
+
+    rng = np.random.default_rng(3)
+    for m, s in ((100, 1000), (1000, 100), (7, 3)):
+        pairs = sketch.coefficients(s, "kindred")
+        held = [np.sort(rng.choice(m, min(m, int(n)), replace=False)) for n in rng.integers(0, 70, 600)] + [np.zeros(0, np.int64)] * 2
+        ends = np.cumsum([len(x) for x in held])
+        own = np.concatenate(held).astype(np.int64)
+        want = vectors.signatures(own, ends, pairs)
+        got = vectors.signatures(own, ends, pairs, m)
+        assert got.dtype == want.dtype and (got == want).all()
+        plain = [min([(a * int(x) + b) % sketch.PRIME for x in held[0]], default=sketch.PRIME) for a, b in pairs]
+        assert got[0].tolist() == plain
+    assert vectors.signatures(np.zeros(0, np.int64), np.zeros(2, np.int64), pairs, 7).min() == sketch.PRIME

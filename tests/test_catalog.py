@@ -1,3 +1,5 @@
+import pytest
+
 from kindred.operators import blocking
 from kindred.plans import catalog
 
@@ -45,3 +47,18 @@ def test_both_parties_hold_every_customer(spark, sf_dir):
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
+
+
+def test_a_large_table_is_encoded_by_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "TASK_ROWS", 10)
+    own = catalog.encoded_party(spark, sf_dir, "a")
+    assert own.rdd.getNumPartitions() == 15 and own.count() == 150
+
+
+def test_blocks_of_a_known_length_need_no_pass_before(spark, sf_dir, monkeypatch):
+    own = catalog.encoded_party(spark, sf_dir, "a")
+    want = sorted(map(tuple, blocking.buckets(own).collect()))
+    monkeypatch.setattr(type(own), "first", lambda self: pytest.fail("a pass over the records"))
+    assert sorted(map(tuple, catalog.bands(spark, sf_dir, "a").collect())) == want
+    with pytest.raises(Exception, match="differ in length"):
+        blocking.buckets(own, places=99).collect()

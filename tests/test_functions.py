@@ -182,3 +182,16 @@ def test_signatures_by_a_table_are_those_computed_anew():
         plain = [min([(a * int(x) + b) % sketch.PRIME for x in held[0]], default=sketch.PRIME) for a, b in pairs]
         assert got[0].tolist() == plain
     assert vectors.signatures(np.zeros(0, np.int64), np.zeros(2, np.int64), pairs, 7).min() == sketch.PRIME
+
+
+def test_grams_are_compared_in_one_walk(spark):
+    from kindred.functions import sketch
+
+    rows = [("banana", "bandana"), ("", ""), ("aa", "zz"), ("same", "same")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", *[sketch.qgram_counts(F.col(c), 2, "$").alias(f"{c}_") for c in "ab"])
+    both = df.select("a", "b", "a_", "b_", sketch.qgram_compared(F.col("a_"), F.col("b_")).alias("c"), sketch.qgram_similarity(F.col("a_"), F.col("b_")).alias("s"), sketch.qgram_distance(F.col("a_"), F.col("b_")).alias("d"))
+    for r in both.collect():
+        grams = set(r["a_"]) | set(r["b_"])
+        x, y = ([m.get(g, 0) for g in grams] for m in (r["a_"], r["b_"]))
+        low, high = sum(map(min, x, y)), sum(map(max, x, y))
+        assert (r["c"]["similarity"], r["c"]["distance"]) == (r["s"], r["d"]) == (low / high, high - low)

@@ -59,3 +59,13 @@ def test_connections_are_those_of_one_batch_and_closed_keys_are_forgotten(spark,
     got, progress = replayed(spark, tmp_path, [*slices, close], lambda s: limits.connections_stream(s, "k", "ts", "i", "d"))
     assert {r["i"]: r["open"] for r in got if r["i"] < 1000} == want and max(want.values()) > 2
     assert all(r["open"] >= 0 for r in got) and progress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_slices_of_several_files_are_one_micro_batch_each(spark, sf_dir, monkeypatch):
+    from kindred.plans import catalog
+
+    want = sorted(map(tuple, catalog.connection_count(spark, sf_dir).collect()))
+    monkeypatch.setattr(catalog, "SLICE_ROWS", 100)
+    read, seen = matching.read_rows, []
+    monkeypatch.setattr(matching, "read_rows", lambda *a: seen.append(a[3]) or read(*a))
+    assert sorted(map(tuple, catalog.connection_stream(spark, sf_dir).collect())) == want and seen == [3]

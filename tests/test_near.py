@@ -48,3 +48,10 @@ def test_counts_by_classes_are_those_of_the_pairs(spark):
     for expected in (truth, truth.limit(0)):
         assert evaluate.evaluate_classes(*found, expected).collect() == evaluate.evaluate(pairs, expected).collect()
         assert evaluate.evaluate_classes(*found, expected, both_ways=True).collect() == evaluate.evaluate_bidirectional(pairs, expected).collect()
+
+
+def test_every_shape_is_encoded_by_all_cores(spark):
+    from kindred.plans import catalog
+
+    cores = spark.sparkContext.defaultParallelism
+    assert catalog.mixed_party(spark, "/root/testdata/sf0.001", "a").rdd.getNumPartitions() >= len(catalog.O.SHAPES) * cores > 4

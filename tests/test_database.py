@@ -3,7 +3,7 @@
 import pytest
 
 from kindred.plans.catalog import database
-from kindred.sources import tables
+from kindred.sources import embedded, tables
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,18 @@ def test_names_and_values_cannot_leave_their_place(spark, people):
     assert tables.jdbc_after(spark, url, "PEOPLE", "' OR 1 = 1 --", 5, **options).count() == 5  # compared as a key, below all others
     with pytest.raises(KeyError):
         tables.jdbc_get(spark, url, "PEOPLE", "x' OR '1' = '1", **options)
+
+
+def test_an_archive_is_opened_by_processes_of_their_own(spark):
+    """As on a cluster: the archive is read-only, so another process reads it while this one does."""
+    texts = ["", None, "it's", 'a"b, c', " x ", "line\nbreak", "é€", "plain"]
+    rows = [(i if i else None, t) for i, t in enumerate(texts)]
+    url, options = embedded.archived(spark.createDataFrame(rows, "id long, name string"), "PEOPLE", "id BIGINT"), {"driver": embedded.DRIVER}
+    want = sorted(("" if i is None else str(i), t or "") for i, t in rows)
+    assert got(tables.jdbc(spark, url, "PEOPLE", **options)) == got(tables.jdbc(spark, url, "PEOPLE", parts=3, **options)) == want
+    assert got(tables.jdbc_get(spark, url, "PEOPLE", "3", **options)) == [("3", 'a"b, c')]
+    assert got(tables.jdbc_after(spark, url, "PEOPLE", 5, 2, **options)) == [("6", "é€"), ("7", "plain")]
+    assert spark.read.format("jdbc").options(url=url, dbtable="PEOPLE", **options).load().where("name is null").count() == 1
+    assert ";create" not in url and "memory" not in url
+    none = embedded.archived(spark.createDataFrame([], "id long, name string"), "PEOPLE", "id BIGINT")
+    assert tables.jdbc(spark, none, "PEOPLE", parts=3, **options).count() == 0

@@ -55,3 +55,37 @@ def test_every_shape_is_encoded_by_all_cores(spark):
 
     cores = spark.sparkContext.defaultParallelism
     assert catalog.mixed_party(spark, "/root/testdata/sf0.001", "a").rdd.getNumPartitions() >= len(catalog.O.SHAPES) * cores > 4
+
+
+def test_few_records_are_few_tasks(spark, monkeypatch):
+    """A task in Python costs what hundreds of records do: they, not the shuffle partitions, say how many there are."""
+    (_, a), (_, b) = party(spark, 5, 40, "a"), party(spark, 6, 40, "b")
+    cores, seen = spark.sparkContext.defaultParallelism, []
+    keyed, met, before = near.keyed, near.met, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(near, "keyed", lambda df, *x: seen.append(df.rdd.getNumPartitions()) or keyed(df, *x))
+    monkeypatch.setattr(near, "met", lambda df, *x: seen.append(df.rdd.getNumPartitions()) or met(df, *x))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        match.fuzzy_link(a, b, Thresholds(9, 0.25))
+        assert seen == [cores] * 3
+        monkeypatch.setattr(match, "RECORDS", 2)
+        match.fuzzy_link(a, b, Thresholds(9, 0.25))
+        assert all(cores < n <= 20 for n in seen[3:5]), seen
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_stream_finds_its_peers_classes_once(spark, tmp_path, monkeypatch):
+    from kindred.plans.profiles import VALIDATE
+    from kindred.streaming import matching
+
+    calls, classes = [], match.classes
+    monkeypatch.setattr(match, "classes", lambda df, columns: calls.append(1) or classes(df, columns))
+    rows = spark.createDataFrame([(f"s{i}", f"ann lee {i}", "1") for i in range(3)], "id string, name string, z string").repartition(3, "id")
+    folder = str(tmp_path / "rows")
+    for i in range(3):
+        rows.where(f"id = 's{i}'").coalesce(1).write.mode("append").parquet(folder)
+    peer = matching.records(rows.selectExpr("concat('p', id) as id", "name", "z"), ["name", "z"], VALIDATE)
+    matching.start(matching.read_rows(spark, folder, rows.schema), peer, ["name", "z"], str(tmp_path / "out"), str(tmp_path / "cp"), VALIDATE, Thresholds(2, 0.9)).awaitTermination(180)
+    got = spark.read.json(str(tmp_path / "out" / "json" / "batch=*"))
+    assert {(f"s{i}", f"ps{i}") for i in range(3)} <= {(r["local_id"], r["peer_id"]) for r in got.collect()} and len(calls) == 4

@@ -89,3 +89,19 @@ def test_a_stream_finds_its_peers_classes_once(spark, tmp_path, monkeypatch):
     matching.start(matching.read_rows(spark, folder, rows.schema), peer, ["name", "z"], str(tmp_path / "out"), str(tmp_path / "cp"), VALIDATE, Thresholds(2, 0.9)).awaitTermination(180)
     got = spark.read.json(str(tmp_path / "out" / "json" / "batch=*"))
     assert {(f"s{i}", f"ps{i}") for i in range(3)} <= {(r["local_id"], r["peer_id"]) for r in got.collect()} and len(calls) == 4
+
+
+def test_differences_by_classes_are_those_of_the_pairs(spark, monkeypatch):
+    """The peer's pairs either way round, repeated, unknown and null, and ids that recur; pairs of members are not shuffled."""
+    from kindred.operators import evaluate
+
+    monkeypatch.setattr(match, "HELD", 2)
+    (_, a), (_, b) = party(spark, 3, 40, "a"), party(spark, 4, 40, "b")
+    again = a.unionByName(a.where("id < 'a2'")).unionByName(a.selectExpr("concat('c', id) as id", "bits", "signature", "m", "k"))
+    found = match.fuzzy_classes(again, b, Thresholds(9, 0.25))
+    pairs = match.expanded(*found).select("id1", "id2")
+    own = pairs.orderBy("id1", "id2").limit(30)
+    odd = spark.createDataFrame([("a1", "nobody"), ("b1", "a1"), (None, "b1"), ("a1", None), ("a1", "nobody")], "id1 string, id2 string")
+    for peer in (own.unionByName(odd), own.selectExpr("id2 as id1", "id1 as id2").unionByName(own.limit(3)), own.limit(0)):
+        got, want = (sorted(map(str, f.collect())) for f in (evaluate.difference_classes(*found, peer), evaluate.difference(pairs, peer)))
+        assert got == want and got

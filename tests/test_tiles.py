@@ -65,3 +65,31 @@ def test_a_join_of_members_shuffles_no_lists(spark):
     found = tiles.tiled(spark.createDataFrame([(1, 1, n, n)], "id1 long, id2 long, w1 long, w2 long"), a, b, 2)
     assert found.where("kind < 2").count() == 2 * 2 * n and found.where("kind = 2").count() == 4
     assert expanded(spark.createDataFrame([(1, 1)], "id1 long, id2 long"), a, b).distinct().count() == n * n
+
+
+def test_differences_are_counted_by_classes(spark):
+    """Copies of an id in one class, a pair known the other way round, and one that nobody found."""
+    from kindred.operators import evaluate
+
+    pairs, a, b, every = sides(spark)
+    a = a.unionByName(spark.createDataFrame([("a3", 2, 2)], MEMBERS))
+    every = [*every, ("a3", "b3", 0)]
+    peer = spark.createDataFrame([("a1", "b1"), ("b3", "a3"), ("a1", "b99"), ("a1", "b1")], "id1 string, id2 string")
+    rows = spark.createDataFrame(every, "id1 string, id2 string, distance int")
+    got = evaluate.difference_summary_classes(pairs, a, b, peer)
+    want = evaluate.difference_summary(rows, peer)
+    assert got.columns == want.columns and got.collect() == want.collect()
+
+
+def test_rows_of_equal_values_are_encoded_once(spark, monkeypatch):
+    from kindred.operators import encode
+    from kindred.operators.match import record_classes
+    from kindred.plans.profiles import VALIDATE
+
+    seen, coded = [], encode.encoded
+    monkeypatch.setattr(encode, "encoded", lambda df, profile: seen.append(df.count()) or coded(df, profile))
+    rows = spark.createDataFrame([(f"a{i}", "Ann" if i % 3 else "Bob", "x") for i in range(30)] + [("none", "", None), ("case", "ANN", "x")], "id string, name string, zip string")
+    found, members = record_classes(rows, ["name", "zip"], VALIDATE)
+    assert seen == [3]
+    assert sorted(r["weight"] for r in found.collect()) == [10, 21] and members.count() == 31
+    assert {r["weight"] for r in members.where("member = 'case'").collect()} == {21}
